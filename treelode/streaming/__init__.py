@@ -1,0 +1,5 @@
+"""No streaming operators: the inventory has none.
+
+Incremental work is a batch difference against the stored state (`treelode.plans.reindex`),
+because a file stream reports new files but can never report a deleted one.
+"""
