@@ -1,7 +1,7 @@
 """Compare scanned files with the stored state."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,10 @@ def deleted_paths(files: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.join(files, "relative_path", "left_anti").select("relative_path")
 
 
-def change_counts(changes: DataFrame) -> DataFrame:
-    """One row: added, modified, deleted, total."""
+def change_counts(changes: DataFrame, *more: Column) -> DataFrame:
+    """One row: added, modified, deleted, total and any further aggregates."""
     counts = [F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "deleted")]
-    return changes.agg(*counts).withColumn("total", F.col("added") + F.col("modified") + F.col("deleted"))
+    return changes.agg(*counts, *more).withColumn("total", F.col("added") + F.col("modified") + F.col("deleted"))
 
 
 def meta_rows(chunks: DataFrame) -> DataFrame:

@@ -1,0 +1,20 @@
+"""Delete and upsert on immutable tables: later versions of a file replace earlier rows."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def replaced_paths(changes: DataFrame) -> DataFrame:
+    """Latest version `v` that modified or deleted each path."""
+    return (
+        changes.where(F.col("change").isin("modified", "deleted"))
+        .groupBy(F.col("relative_path").alias("replaced_path"))
+        .agg(F.max("v").alias("replaced_at"))
+    )
+
+
+def live_rows(rows: DataFrame, replaced: DataFrame, path: str) -> DataFrame:
+    """Rows whose file no later version replaced. Paths are compared as values, so any name is safe."""
+    later = (F.col(path) == F.col("replaced_path")) & (F.col("v") < F.col("replaced_at"))
+    return rows.join(replaced, later, "left_anti")

@@ -49,8 +49,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
     store.write("changes", changes.select("relative_path", "extension", "category", "absolute_path", "change"), version)
     changes = store.version("changes", version)
     size = F.octet_length("relative_path") + ROW_OVERHEAD
-    counts = change_counts(changes).crossJoin(
-        changes.where("change <> 'added'").agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))).first()
+    counts = change_counts(changes, F.coalesce(F.sum(F.when(F.col("change") != "added", size)), F.lit(0)).alias("bytes")).first()
     if counts["total"] == 0:
         return Totals()
 

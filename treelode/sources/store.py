@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelode import schema
+from treelode.operators.versions import live_rows, replaced_paths
 from treelode.sources.project import root_uri
 
 # Changed paths are broadcast to readers up to this many bytes; beyond it the join shuffles.
@@ -139,15 +140,10 @@ class ChunkStore:
         rows = self._read(table).where(F.col("v").isin(versions))
         if manifest.replaced_rows == 0:
             return rows
-        replaced = (
-            self._read("changes")
-            .where(F.col("v").isin(versions) & F.col("change").isin("modified", "deleted"))
-            .groupBy(F.col("relative_path").alias("replaced_path"))
-            .agg(F.max("v").alias("replaced_at"))
-        )
+        replaced = replaced_paths(self._read("changes").where(F.col("v").isin(versions)))
         if manifest.replaced_bytes <= BROADCAST_BYTES:
             replaced = F.broadcast(replaced)
-        return rows.join(replaced, (F.col(path) == F.col("replaced_path")) & (F.col("v") < F.col("replaced_at")), "left_anti")
+        return live_rows(rows, replaced, path)
 
     def chunks(self, kind: str | None = None, manifest: Manifest | None = None) -> DataFrame:
         """Live chunks with a vector; `kind` is code or docs and prunes partitions."""
