@@ -78,7 +78,7 @@ def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     vector = F.col("vector")
     return found.select(
         "file", F.size(F.filter(vector, lambda x: x > 0)).alias("filled"),
-        F.round(F.array_max(vector), 4).cast("double").alias("largest"),
+        F.round(F.array_max(vector).cast("double"), 4).alias("largest"),
         F.array_position(vector, F.array_max(vector)).cast("int").alias("largest_at"))
 
 
