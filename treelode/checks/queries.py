@@ -17,7 +17,7 @@ from treelode.operators import search as S
 from treelode.operators import tree as T
 from treelode.operators.embedding import HashingEmbedder, embed_chunks
 from treelode.operators.versions import live_rows, replaced_paths
-from treelode.session import ship_package
+from treelode.session import settle, ship_package, spread
 from treelode.sources import project as P
 from treelode.sources.tree import category_of, select_files
 
@@ -73,7 +73,7 @@ def score_and_preview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    files = V.doc_files(spark, folder).select(F.col("relative_path").alias("file"), "content")
+    files = V.doc_files(spark, folder, spread).select(F.col("relative_path").alias("file"), "content")
     found = embed_chunks(files, HashingEmbedder(EMBED_DIMENSIONS))
     vector = F.col("vector")
     return found.select(
@@ -85,7 +85,7 @@ def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
     """A text query against embedded documents."""
     embedder = HashingEmbedder(EMBED_DIMENSIONS)
-    files = V.doc_files(spark, folder).select(
+    files = V.doc_files(spark, folder, spread).select(
         F.col("relative_path").alias("file_path"), F.lit(1).alias("line_start"), F.col("relative_path").alias("id"), "content")
     found = S.nearest(embed_chunks(files, embedder), embedder.embed([SEARCH_TEXT])[0], 10)
     return S.ranked(found).select("rank", F.round("_distance", 4).alias("distance"))
@@ -192,14 +192,12 @@ def warning_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbols(language: str, spark: SparkSession, folder: str) -> DataFrame:
-    found = O.with_structure(V.source_files(spark, folder, language))
-    return found.select("file_path", F.posexplode("symbols").alias("position", "s")).select("file_path", "position", "s.*")
+    return O.symbol_rows(V.source_files(spark, folder, language))
 
 
 def symbols_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = V.page_files(spark, folder).select(F.col("relative_path").alias("file_path"), F.lit(".html").alias("extension"), "content")
-    found = O.with_structure(pages)
-    return found.select("file_path", F.explode("symbols").alias("s")).select("file_path", "s.*")
+    return O.symbol_rows(pages).drop("position")
 
 
 def file_imports(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,7 +243,7 @@ def _state_chunks(files: DataFrame, version: int) -> DataFrame:
 
 def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Chunks of both runs, and the changes the second one found."""
-    changed = _changes(spark, folder).where("change <> 'unchanged'").withColumn("v", F.lit(2).cast("long"))
+    changed = settle(_changes(spark, folder).where("change <> 'unchanged'").withColumn("v", F.lit(2).cast("long")))
     fresh = V.new_state(spark, folder).join(
         changed.where("change <> 'deleted'").select("relative_path"), "relative_path", "left_semi")
     rows = _state_chunks(V.old_state(spark, folder), 1).unionByName(_state_chunks(fresh, 2))
@@ -272,9 +270,11 @@ def meta_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def reindex_totals(spark: SparkSession, folder: str) -> DataFrame:
     rows, changed = _versions(spark, folder)
-    made = rows.where("v = 2").agg(F.count("*").alias("chunks_created"))
-    counts = C.change_counts(changed).selectExpr("added + modified as files_processed", "deleted as files_deleted")
-    return counts.join(made, F.lit(True))
+    made = rows.where("v = 2").select(F.lit("chunk").alias("change"))
+    events = changed.select("change").unionAll(made)
+    return events.agg(F.count_if(F.col("change").isin("added", "modified")).alias("files_processed"),
+                      F.count_if(F.col("change") == "deleted").alias("files_deleted"),
+                      F.count_if(F.col("change") == "chunk").alias("chunks_created"))
 
 
 QUERIES: dict[str, Query] = {

@@ -4,12 +4,14 @@ One table row becomes one file, so no view groups rows and none depends on how k
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions import text as X
+from treelode.session import spread
 from treelode.sources.tree import category_of
 
 
@@ -17,14 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def doc_files(spark: SparkSession, folder: str) -> DataFrame:
+def doc_files(spark: SparkSession, folder: str, prepare: Callable[[DataFrame], DataFrame] = lambda scan: scan) -> DataFrame:
     path = F.expr("concat('docs/', source, '/', lang, '/', doc_id, '.md')")
-    return table(spark, folder, "documents").select("doc_id", path.alias("relative_path"), F.col("text").alias("content"))
+    return prepare(table(spark, folder, "documents")).select("doc_id", path.alias("relative_path"), F.col("text").alias("content"))
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     path = F.expr("concat('src/pages/', page_id, '.html')")
-    return table(spark, folder, "pages").select(path.alias("relative_path"), F.col("html").alias("content"))
+    return spread(table(spark, folder, "pages")).select(path.alias("relative_path"), F.col("html").alias("content"))
 
 
 def project_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +56,7 @@ def shaped_paths(spark: SparkSession, folder: str) -> DataFrame:
 def long_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document repeated one to eight times, so that files pass 50 and 200 lines."""
     text = F.expr("array_join(array_repeat(text, cast(doc_id % 8 + 1 as int)), '\n')")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.expr("concat('db/', source, '/', doc_id, '.sql')").alias("file_path"), F.lit(".sql").alias("extension"),
         F.lit("code").alias("category"), text.alias("content"))
 
@@ -68,7 +70,7 @@ def heading_files(spark: SparkSession, folder: str) -> DataFrame:
         .when(i % 11 == 6, F.concat(F.lit("##"), line))
         .when(i % 9 == 8, F.lit("   "))
         .otherwise(line))), "\n")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.expr("concat('docs/', source, '/', doc_id, '.md')").alias("file_path"), F.lit(".md").alias("extension"),
         F.lit("docs").alias("category"), content.alias("content"))
 
@@ -81,7 +83,7 @@ def marked_files(spark: SparkSession, folder: str) -> DataFrame:
     markers = F.array(*[F.lit(m) for m in MARKERS])
     content = F.array_join(F.transform(X.lines_of(F.col("text")), lambda line, i: (
         F.concat(F.get(markers, (i % len(MARKERS)).cast("int")), line))), "\n")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.expr("concat('src/', doc_id, '.py')").alias("file_path"), F.lit(".py").alias("extension"),
         content.alias("content"))
 
@@ -322,7 +324,7 @@ def _filled(text: str, filler: str) -> Column:
 def source_files(spark: SparkSession, folder: str, language: str) -> DataFrame:
     """One source file per part in a language, with as many filler lines as the part's size."""
     sample = SAMPLES[language]
-    parts = table(spark, folder, "part").where("p_size > 0")
+    parts = spread(table(spark, folder, "part")).where("p_size > 0")
     path = F.replace(F.lit(sample.path), F.lit("@K"), F.col("p_partkey").cast("string"))
     return parts.select(path.alias("file_path"), F.lit("." + sample.path.rsplit(".", 1)[1]).alias("extension"),
                         F.lit("code").alias("category"), _filled(sample.text, sample.filler).alias("content"),

@@ -48,6 +48,15 @@ def warnings_of(content: Column, extension: Column) -> Column:
     return F.when(extension.isin(*LANGUAGE_OF), X.warning_lines(content)).otherwise(F.array().cast(NO_NAMES))
 
 
+def symbol_rows(files: DataFrame) -> DataFrame:
+    """One row per symbol: file_path, position, name, kind, line_start, line_end."""
+    # An expression instead of the bare column: the optimizer would add a size filter for a column,
+    # and evaluate the statement function for it a second time.
+    symbols = F.coalesce(F.col("symbols"), F.array().cast(NO_SYMBOLS))
+    spread = with_structure(files).select("file_path", F.posexplode(symbols).alias("position", "symbol"))
+    return spread.select("file_path", "position", "symbol.*")
+
+
 def file_outline(files: DataFrame) -> DataFrame:
     """One row per file: lines, imports, exports, symbols_count, symbols, warnings, error."""
     content, ext = F.col("content"), F.col("extension")
@@ -77,8 +86,11 @@ def symbol_source(files: DataFrame, name: Column, context: bool = True) -> DataF
     `name` may be a literal or a column of `files`.
     """
     content = F.col("content")
-    first = F.get(F.filter(F.col("symbols"), lambda s: s["name"] == F.col("wanted")), F.lit(0))
-    found = with_structure(files.withColumn("wanted", name)).withColumn("found", first).where("found is not null")
+    # Exploding the first match, rather than filtering on it, keeps the optimizer from copying the
+    # statement function below the filter and running it twice.
+    match = F.slice(F.filter(F.col("symbols"), lambda s: s["name"] == F.col("wanted")), 1, 1)
+    structure = with_structure(files.withColumn("wanted", name))
+    found = structure.select(*structure.columns, F.explode(match).alias("found"))
     columns = [
         F.col("file_path").alias("file"),
         F.col("wanted").alias("symbol"),

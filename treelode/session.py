@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     # Oracle comparison and ISO timestamps both need UTC.
@@ -53,3 +53,28 @@ def ship_package(spark: SparkSession) -> None:
             target.write(source, source.relative_to(package.parent).as_posix())
     context.addPyFile(str(archive))
     context._treelode_shipped = True
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Give a scan at least one task per core, for work that is heavy per row.
+
+    A scan of many files or row groups already has more and is returned as it is, without a shuffle.
+    `frame` must be a plain scan: counting its tasks must not run anything.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Compute a small frame that several branches read, once, into the shared checkpoint folder.
+
+    Without such a folder a cluster recomputes the frame instead; only a local session gets a
+    temporary one.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            return frame
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treelode-checkpoint-"))
+    return frame.checkpoint()
