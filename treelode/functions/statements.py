@@ -16,45 +16,56 @@ from pyspark.sql import functions as F
 from treelode import schema
 
 # Lexical rules. `skip` is comments, `text` is string literals, `open` the brackets
-# whose bodies are emptied, `end` how a statement ends: at a newline (asi, go) or only at a closing
-# brace or semicolon (brace).
-_DQ, _SQ = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-_DQ_ML, _SQ_ML = r'"[^"\\]*(?:\\.[^"\\]*)*"', r"'[^'\\]*(?:\\.[^'\\]*)*'"
+# whose bodies are emptied, `starts` every character a comment or literal can begin with, and `end`
+# how a statement ends: at a newline (asi, go) or only at a closing brace or semicolon (brace).
+_DQ, _SQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_DQ_ML, _SQ_ML = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\Z)', r"'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\Z)"
 _BLOCK = r"/\*.*?(?:\*/|\Z)"
 _LEX = {
-    "script": dict(skip=rf"//[^\n]*|{_BLOCK}|\A\#![^\n]*", text=rf"{_DQ}|{_SQ}", open="([{", end="asi"),
-    "go": dict(skip=rf"//[^\n]*|{_BLOCK}", text=rf"{_DQ}|{_SQ}|`[^`]*(?:`|\Z)", open="([{", end="go"),
-    "rust": dict(skip=rf"//[^\n]*|{_BLOCK}", open="([{", end="brace",
-                 text=rf"b?r(?P<hash>#*)\".*?\"(?P=hash)|{_DQ_ML}|'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'|'\w+"),
-    "php": dict(skip=rf"(?://|\#(?!\[))[^\n]*?(?=\?>|\n|\Z)|{_BLOCK}|\?>.*?(?:<\?php|<\?=|\Z)", open="([{", end="brace",
+    "script": dict(skip=rf"//[^\n]*|{_BLOCK}|\A\#![^\n]*", text=rf"{_DQ}|{_SQ}", open="([{", starts="\"'/`#", end="asi"),
+    "go": dict(skip=rf"//[^\n]*|{_BLOCK}", text=rf"{_DQ}|{_SQ}|`[^`]*(?:`|\Z)", open="([{", starts="\"'/`", end="go"),
+    "rust": dict(skip=rf"//[^\n]*|{_BLOCK}", open="([{", starts="\"'/", end="brace",
+                 text=rf"(?<=r)\"[^\"]*\"|(?<=r#)\".*?\"\#|(?<=r##)\".*?\"\#\#"
+                      rf"|(?<=r###)\".*?\"\#\#\#|{_DQ_ML}"
+                      r"|'(?:[^'\\\n]|\\[^\n]{1,10}?)'|'\w+"),
+    "php": dict(skip=rf"(?://|\#(?!\[))[^\n]*?(?=\?>|\n|\Z)|{_BLOCK}|\?>.*?(?:<\?php|<\?=|\Z)", open="([{",
+                starts="\"'/#?<", end="brace",
                 text=rf"<<<[ \t]*[\"']?(?P<doc>\w+)[\"']?\n.*?\n[ \t]*(?P=doc)\b|{_DQ_ML}|{_SQ_ML}"),
-    "css": dict(skip=_BLOCK, text=rf"{_DQ}|{_SQ}", open="{", end="brace"),
-    "python": dict(skip=r"\#[^\n]*|\\\n", open="([{", end="indent",
-                   text=rf'"""[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*(?:"""|\Z)'
-                        rf"|'''[^'\\]*(?:(?:\\.|'(?!''))[^'\\]*)*(?:'''|\Z)|{_DQ}|{_SQ}"),
+    "css": dict(skip=_BLOCK, text=rf"{_DQ}|{_SQ}", open="{", starts="\"'/", end="brace"),
+    "python": dict(skip=r"\#[^\n]*|\\\n", open="([{", starts="\"'#\\", end="indent",
+                   text=rf'"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+(?:"""|\Z)'
+                        rf"|'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+(?:'''|\Z)|{_DQ}|{_SQ}"),
 }
 LANGUAGE_OF = {
     ".ts": "script", ".tsx": "script", ".js": "script", ".jsx": "script", ".py": "python", ".go": "go",
     ".rs": "rust", ".php": "php", ".html": "html", ".css": "css",
 }
+_BLANK = " \t\r\f\v\ufeff"
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
 
 
 def _compile(rule: dict) -> dict:
+    """Patterns that first pass over everything no rule can start with, then match one token."""
     lit, opens = f"(?P<skip>{rule['skip']})|(?P<text>{rule['text']})", re.escape(rule["open"])
-    closes = re.escape("".join(_CLOSER[c] for c in rule["open"]))
+    closes, starts = re.escape("".join(_CLOSER[c] for c in rule["open"])), re.escape(rule["starts"])
+    deep = rf"[^{starts}{opens}{closes}]*+(?:{lit}|(?P<open>[{opens}])|(?P<close>[{closes}])|(?P<other>.)|\Z)"
+    brace = rf"[^{starts}{{}}]*+(?:{lit}|(?P<open>\{{)|(?P<close>\}})|(?P<other>.)|\Z)"
     return dict(
         rule,
-        flat=re.compile(rf"{lit}|(?P<nl>\n)|(?P<space>[^\S\n]+|\ufeff)|(?P<open>[{opens}])|(?P<close>[{closes}])"
-                        r"|(?P<word>[\w$]+)|(?P<punct>=>|\+\+|--|!=|.)", re.S),
-        deep=re.compile(rf"{lit}|(?P<open>[{opens}])|(?P<close>[{closes}])|(?P<punct>[`/])", re.S),
+        flat=re.compile(rf"{lit}|(?P<nl>\n\s*)|(?P<open>[{opens}])|(?P<close>[{closes}])|(?P<semi>;)"
+                        rf"|(?P<run>[^\n;{starts}{opens}{closes}]+)|(?P<other>.)", re.S),
+        deep=re.compile(deep, re.S),
+        brace=re.compile(brace, re.S),
         block=re.compile(rf"{rule['skip']}|(?P<keep>{rule['text']})", re.S),
     )
 
 
 _RULES = {name: _compile(rule) for name, rule in _LEX.items()}
-_PYTHON_BODY = re.compile(rf"{_LEX['python']['skip']}|(?P<text>{_LEX['python']['text']})|(?P<open>[(\[{{])"
-                          r"|(?P<next>\n(?=[^\s#]))", re.S)
+_PYTHON_BODY = re.compile(
+    rf"[^\"'#\\(\[{{\n]*+(?:{_LEX['python']['skip']}|(?P<text>{_LEX['python']['text']})|(?P<open>[(\[{{])"
+    r"|(?P<next>\n(?=[^\s#]))|.|\Z)", re.S)
+_FIRST = re.compile(r"\s*([\w$]+|=>|\+\+|--|!=|.)", re.S)
+_LAST = re.compile(r"(?:[\w$]+|=>|\+\+|--|!=|[^\w\s])\Z")
 _REGEX_LITERAL = re.compile(r"/(?![*/>])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
 _TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
 _NESTED_COMMENT = re.compile(r"/\*|\*/")
@@ -82,43 +93,40 @@ _PHP_BLOCK = re.compile(r"(?i)(?:#\[\]\s*)*(?:(?:function\s+&?\s*\w+|abstract|fi
 
 def _close(text: str, pos: int, rule: dict, first: str) -> int:
     """Offset just after the bracket or template that opened before `pos` as `first`."""
-    stack = [first]
-    while stack:
+    stack, size, script = [first], len(text), rule["end"] == "asi"
+    deep, brace = rule["deep"].match, rule["brace"].match
+    while stack and pos < size:
         if stack[-1] == "`":
             hit = _TEMPLATE.search(text, pos)
             if hit is None:
-                return len(text)
+                return size
             pos = hit.end()
             if hit.group() == "`":
                 stack.pop()
             elif hit.group() == "${":
                 stack.append("{")
             continue
-        hit = rule["deep"].search(text, pos)
-        if hit is None:
-            return len(text)
-        pos, kind, found = hit.end(), hit.lastgroup, hit.group()
+        # Inside braces only braces count, so a lone bracket in markup text cannot hide the end.
+        hit = brace(text, pos) if stack[-1] == "{" else deep(text, pos)
+        pos, kind = hit.end(), hit.lastgroup
         if kind == "open":
-            stack.append(found)
+            stack.append(text[pos - 1])
         elif kind == "close":
-            if _CLOSER[stack[-1]] == found:
+            if _CLOSER[stack[-1]] == text[pos - 1]:
                 stack.pop()
-            elif found == "}" and "{" in stack:
-                # A lone bracket in markup text must not hide the brace that closes around it.
-                while stack.pop() != "{":
-                    pass
-        elif kind == "punct" and rule["end"] == "asi":
-            if found == "`":
+        elif kind == "other" and script:
+            if text[pos - 1] == "`":
                 stack.append("`")
-            else:
-                pos = _slash(text, hit.start(), text[max(0, hit.start() - 40):hit.start()])
+            elif text[pos - 1] == "/":
+                pos = _slash(text, pos - 1)
         elif kind == "skip":
-            pos = _comment(text, hit.start(), pos, rule)
+            pos = _comment(text, hit.start("skip"), pos, rule)
     return pos
 
 
-def _slash(text: str, at: int, before: str) -> int:
-    literal = _REGEX_LITERAL.match(text, at) if _BEFORE_REGEX.search(before) else None
+def _slash(text: str, at: int) -> int:
+    """Offset after a regular expression literal, or after the slash when it divides."""
+    literal = _REGEX_LITERAL.match(text, at) if _BEFORE_REGEX.search(text[max(0, at - 40):at]) else None
     return literal.end() if literal else at + 1
 
 
@@ -166,68 +174,84 @@ class _Cutter:
         self.head = []
 
 
-def _ends_at_newline(kind: str, head: list[str], last: str, token: str) -> bool:
-    if kind == "go":
-        return bool(_GO_ENDS.search(last))
-    if kind != "asi":
-        return False
-    if last in _WORDS_AFTER or (_MORE_AFTER.search(last) and last not in ("++", "--")):
+def _ends_at_newline(kind: str, out: _Cutter, operand: bool, token: str) -> bool:
+    """Whether a line break ends the statement; `operand` says it was read up to a literal or bracket."""
+    if kind == "brace":
         return False
+    if not operand:
+        last = _LAST.search(out.text[max(out.begin, out.end - 40):out.end])
+        last = last.group() if last else ""
+        if kind == "go":
+            return bool(_GO_ENDS.search(last))
+        if last in _WORDS_AFTER or (_MORE_AFTER.search(last) and last not in ("++", "--")):
+            return False
+    elif kind == "go":
+        return True
     if token == "{":
-        return not _SCRIPT_BLOCK.match("".join(head))
-    if head[0] == "@" and _DECORATORS.fullmatch("".join(head)):
+        return not _SCRIPT_BLOCK.match("".join(out.head))
+    if out.head[0][0] == "@" and _DECORATORS.fullmatch("".join(out.head)):
         return False
     return not (token in _WORDS_BEFORE or _MORE_BEFORE.match(token))
 
 
 def _cut_braced(text: str, language: str) -> list[tuple[str, int, int]]:
     rule = _RULES[language]
-    kind, out = rule["end"], _Cutter(text)
-    pos, size, last, newline, closed = 0, len(text), "", False, False
+    kind, flat, out = rule["end"], rule["flat"].match, _Cutter(text)
+    script = kind == "asi"
+    pos, size, operand, newline, closed = 0, len(text), False, False, False
     if language == "php":
         opening = re.search(r"<\?(?:php\b|=)", text)
         pos = opening.end() if opening else size
     while pos < size:
-        hit = rule["flat"].match(text, pos)
-        at, pos, group, token = pos, hit.end(), hit.lastgroup, hit.group()
-        if group in ("nl", "space", "skip"):
-            if group == "skip":
-                pos = _comment(text, at, pos, rule)
-            newline = newline or "\n" in text[at:pos]
+        hit = flat(text, pos)
+        at, pos, group = pos, hit.end(), hit.lastgroup
+        if group == "skip":
+            pos = _comment(text, at, pos, rule)
+        if group in ("nl", "skip") or (group == "run" and not hit.group().strip(_BLANK)):
+            newline = newline or group == "nl" or "\n" in text[at:pos]
             out.gap()
             continue
-        if out.head:
+        if out.head and (closed or newline):
+            token = _FIRST.match(text, at).group(1)
             if closed:
-                more = token in _BLOCK_MORE or (token == "while" and out.head[0] == "do")
-                if not more:
+                if not (token in _BLOCK_MORE or (token == "while" and out.head[0].startswith("do"))):
                     out.flush()
-            elif newline and _ends_at_newline(kind, out.head, last, token):
+            elif _ends_at_newline(kind, out, operand, token):
                 out.flush()
         newline = closed = False
-        last = token
-        if token == ";":
-            out.add(token, at, pos)
+        operand = group not in ("run", "semi", "other")
+        first = text[at]
+        if group == "semi":
+            out.add(";", at, pos)
             _finish(out, language)
-        elif group == "open" or (token == "`" and kind == "asi"):
-            pos = _close(text, pos, rule, token)
-            out.add(token + _CLOSER.get(token, "`"), at, pos)
-            last = _CLOSER.get(token, "`")
-            if token == "{":
+        elif group == "open" or (first == "`" and script):
+            pos = _close(text, pos, rule, first)
+            operand = True
+            out.add(first + _CLOSER.get(first, "`"), at, pos)
+            if first == "{":
                 head = "".join(out.head)
-                if kind == "asi":
+                if script:
                     closed = bool(_SCRIPT_BLOCK.match(head))
                 elif language == "css" or (language == "php" and _PHP_BLOCK.match(head)) or (
                         language == "rust" and not _RUST_SEMICOLON.match(head)):
                     _finish(out, language)
-            elif token == "[" and language == "rust" and "".join(out.head) in ("#[]", "#![]"):
+            elif first == "[" and language == "rust" and "".join(out.head) in ("#[]", "#![]"):
                 out.flush()
-        elif token == "/" and kind == "asi":
-            pos = _slash(text, at, "".join(out.head)[-40:])
+        elif first == "/" and script:
+            pos = _slash(text, at)
+            operand = pos > at + 1
+            out.add(text[at:pos], at, pos)
+        elif group == "run":
+            run = hit.group()
+            bare = run.strip(_BLANK)
+            lead = run.index(bare)
+            if lead:
+                out.gap()
+            out.add(bare, at + lead, at + lead + len(bare))
+            if lead + len(bare) < len(run):
+                out.gap()
+        elif group != "close":
             out.add(text[at:pos], at, pos)
-        elif group == "close":
-            continue
-        else:
-            out.add(token, at, pos)
     _finish(out, language)
     return out.done
 
@@ -243,10 +267,10 @@ def _finish(out: _Cutter, language: str) -> None:
 
 
 def _before_brace(raw: str) -> str:
-    for hit in _RULES["css"]["deep"].finditer(raw):
-        if hit.lastgroup == "open":
-            return raw[:hit.start()]
-    return raw
+    pos = 0
+    while (hit := _RULES["css"]["brace"].match(raw, pos)).lastgroup != "open":
+        pos = hit.end()
+    return raw[:hit.end() - 1].rstrip()
 
 
 def _cut_go(text: str) -> list[tuple[str, int, int]]:
@@ -264,66 +288,71 @@ def _cut_go(text: str) -> list[tuple[str, int, int]]:
 def _cut_python(text: str) -> list[tuple[str, int, int]]:
     """A statement starts at column 0 and runs to the next one; decorators join what they decorate."""
     rule, out = _RULES["python"], _Cutter(text)
-    pos, size, depth0 = 0, len(text), True
+    flat, pos, size = rule["flat"].match, 0, len(text)
     while pos < size:
-        hit = rule["flat"].match(text, pos)
-        at, pos, group, token = pos, hit.end(), hit.lastgroup, hit.group()
-        if group in ("space", "skip"):
+        hit = flat(text, pos)
+        at, pos, group = pos, hit.end(), hit.lastgroup
+        if group == "skip":
             out.gap()
         elif group == "nl":
             head = "".join(out.head).strip()
-            if not head or (head.startswith("@") and not re.search(r"\s(?:async\s+)?(?:def|class)\b", head)):
+            if not head or (head[0] == "@" and not re.search(r"\s(?:async\s+)?(?:def|class)\b", head)):
                 out.gap()
                 continue
             # The first line is complete: pass over the indented body.
-            stop, inner = pos - 1, at
-            while True:
-                found = _PYTHON_BODY.search(text, stop)
-                if found is None:
-                    stop = size
-                    break
+            stop, inner = at, at
+            while stop < size:
+                found = _PYTHON_BODY.match(text, stop)
                 if found.lastgroup == "next":
-                    stop = found.start()
+                    stop = found.end() - 1
                     break
                 stop = found.end()
                 if found.lastgroup == "open":
-                    stop = _close(text, stop, rule, found.group())
-                if found.lastgroup in ("open", "text", "doc"):
-                    inner = max(inner, stop)
+                    stop = _close(text, stop, rule, text[stop - 1])
+                if found.lastgroup in ("open", "text"):
+                    inner = stop
             end = _body_end(text, at, stop, max(out.end, inner if inner > at else 0))
-            if head.startswith("from"):
-                head = text[out.begin:out.end]
-            out.flush(head, end)
+            out.flush(text[out.begin:out.end] if head.startswith("from") else head, end)
             pos = stop
         elif group == "open":
-            pos = _close(text, pos, rule, token)
-            out.add(token + _CLOSER[token], at, pos)
-        elif token == ";" and not re.match(r"@|(?:async\s+)?def\b|class\b", "".join(out.head)):
+            pos = _close(text, pos, rule, text[at])
+            out.add(text[at] + _CLOSER[text[at]], at, pos)
+        elif group == "semi" and not re.match(r"@|(?:async\s+)?def\b|class\b", "".join(out.head)):
             out.flush()
+        elif group == "run" and not hit.group().strip(_BLANK):
+            out.gap()
         else:
-            out.add(token, at, pos)
+            run = text[at:pos].lstrip("\ufeff")
+            out.add(run, pos - len(run), at + len(text[at:pos].rstrip()))
     head = "".join(out.head).strip()
     out.flush(text[out.begin:out.end] if head.startswith("from") else head)
     return out.done
 
 
+_FIRST_INDENT = re.compile(r"(?:[^\S\n]*(?:#[^\n]*)?\n)*([^\S\n]*)")
+
+
 def _body_end(text: str, header_end: int, stop: int, least: int) -> int:
     """End of the last code line, moved over comment lines that are indented like the body."""
-    end, indent, offset, open_tail = header_end, None, header_end + 1, True
-    for line in text[header_end + 1:stop].split("\n"):
-        stripped = line.strip()
-        width = len(line) - len(line.lstrip())
-        if offset < least:
-            indent = width if indent is None and stripped and not stripped.startswith("#") else indent
-            end, open_tail = max(end, min(least, offset + len(line))), True
-        elif stripped and not stripped.startswith("#"):
-            indent = width if indent is None else indent
-            end, open_tail = offset + len(line.rstrip()), True
-        elif stripped and indent is not None and open_tail:
-            open_tail = width >= indent
-            end = offset + len(line) if open_tail else end
-        offset += len(line) + 1
-    return max(end, least)
+    comments, end = [], stop
+    while end > least:  # back over blank and comment lines
+        begin = max(text.rfind("\n", 0, end) + 1, least)
+        line = text[begin:end]
+        bare = line.strip()
+        if bare and bare[0] != "#":
+            end = begin + len(line.rstrip())
+            break
+        if bare and begin > least:
+            comments.append((len(line) - len(line.lstrip()), begin + len(line.rstrip())))
+        end = begin - 1
+    end = max(end, least)
+    if comments and end > header_end:
+        indent = len(_FIRST_INDENT.match(text, header_end + 1).group(1))
+        for width, offset in reversed(comments):
+            if width < indent:
+                break
+            end = offset
+    return end
 
 
 # Elements without content, and the start tags before which an open element ends.
@@ -388,17 +417,22 @@ def cut(text: str, extension: str) -> list[tuple[str, int, int]] | None:
 
 @F.arrow_udf(schema.STATEMENTS)
 def _statements(content: pa.Array, extension: pa.Array) -> pa.Array:
-    rows = []
-    for text, ext in zip(content, extension):
-        text, ext = text.as_py(), ext.as_py()
+    heads, firsts, lasts, offsets, missing = [], [], [], [0], []
+    for text, ext in zip(content.to_pylist(), extension.to_pylist()):
         try:
             found = None if text is None else cut(text, ext)
         except Exception:  # a text that cannot be cut is chunked by lines instead
             found = None
-        rows.append(None if found is None else [dict(head=h, row_start=a, row_end=b) for h, a, b in found])
-    kind = pa.list_(pa.struct([pa.field("head", pa.string(), False), pa.field("row_start", pa.int32(), False),
-                               pa.field("row_end", pa.int32(), False)]))
-    return pa.array(rows, kind)
+        for head, first, last in found or ():
+            heads.append(head)
+            firsts.append(first)
+            lasts.append(last)
+        offsets.append(len(heads))
+        missing.append(found is None)
+    fields = [pa.field("head", pa.string(), False), pa.field("row_start", pa.int32(), False), pa.field("row_end", pa.int32(), False)]
+    columns = [pa.array(heads, pa.string()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields),
+                                    mask=pa.array(missing))
 
 
 def statements_of(content: Column, extension: Column) -> Column:
