@@ -15,6 +15,7 @@ from treelode.operators import chunking as K
 from treelode.operators import outline as O
 from treelode.operators import search as S
 from treelode.operators import tree as T
+from treelode.functions.vectors import squared_l2
 from treelode.operators.embedding import HashingEmbedder, embed_chunks
 from treelode.operators.versions import live_rows, replaced_paths
 from treelode.session import settle, ship_package, spread
@@ -45,12 +46,12 @@ def _vector(spark: SparkSession, folder: str) -> list[float]:
 
 def knn_search_code(spark: SparkSession, folder: str) -> DataFrame:
     chunks = V.chunk_vectors(spark, folder).where(S.is_code())
-    return S.code_results(S.nearest(chunks, _vector(spark, folder), 10))
+    return S.code_results(V.with_text(S.nearest(chunks, _vector(spark, folder), 10)))
 
 
 def knn_search_docs(spark: SparkSession, folder: str) -> DataFrame:
     chunks = V.chunk_vectors(spark, folder).where(S.is_doc())
-    return S.doc_results(S.nearest(chunks, _vector(spark, folder), 5))
+    return S.doc_results(V.with_text(S.nearest(chunks, _vector(spark, folder), 5)))
 
 
 def knn_extension_filter(spark: SparkSession, folder: str, exact: bool = False) -> DataFrame:
@@ -66,9 +67,8 @@ def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_and_preview(spark: SparkSession, folder: str) -> DataFrame:
-    from treelode.functions.vectors import squared_l2
     distance = squared_l2(F.col("vector"), _vector(spark, folder))
-    return V.chunk_vectors(spark, folder).select(
+    return V.with_text(V.chunk_vectors(spark, folder)).select(
         F.col("id").alias("chunk_id"), X.score_of(distance).alias("score"), X.preview_of(F.col("content")).alias("preview"))
 
 

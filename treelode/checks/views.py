@@ -95,11 +95,16 @@ def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
         "concat('src/m', vec_id % 20, '/f', vec_id, element_at(array('.ts', '.tsx', '.py', '.go', '.md'), cast(vec_id % 5 as int) + 1)) as file_path",
         "case when label < 2 then 'doc_section' when label < 5 then 'function' when label < 8 then 'class' else 'hook' end as chunk_type",
         "concat('s', label) as name", "cast(vec_id % 40 + 1 as int) as line_start", "cast(vec_id % 40 + 1 + vec_id % 7 as int) as line_end",
-        "concat('// File: f', vec_id, '\n\n', array_join(transform(sequence(1, cast(3 + vec_id % 12 as int)), "
-        "i -> if(i % 4 = 0, concat('// note ', i), concat('row ', i))), '\n')) as content",
         "embedding as vector")
 
 
+def with_text(chunks: DataFrame) -> DataFrame:
+    """Add the content of stored chunks. Searches do so for the rows they found, not for all."""
+    return chunks.withColumn("content", F.expr(
+        "concat('// File: f', vec_id, '\n\n', array_join(transform(sequence(1, cast(3 + vec_id % 12 as int)), "
+        "i -> if(i % 4 = 0, concat('// note ', i), concat('row ', i))), '\n'))"))
+
+
 def query_vectors(spark: SparkSession, folder: str, *ids: int) -> list[tuple[int, list[float]]]:
     """Vectors of a few rows, as a caller would hold them after embedding its queries."""
     rows = chunk_vectors(spark, folder).where(F.col("vec_id").isin(*ids)).select("vec_id", "vector").collect()

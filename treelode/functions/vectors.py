@@ -9,23 +9,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BLOCK_NUMBERS = 1 << 16
+
+
 def matrix_of(vectors: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows of doubles, straight from the Arrow buffer."""
-    if len(vectors) == 0:
-        return np.empty((0, width))
+    """Vectors as rows, a view of the Arrow buffer."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if flat.size != len(vectors) * width:
         raise ValueError(f"every vector must have {width} numbers")
-    return flat.reshape(len(vectors), width).astype(np.float64)
+    return flat.reshape(len(vectors), width)
+
+
+def squared_gaps(vectors: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distance of every row to `target`, in double precision.
+
+    Rows are widened a block at a time, so the doubles stay in the processor cache.
+    """
+    out = np.empty(len(vectors))
+    step = max(1, BLOCK_NUMBERS // target.size)
+    for at in range(0, len(vectors), step):
+        gap = vectors[at:at + step] - target
+        out[at:at + step] = np.einsum("ij,ij->i", gap, gap)
+    return out
 
 
 def squared_l2(vector: Column, query: Sequence[float]) -> Column:
-    """Squared Euclidean distance to one query vector, in double precision."""
+    """Squared distance to one query vector, for every row."""
     target = np.asarray(query, dtype=np.float64)
 
     @F.arrow_udf("double")
     def distance(vectors: pa.Array) -> pa.Array:
-        gap = matrix_of(vectors, target.size) - target
-        return pa.array(np.einsum("ij,ij->i", gap, gap))
+        return pa.array(squared_gaps(matrix_of(vectors, target.size), target))
 
     return distance(vector)

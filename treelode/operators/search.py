@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelode.functions import text as X
-from treelode.functions.vectors import matrix_of, squared_l2
+from treelode.functions.vectors import matrix_of, squared_gaps
 
 OVERFETCH = 3
 # Distance alone does not order copies of a vector; these columns do.
@@ -28,13 +28,12 @@ def is_doc() -> Column:
 
 
 def nearest(table: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
-    """The `limit` rows with the smallest distance: per-task top-k, then one merge of those."""
-    return (
-        table.withColumn("_distance", squared_l2(F.col("vector"), query))
-        .drop("vector")
-        .orderBy(*ORDER)
-        .limit(limit)
-    )
+    """The `limit` rows with the smallest distance, without their vector.
+
+    Each task passes on only its own best rows, and one merge picks among those.
+    """
+    found = _task_best(table, [(0, query)], limit).drop("query_id")
+    return found.orderBy(*ORDER).limit(limit)
 
 
 def fetch_size(limit: int, extensions: Sequence[str] | None) -> int:
@@ -92,22 +91,25 @@ QUERY_BLOCK = 256
 
 
 def nearest_batch(table: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
-    """Top-k for several query vectors at once: query_id, rank, _distance and the key columns.
+    """Top-k for several query vectors at once: query_id, rank, _distance and the columns of `table`.
 
     Each task keeps its own best `limit` rows per query and only those are shuffled. Queries go out in
     blocks of 256, one scan per block, so what a task holds does not grow with their number.
     """
     blocks = [queries[i:i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
-    parts = [_block_nearest(table, block, limit) for block in blocks]
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, [_task_best(table, block, limit) for block in blocks])
+    window = Window.partitionBy("query_id").orderBy(*ORDER)
+    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
-def _block_nearest(table: DataFrame, block: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
+def _task_best(table: DataFrame, block: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
+    """The best `limit` rows per query of every task, with query_id and _distance."""
     ids = [int(i) for i, _ in block]
     targets = np.asarray([q for _, q in block], dtype=np.float64)
+    kept_columns = [c for c in table.columns if c != "vector"]
+    order = [(name, "ascending") for name in ("query_id", *ORDER)]
 
     def best(rows: pa.Table) -> pa.Table:
-        order = [("query_id", "ascending")] + [(name, "ascending") for name in ORDER]
         rows = rows.take(pc.sort_indices(rows, sort_keys=order))
         query = rows["query_id"].to_numpy()
         first = np.searchsorted(query, query, side="left")
@@ -116,27 +118,23 @@ def _block_nearest(table: DataFrame, block: Sequence[tuple[int, Sequence[float]]
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
+            if batch.num_rows == 0 or limit < 1:
+                continue
             vectors = matrix_of(batch.column("vector"), targets.shape[1])
-            keys = pa.Table.from_batches([batch.select(TIE_BREAK)])
+            others = pa.Table.from_batches([batch.select(kept_columns)])
             found = [] if kept is None else [kept]
             for at, query_id in enumerate(ids):
-                gap = vectors - targets[at]
-                far = np.einsum("ij,ij->i", gap, gap)
+                far = squared_gaps(vectors, targets[at])
                 near = np.arange(len(far))
                 if len(far) > limit:  # rows beyond the k-th distance cannot be among the best
                     near = np.flatnonzero(far <= np.partition(far, limit - 1)[limit - 1])
-                part = keys.take(pa.array(near))
+                part = others.take(pa.array(near))
                 part = part.append_column("query_id", pa.array(np.full(len(near), query_id, np.int64)))
                 found.append(part.append_column("_distance", pa.array(far[near])))
             kept = best(pa.concat_tables(found))
         if kept is not None:
-            yield from kept.to_batches()
+            yield from kept.combine_chunks().to_batches()
 
     kinds = {field.name: field.dataType.simpleString() for field in table.schema.fields}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in TIE_BREAK] + ["query_id bigint", "_distance double"])
-    window = Window.partitionBy("query_id").orderBy(*ORDER)
-    return (
-        table.select(*TIE_BREAK, "vector").mapInArrow(scan, schema)
-        .withColumn("rank", F.row_number().over(window))
-        .where(F.col("rank") <= limit)
-    )
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept_columns] + ["query_id bigint", "_distance double"])
+    return table.mapInArrow(scan, schema)

@@ -3,15 +3,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.operators.changes import change_counts, detect_changes, meta_rows
 from treelode.operators.chunking import chunk_files
 from treelode.operators.embedding import Embedder, embed_chunks
 from treelode.sources import project as P
-from treelode.sources.store import ROW_OVERHEAD, ChunkStore, Manifest
-from treelode.sources.tree import scan_files, with_contents, with_hashes
+from treelode.sources.store import CHANGES, ROW_OVERHEAD, ChunkStore, Manifest
+from treelode.sources.tree import read_tasks, scan_files, with_contents, with_hashes
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,10 @@ def stored_form(embedded: DataFrame) -> DataFrame:
     return embedded.withColumn("kind", kind)
 
 
+def _total(condition: str, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(F.expr(condition), value)), F.lit(0))
+
+
 def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
     """Index what was added, modified or deleted since the last commit. One commit at the end."""
     store = ChunkStore(spark, root)
@@ -46,15 +50,20 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         changes = files.withColumn("change", F.lit("added"))
     else:
         changes = detect_changes(with_hashes(files, root), store.meta(parent)).where("change <> 'unchanged'")
-    store.write("changes", changes.select("relative_path", "extension", "category", "absolute_path", "change"), version)
+    store.write("changes", changes.select(*CHANGES.names), version)
     changes = store.version("changes", version)
-    size = F.octet_length("relative_path") + ROW_OVERHEAD
-    counts = change_counts(changes, F.coalesce(F.sum(F.when(F.col("change") != "added", size)), F.lit(0)).alias("bytes")).first()
+    counts = change_counts(
+        changes,
+        _total("change <> 'added'", F.octet_length("relative_path") + ROW_OVERHEAD).alias("replaced_bytes"),
+        _total("change <> 'deleted'", F.col("size")).alias("read_bytes"),
+    ).first()
     if counts["total"] == 0:
         return Totals()
 
     embedder.ready()
-    texts = with_contents(changes.where("change in ('added', 'modified')"), root)
+    processed = counts["added"] + counts["modified"]
+    tasks = read_tasks(spark, processed, counts["read_bytes"])
+    texts = with_contents(changes.where("change in ('added', 'modified')"), root, tasks)
     chunks = chunk_files(texts.withColumnRenamed("relative_path", "file_path"))
     store.write("chunks", stored_form(embed_chunks(chunks, embedder)), version, "kind")
 
@@ -67,7 +76,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         old,
         versions=(*old.versions, version),
         replaced_rows=old.replaced_rows + counts["modified"] + counts["deleted"],
-        replaced_bytes=old.replaced_bytes + counts["bytes"],
+        replaced_bytes=old.replaced_bytes + counts["replaced_bytes"],
         dimensions=embedder.dimensions,
     ))
-    return Totals(counts["added"] + counts["modified"], made["made"], counts["deleted"], made["kept"])
+    return Totals(processed, made["made"], counts["deleted"], made["kept"])

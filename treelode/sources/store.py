@@ -28,6 +28,7 @@ CHANGES = T.StructType([
     T.StructField("extension", T.StringType()),
     T.StructField("category", T.StringType()),
     T.StructField("absolute_path", T.StringType()),
+    T.StructField("size", T.LongType()),
     T.StructField("change", T.StringType()),
 ])
 _VERSION = T.StructField("v", T.LongType())

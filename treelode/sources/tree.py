@@ -22,6 +22,7 @@ from treelode.sources import project as P
 # Levels that are listed one directory per row before each task walks what is left below its own.
 SPREAD_LEVELS = 3
 READ_BYTES = 32 << 20
+TASK_BYTES = 64 << 20
 LIST_ROWS = 10_000
 # Directories no scan can enter, because ignore rules that come last name them.
 NEVER_ENTERED = {"node_modules", ".git", ".vectors", "dist"}
@@ -42,65 +43,63 @@ def _seeds(filesystem: pafs.FileSystem, base: str, config: P.Config) -> list[str
     return sorted(s for s, info in zip(outer, infos) if info.type == pafs.FileType.Directory)
 
 
-def _children(filesystem: pafs.FileSystem, base: str, folder: str, dots: bool) -> Iterator[tuple[str, bool]]:
+def _children(filesystem: pafs.FileSystem, base: str, folder: str, dots: bool) -> Iterator[tuple[str, int | None]]:
+    """Paths below a directory, files with their size and directories with None."""
     selector = pafs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)
     for info in filesystem.get_file_info(selector):
         name = info.base_name
         path = f"{folder}/{name}" if folder else name
         if info.type == pafs.FileType.File:
-            yield path, False
+            yield path, info.size
         elif info.type == pafs.FileType.Directory and name not in NEVER_ENTERED and (dots or not name.startswith(".")):
-            yield path, True
+            yield path, None
 
 
 def _lister(root: str, dots: bool, whole: bool):
-    """Replace each directory row by its children, or with `whole` by all files below it."""
+    """Replace each directory row by its children, or with `whole` by all files below it.
+
+    A row without a size is a directory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = P.open_root(root)
-        paths, folders = [], []
+        paths, sizes = [], []
 
         def full() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"relative_path": pa.array(paths, pa.string()), "folder": pa.array(folders, pa.bool_())})
+            out = pa.RecordBatch.from_pydict({"relative_path": pa.array(paths, pa.string()), "size": pa.array(sizes, pa.int64())})
             paths.clear()
-            folders.clear()
+            sizes.clear()
             return out
 
         for batch in batches:
-            stack = list(zip(batch.column("relative_path").to_pylist(), batch.column("folder").to_pylist()))
+            stack = list(zip(batch.column("relative_path").to_pylist(), batch.column("size").to_pylist()))
             while stack:
-                path, folder = stack.pop()
-                if not folder:
-                    paths.append(path)
-                    folders.append(False)
-                else:
-                    for child, is_folder in _children(filesystem, base, path, dots):
-                        if whole and is_folder:
-                            stack.append((child, True))
-                        else:
-                            paths.append(child)
-                            folders.append(is_folder)
-                        if len(paths) >= LIST_ROWS:
-                            yield full()
-                if len(paths) >= LIST_ROWS:
-                    yield full()
+                path, size = stack.pop()
+                for child, length in _children(filesystem, base, path, dots) if size is None else [(path, size)]:
+                    if whole and length is None:
+                        stack.append((child, None))
+                    else:
+                        paths.append(child)
+                        sizes.append(length)
+                    if len(paths) >= LIST_ROWS:
+                        yield full()
         yield full()
 
     return run
 
 
 def list_tree(spark: SparkSession, root: str, config: P.Config) -> DataFrame:
-    """relative_path of every file below the include roots."""
+    """relative_path and size of every file below the include roots."""
     ship_package(spark)
     filesystem, base = P.open_root(root)
     dots = any(part.startswith(".") and part not in (".", "..") for entry in config.include for part in entry.split("/"))
-    schema = "relative_path string, folder boolean"
-    found = spark.createDataFrame([(seed, True) for seed in _seeds(filesystem, base, config)], schema)
+    schema = "relative_path string, size bigint"
+    found = spark.createDataFrame([(seed, None) for seed in _seeds(filesystem, base, config)], schema)
     for level in range(SPREAD_LEVELS + 1):
         # Hashing the path spreads a crowded directory, and replays the same after a lost task.
         found = found.repartition(_partitions(spark), "relative_path")
         found = found.mapInArrow(_lister(root, dots, whole=level == SPREAD_LEVELS), schema)
-    return found.select("relative_path")
+    return found
 
 
 def category_of(extension: Column) -> Column:
@@ -122,13 +121,13 @@ def select_files(paths: DataFrame, config: P.Config, rules: list[tuple[str, bool
 
 
 def scan_files(spark: SparkSession, root: str, config: P.Config | None = None) -> DataFrame:
-    """absolute_path, relative_path, extension, category of the files of a project."""
+    """absolute_path, relative_path, extension, category, size of the files of a project."""
     config = config or P.load_config(root)
     rules = globs.ignore_rules(P.ignore_lines(root))
     _, base = P.open_root(root)
     found = select_files(list_tree(spark, root, config), config, rules)
     return found.select(F.concat(F.lit(f"{base}/"), F.col("relative_path")).alias("absolute_path"),
-                        "relative_path", "extension", "category")
+                        "relative_path", "extension", "category", "size")
 
 
 def _reader(root: str, hashes_only: bool):
@@ -162,20 +161,25 @@ def _joined(batch: pa.RecordBatch, rows: list[int], texts: list[str | None], dig
             .append_column("hash", pa.array(digests, pa.string())))
 
 
-def _read(files: DataFrame, root: str, hashes_only: bool) -> DataFrame:
+def _read(files: DataFrame, root: str, hashes_only: bool, tasks: int) -> DataFrame:
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields]
-    spread = files.repartition(_partitions(files.sparkSession), "relative_path")
+    spread = files.repartition(tasks, "relative_path")
     return spread.mapInArrow(_reader(root, hashes_only), ", ".join([*columns, "content string", "hash string"]))
 
 
-def with_contents(files: DataFrame, root: str) -> DataFrame:
+def read_tasks(spark: SparkSession, files: int, size: int) -> int:
+    """Tasks to read `files` files of `size` bytes: about 64 MB each, and no idle core if it can be helped."""
+    return max(1, -(-size // TASK_BYTES), min(files, spark.sparkContext.defaultParallelism))
+
+
+def with_contents(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """Add the decoded text and its digest; one read per file."""
-    return _read(files, root, hashes_only=False)
+    return _read(files, root, False, tasks or _partitions(files.sparkSession))
 
 
 def with_hashes(files: DataFrame, root: str) -> DataFrame:
     """Add the digest only: texts are read and hashed in the task and go no further."""
-    return _read(files, root, hashes_only=True).drop("content")
+    return _read(files, root, True, _partitions(files.sparkSession)).drop("content")
 
 
 def one_file(spark: SparkSession, root: str, file: str) -> DataFrame | None:
