@@ -49,10 +49,5 @@ def test_row_local_operators_do_not_shuffle_by_key(spark, name):
     assert "hashpartitioning" not in plan_of(QUERIES[name](spark, FOLDER))
 
 
-def test_search_filter_reaches_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(label), GreaterThanOrEqual(label,2)]" in plan_of(
-        QUERIES["knn_search_code"](spark, FOLDER)) or "DataFilters: [" in plan_of(QUERIES["knn_search_code"](spark, FOLDER))
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 10

@@ -1,5 +1,6 @@
 """Index, search and the JSON messages, end to end."""
 import json
+import re
 import shutil
 import sys
 from pathlib import Path
@@ -140,6 +141,32 @@ def test_search_messages(spark, tree):
     assert [r["section"] for r in said["results"]][0] == "Setup" and "// Section: Setup" in said["results"][0]["content"]
 
 
+def test_search_plan(spark, tree):
+    """The kind prunes partitions, the type filter and the winning ids reach the Parquet scan, replaced
+    paths are broadcast, and the vector scan reads no content."""
+    from pyspark.sql import functions as F
+    from treelode.operators import search as S
+
+    root = tree(SOURCE)
+    reindex(spark, root, DIM)
+    tree({"src/a.py": "changed"})
+    reindex(spark, root, DIM)
+    chunks = ChunkStore(spark, root).chunks("code")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "vector"), [0.0] * 64, 5)
+        plan = winners._jdf.queryExecution().executedPlan().toString()
+        lookup = A._with_content(chunks, winners, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.split("\n") if "store/chunks" in line)
+    assert "content" not in scan and "kind#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "Not(EqualTo(chunk_type,doc_section))" in scan.split("PushedFilters")[1]
+    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    scan = next(line for line in lookup.split("\n") if "store/chunks" in line)
+    assert re.search(r"(?:In|EqualTo)\(id", scan.split("PushedFilters")[1])
+
+
 def test_over_fetch_can_return_fewer(spark, tree):
     names = {f"src/m{i}.ts": "match word" for i in range(6)}
     root = tree({**names, "src/z.py": "other"})

@@ -118,18 +118,18 @@ SELECT CASE WHEN file LIKE '%.md' THEN 'docs' ELSE 'code' END AS category, count
 
 # -- change detection -------------------------------------------------------------------------------
 
-_DOCS = "docs AS (SELECT doc_id, 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS relative_path, text FROM documents)"
+_DOCS = "docs AS (SELECT lang, source, 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS relative_path, text FROM documents)"
 _SQL["content_hash"] = f"WITH {_DOCS} SELECT relative_path, sha256(text) AS hash FROM docs"
 _SQL["line_counts"] = f"WITH {_DOCS} SELECT relative_path, 1 + length(text) - length(replace(text, {NL}, '')) AS lines FROM docs"
 _CHANGED = f"""{_DOCS}, changed AS (
-  SELECT relative_path, doc_id, text, CASE
-    WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'modified' ELSE 'unchanged' END AS change
-  FROM docs WHERE doc_id % 10 <> 0 OR doc_id % 11 <> 0)"""
+  SELECT relative_path, lang, source, text, CASE WHEN source = 'src5' THEN 'deleted' WHEN lang = 'de' THEN 'added'
+    WHEN source IN ('src2', 'src9') THEN 'modified' ELSE 'unchanged' END AS change
+  FROM docs WHERE NOT (source = 'src5' AND lang = 'de'))"""
 _SQL["change_detect"] = f"WITH {_CHANGED} SELECT relative_path, change FROM changed"
 _SQL["change_summary"] = f"""WITH {_CHANGED}
 SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified,
   count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change <> 'unchanged') AS total FROM changed"""
-_SQL["deleted_paths"] = f"WITH {_DOCS} SELECT relative_path FROM docs WHERE doc_id % 11 = 0 AND doc_id % 10 <> 0"
+_SQL["deleted_paths"] = f"WITH {_DOCS} SELECT relative_path FROM docs WHERE source = 'src5' AND lang <> 'de'"
 
 # -- chunking ---------------------------------------------------------------------------------------
 
@@ -280,12 +280,12 @@ SELECT chunk_type, count(*) AS chunks, sum(line_start) AS first_lines, sum(line_
 # -- stored tables ----------------------------------------------------------------------------------
 
 _STATE = f"""{_CHANGED}, files AS (
-  SELECT relative_path AS file_path, doc_id, CASE WHEN doc_id % 7 = 0 AND change <> 'added' AND {{old}} THEN text || {NL} || 'old' ELSE text END AS content,
+  SELECT relative_path AS file_path, CASE WHEN source IN ('src2', 'src9') AND change <> 'added' AND {{old}} THEN text || {NL} || 'old' ELSE text END AS content,
     CASE WHEN change IN ('added', 'modified') THEN 2 ELSE 1 END AS v FROM changed WHERE {{where}})"""
 _SQL["upsert_snapshot"] = f"""WITH {_windows(_STATE.format(old='false', where="change <> 'deleted'"), _BASE)}
 SELECT file_path, name, line_start, line_end, md5('// File: ' || file_path || {NL} || {NL} || body) AS content_md5, v
 FROM windows JOIN (SELECT file_path, v FROM files) USING (file_path)"""
-_SQL["delete_by_path"] = f"""WITH {_windows(_STATE.format(old='true', where="doc_id % 10 <> 0 AND doc_id % 3 <> 1"), _BASE)}
+_SQL["delete_by_path"] = f"""WITH {_windows(_STATE.format(old='true', where="lang NOT IN ('de', 'fr')"), _BASE)}
 SELECT file_path, name, line_start, line_end FROM windows"""
 _SQL["meta_rollup"] = f"""WITH {_windows(_LONG, _BASE)}
 SELECT file_path AS relative_path, hash, count(*) AS chunks, md5(string_agg({_ID}, '|' ORDER BY line_start)) AS ids_md5

@@ -257,7 +257,7 @@ def upsert_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delete_by_path(spark: SparkSession, folder: str) -> DataFrame:
-    gone = V.old_state(spark, folder).where("doc_id % 3 = 1").select(
+    gone = V.old_state(spark, folder).where("lang = 'fr'").select(
         "relative_path", F.lit("deleted").alias("change"), F.lit(2).cast("long").alias("v"))
     rows = _state_chunks(V.old_state(spark, folder), 1)
     return live_rows(rows, replaced_paths(gone), "file_path").select("file_path", "name", "line_start", "line_end")
