@@ -62,6 +62,31 @@ def test_incremental_run_equals_rebuild(spark, tree, tmp_path):
     assert ids == {row[6] for row in before}
 
 
+def test_compaction_when_due(spark, tree, monkeypatch):
+    from treelode.sources import store as module
+    root = tree({"src/a.py": "a", "src/b.py": "b"})
+    reindex(spark, root, DIM)
+    assert A.has_index(spark, root) and not A.has_index(spark, root + "/src")
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 10)
+    tree({"src/a.py": "changed"})
+    assert totals(reindex(spark, root, DIM)) == (1, 1, 0, 1)
+    now = ChunkStore(spark, root).manifest()
+    assert len(now.versions) == 1 and now.replaced_bytes == 0 and now.sequence == 3
+    assert {row[0] for row in stored(spark, root)} == {"src/a.py", "src/b.py"} and len(stored(spark, root)) == 2
+
+
+def test_replaced_paths_beyond_the_broadcast_bound(spark, tree, monkeypatch):
+    from treelode.sources import store as module
+    monkeypatch.setattr(module.ChunkStore, "compact_if_due", lambda self: False)
+    root = tree(SOURCE)
+    reindex(spark, root, DIM)
+    tree({"src/a.py": "changed"})
+    reindex(spark, root, DIM)
+    few = stored(spark, root)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert stored(spark, root) == few
+
+
 def test_blank_document_is_added_every_time(spark, tree):
     root = tree({"docs/blank.md": " \n\n", "src/a.py": "x"})
     assert totals(reindex(spark, root, DIM)) == (2, 1, 0, 1)

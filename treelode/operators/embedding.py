@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -27,6 +28,11 @@ class Embedder(Protocol):
         """One vector per text, in order."""
 
 
+@lru_cache(maxsize=1 << 17)
+def _hashed(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 class HashingEmbedder:
     """Counts words by hashed position, scaled to length one.
 
@@ -45,8 +51,7 @@ class HashingEmbedder:
     def _one(self, text: str) -> list[float]:
         vector = [0.0] * self.dimensions
         for word, count in Counter(self._word.findall(text.lower())).items():
-            position = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-            vector[position % self.dimensions] += count
+            vector[_hashed(word) % self.dimensions] += count
         norm = sum(x * x for x in vector) ** 0.5
         return [x / norm for x in vector] if norm else vector
 

@@ -39,7 +39,10 @@ def _total(condition: str, value: Column) -> Column:
 
 
 def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
-    """Index what was added, modified or deleted since the last commit. One commit at the end."""
+    """Index what was added, modified or deleted since the last commit.
+
+    Nothing shows before the one commit at the end, so a run that fails can simply be started again.
+    """
     store = ChunkStore(spark, root)
     parent = store.manifest()
     version = store.next_version(parent)
@@ -79,4 +82,5 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         replaced_bytes=old.replaced_bytes + counts["replaced_bytes"],
         dimensions=embedder.dimensions,
     ))
+    store.compact_if_due()
     return Totals(processed, made["made"], counts["deleted"], made["kept"])

@@ -76,6 +76,11 @@ def _with_content(chunks: DataFrame, winners: DataFrame, limit: int) -> DataFram
     return chunks.drop("vector").where(wanted).join(F.broadcast(distances), "id")
 
 
+def has_index(spark: SparkSession, root: str) -> bool:
+    """Whether anything was ever committed for the project."""
+    return ChunkStore(spark, root).manifest() is not None
+
+
 def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder, limit: int | None = None,
                 extensions: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """Code chunks nearest to a query. An extension filter applies after a threefold over-fetch;

@@ -19,8 +19,10 @@ from treelode import schema
 from treelode.operators.versions import live_rows, replaced_paths
 from treelode.sources.project import root_uri
 
-# Changed paths are broadcast to readers up to this many bytes; beyond it the join shuffles.
+# Replaced paths are broadcast to readers up to this many bytes; beyond it the join shuffles. Indexing
+# compacts the store before readers would get there, or would have to list very many versions.
 BROADCAST_BYTES = 64 << 20
+MAX_VERSIONS = 64
 ROW_OVERHEAD = 64
 
 CHANGES = T.StructType([
@@ -154,6 +156,13 @@ class ChunkStore:
     def meta(self, manifest: Manifest | None = None) -> DataFrame:
         return self.live("meta", "relative_path", manifest).drop("v")
 
+    def compact_if_due(self) -> bool:
+        now = self.manifest()
+        due = now is not None and (now.replaced_bytes > BROADCAST_BYTES or len(now.versions) > MAX_VERSIONS)
+        if due:
+            self.compact()
+        return due
+
     def compact(self) -> Manifest:
         """Copy the live rows into one version, so that readers need no anti join any more."""
         parent = self.manifest()
