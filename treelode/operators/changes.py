@@ -10,7 +10,8 @@ def detect_changes(files: DataFrame, meta: DataFrame) -> DataFrame:
 
     Only paths and digests are shuffled; file contents never are.
     """
-    state = meta.select(F.col("relative_path").alias("stored_path"), F.col("hash").alias("stored_hash"))
+    # The state has one entry per path; grouping keeps it so and shares the shuffle of the join.
+    state = meta.groupBy(F.col("relative_path").alias("stored_path")).agg(F.max("hash").alias("stored_hash"))
     joined = files.join(state, files["relative_path"] == state["stored_path"], "full_outer")
     change = (
         F.when(F.col("stored_path").isNull(), "added")

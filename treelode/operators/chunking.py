@@ -12,23 +12,15 @@ from treelode.functions import text as X
 from treelode.functions.statements import LANGUAGE_OF
 from treelode.operators.outline import with_structure
 
-KEYS = ("file_path", "hash")
-
-
-def _part(kind, name: Column, content: Column, first: Column, last: Column) -> Column:
+def _part(kind, name: Column, body: Column, first: Column, last: Column) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(kind.alias("chunk_type"), name.alias("name"), content.alias("content"),
+    return F.struct(kind.alias("chunk_type"), name.alias("name"), body.alias("body"),
                     first.cast("int").alias("line_start"), last.cast("int").alias("line_end"))
 
 
-def _body(header: Column, text: Column) -> Column:
-    return F.concat(header, F.lit("\n\n"), text)
-
-
-def _whole(header: Column) -> Column:
+def _whole() -> Column:
     """The file as a single module chunk."""
-    return F.array(_part("module", X.base_name(F.col("file_path")), _body(header, F.col("content")),
-                         F.lit(1), F.size("lines")))
+    return F.array(_part("module", X.base_name(F.col("file_path")), F.col("content"), F.lit(1), F.size("lines")))
 
 
 def _file_header() -> Column:
@@ -37,15 +29,15 @@ def _file_header() -> Column:
 
 def window_parts() -> Column:
     """Fixed windows of 200 lines; a file of up to 50 lines stays whole. Needs `lines`."""
-    header, total, lines = _file_header(), F.size("lines"), F.col("lines")
+    total, lines = F.size("lines"), F.col("lines")
 
     def window(first: Column) -> Column:
         last = F.least(first + X.WINDOW_LINES - 1, total)
         name = F.concat(X.base_name(F.col("file_path")), F.lit(":"), X.line_label(first, last))
-        return _part("module", name, _body(header, X.line_slice(lines, first, last)), first, last)
+        return _part("module", name, X.line_slice(lines, first, last), first, last)
 
     windows = F.transform(F.sequence(F.lit(1), total, F.lit(X.WINDOW_LINES)), window)
-    return F.when(total <= X.SMALL_FILE_LINES, _whole(header)).otherwise(windows)
+    return F.when(total <= X.SMALL_FILE_LINES, _whole()).otherwise(windows)
 
 
 def heading_parts() -> Column:
@@ -61,11 +53,7 @@ def heading_parts() -> Column:
         name = F.when(at == 0, X.base_name(F.col("file_path"))).otherwise(title)
         return _part("doc_section", name, X.js_trim(X.line_slice(lines, first, last)), first, last)
 
-    filled = F.filter(F.transform(starts, section), lambda s: s["content"] != "")
-    return F.transform(filled, lambda s: _part(
-        s["chunk_type"], s["name"],
-        F.concat(_file_header(), F.lit("\n// Section: "), s["name"], F.lit("\n\n"), s["content"]),
-        s["line_start"], s["line_end"]))
+    return F.filter(F.transform(starts, section), lambda s: s["body"] != "")
 
 
 def heading_starts(lines: Column) -> Column:
@@ -75,22 +63,27 @@ def heading_starts(lines: Column) -> Column:
 
 
 def symbol_parts() -> Column:
-    """One chunk per named declaration. Needs `lines`, `symbols`, `imports` and `exports`."""
+    """One chunk per named declaration. Needs `lines` and `symbols`."""
     lines = F.col("lines")
-    header = X.chunk_header(F.col("file_path"), F.col("exports"), F.col("imports"))
     each = F.transform(F.col("symbols"), lambda s: _part(
-        s["kind"], s["name"], _body(header, X.line_slice(lines, s["line_start"], s["line_end"])),
-        s["line_start"], s["line_end"]))
+        s["kind"], s["name"], X.line_slice(lines, s["line_start"], s["line_end"]), s["line_start"], s["line_end"]))
     whole = (F.size("lines") <= X.SMALL_FILE_LINES) | (F.size("symbols") == 0)
-    return F.when(whole, _whole(header)).otherwise(each)
+    return F.when(whole, _whole()).otherwise(each)
 
 
-def _explode(files: DataFrame, parts: Column) -> DataFrame:
-    """Rows of chunks with an id that depends only on the file, its text and the position."""
-    spread = files.select(*KEYS, F.posexplode(parts).alias("ordinal", "part"))
+def _explode(files: DataFrame, parts: Column, header: Column) -> DataFrame:
+    """Rows of chunks with an id that depends only on the file, its text and the position.
+
+    The header joins its chunks after the explode: a file with many names has a long one, and the row
+    of the file should not hold it once per chunk.
+    """
+    spread = files.select("file_path", "hash", header.alias("header"), F.posexplode(parts).alias("ordinal", "part"))
     identity = F.concat_ws("\x00", "file_path", "hash", F.col("ordinal").cast("string"),
                            X.line_label(F.col("part.line_start"), F.col("part.line_end")))
-    return spread.select(F.sha2(identity, 256).alias("id"), "file_path", "part.*", "hash")
+    section = F.when(F.col("part.chunk_type") == "doc_section", F.concat(F.lit("\n// Section: "), F.col("part.name")))
+    content = F.concat(F.col("header"), F.coalesce(section, F.lit("")), F.lit("\n\n"), F.col("part.body"))
+    return spread.select(F.sha2(identity, 256).alias("id"), "file_path", "part.chunk_type", "part.name",
+                         content.alias("content"), "part.line_start", "part.line_end", "hash")
 
 
 def _prepared(files: DataFrame) -> DataFrame:
@@ -99,20 +92,28 @@ def _prepared(files: DataFrame) -> DataFrame:
     return files.withColumn("lines", X.lines_of(F.col("content")))
 
 
+def _code_header() -> Column:
+    """File line, names and imports; the file line alone for a text that could not be cut."""
+    full = X.chunk_header(F.col("file_path"), F.col("exports"), F.col("imports"))
+    return F.when(F.col("symbols").isNull(), _file_header()).otherwise(full)
+
+
 def chunk_windows(files: DataFrame) -> DataFrame:
     """Code without declaration rules."""
-    return _explode(_prepared(files), window_parts())
+    return _explode(_prepared(files), window_parts(), _file_header())
 
 
 def chunk_headings(files: DataFrame) -> DataFrame:
     """Documentation."""
-    return _explode(_prepared(files).withColumn("starts", heading_starts(F.col("lines"))), heading_parts())
+    found = _prepared(files).withColumn("starts", heading_starts(F.col("lines")))
+    return _explode(found, heading_parts(), _file_header())
 
 
 def chunk_symbols(files: DataFrame) -> DataFrame:
     """Code with declaration rules; a text that cannot be cut falls back to line windows."""
     found = with_structure(_prepared(files))
-    return _explode(found, F.when(F.col("symbols").isNull(), window_parts()).otherwise(symbol_parts()))
+    parts = F.when(F.col("symbols").isNull(), window_parts()).otherwise(symbol_parts())
+    return _explode(found, parts, _code_header())
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
@@ -121,12 +122,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
     Input columns: file_path, extension, category, content and optionally hash.
     """
     docs = F.col("category") == "docs"
-    parsed = F.col("extension").isin(*LANGUAGE_OF)
-    found = with_structure(_prepared(files)).withColumn(
-        "starts", F.when(docs, heading_starts(F.col("lines"))))
-    parts = (
-        F.when(docs, heading_parts())
-        .when(parsed & F.col("symbols").isNotNull(), symbol_parts())
-        .otherwise(window_parts())
-    )
-    return _explode(found, parts)
+    code = F.col("extension").isin(*LANGUAGE_OF) & F.col("symbols").isNotNull()
+    found = with_structure(_prepared(files)).withColumn("starts", F.when(docs, heading_starts(F.col("lines"))))
+    parts = F.when(docs, heading_parts()).when(code, symbol_parts()).otherwise(window_parts())
+    return _explode(found, parts, F.when(~docs & code, _code_header()).otherwise(_file_header()))
