@@ -44,7 +44,7 @@ def test_no_cross_join_and_no_repeated_python(spark, name):
     assert python <= {"file_imports": 7, "search_text": 2}.get(name, 1)
 
 
-@pytest.mark.parametrize("name", ["chunk_windows", "chunk_headings", "warning_lines", "content_hash", "symbols_html", "scan_filter"])
+@pytest.mark.parametrize("name", ["chunk_fixed", "chunk_headings", "warning_lines", "content_hash", "html_outline", "scan_filter"])
 def test_row_local_operators_do_not_shuffle_by_key(spark, name):
     assert "hashpartitioning" not in plan_of(QUERIES[name](spark, FOLDER))
 

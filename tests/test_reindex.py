@@ -176,12 +176,13 @@ def test_search_plan(spark, tree):
     reindex(spark, root, DIM)
     tree({"src/a.py": "changed"})
     reindex(spark, root, DIM)
-    chunks = ChunkStore(spark, root).chunks("code")
+    store = ChunkStore(spark, root)
+    chunks = store.chunks("code")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     try:
-        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "vector"), [0.0] * 64, 5)
+        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector"), [0.0] * 64, 5)
         plan = winners._jdf.queryExecution().executedPlan().toString()
-        lookup = A._with_content(chunks, winners, 5)._jdf.queryExecution().executedPlan().toString()
+        lookup = A._with_content(store, chunks, winners, 5)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in plan.split("\n") if "store/chunks" in line)
@@ -189,9 +190,23 @@ def test_search_plan(spark, tree):
     assert "Not(EqualTo(chunk_type,doc_section))" in scan.split("PushedFilters")[1]
     assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
     scan = next(line for line in lookup.split("\n") if "store/chunks" in line)
+    assert "paths)[file" in scan and "/kind=code/part-" in scan
     assert re.search(r"(?:In|EqualTo)\(id", scan.split("PushedFilters")[1])
 
 
+def test_many_results_and_merge_in_two_steps_give_the_same(spark, tree, monkeypatch):
+    from treelode.operators import search as S
+    root = tree({f"src/my dir/f{i % 7}/m{i}.ts": f"match {i % 5} word" for i in range(40)})
+    reindex(spark, root, DIM)
+    few = A.search_code(spark, root, "match word 3", DIM, 12).collect()
+    assert len(few) == 12
+    monkeypatch.setattr(A, "LITERAL_ROWS", 3)
+    assert A.search_code(spark, root, "match word 3", DIM, 12).collect() == few
+    monkeypatch.setattr(S, "MERGE_BYTES", 0)
+    assert A.search_code(spark, root, "match word 3", DIM, 12).collect() == few
+    assert A.search_code(spark, root, "match word 3", DIM, 0).count() == 0
+
+
 def test_over_fetch_can_return_fewer(spark, tree):
     names = {f"src/m{i}.ts": "match word" for i in range(6)}
     root = tree({**names, "src/z.py": "other"})

@@ -54,11 +54,11 @@ SELECT rank, file_path AS file, name AS section, line_start || '-' || line_end A
 FROM best JOIN contents USING (vec_id)"""
 
 _EXT = "(file_path LIKE '%.py' OR file_path LIKE '%.go')"
-_SQL["knn_extension_filter"] = f"""WITH {NEAR}, best AS ({_ranked("chunk_type <> 'doc_section'", 30)})
+_SQL["knn_ext_postfilter"] = f"""WITH {NEAR}, best AS ({_ranked("chunk_type <> 'doc_section'", 30)})
 SELECT row_number() OVER (ORDER BY rank) AS rank, file_path AS file, {SIX.format('d')} AS distance
 FROM best WHERE {_EXT} QUALIFY row_number() OVER (ORDER BY best.rank) <= 10"""
 
-_SQL["knn_extension_exact"] = f"""WITH {NEAR}, best AS ({_ranked(f"chunk_type <> 'doc_section' AND {_EXT}", 10)})
+_SQL["knn_ext_exact"] = f"""WITH {NEAR}, best AS ({_ranked(f"chunk_type <> 'doc_section' AND {_EXT}", 10)})
 SELECT rank, file_path AS file, {SIX.format('d')} AS distance FROM best"""
 
 _SQL["knn_batch"] = f"""WITH {CHUNKS}, pairs AS (
@@ -68,7 +68,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, file_path,
   id AS chunk_id, {SIX.format('d')} AS distance
 FROM pairs QUALIFY rank <= 10"""
 
-_SQL["score_and_preview"] = f"""WITH {NEAR}
+_SQL["preview"] = f"""WITH {NEAR}
 SELECT id AS chunk_id, {SCORE} AS score, preview FROM near JOIN previews USING (vec_id)"""
 
 _POSITION = f"CAST(('0x' || substr(md5({{}}), 1, 8)) AS BIGINT) % {EMBED_DIMENSIONS}"
@@ -151,7 +151,7 @@ _BASE = "split_part(file_path, '/', -1)"
 _ID = "sha256(file_path || chr(0) || hash || chr(0) || ordinal || chr(0) || line_start || '-' || line_end)"
 _WINDOW_ROWS = f"""SELECT {_ID} AS id, file_path, 'module' AS chunk_type, name,
   md5('// File: ' || file_path || {NL} || {NL} || body) AS content_md5, line_start, line_end FROM windows"""
-_SQL["chunk_windows"] = f"WITH {_windows(_LONG, _BASE)} {_WINDOW_ROWS}"
+_SQL["chunk_fixed"] = f"WITH {_windows(_LONG, _BASE)} {_WINDOW_ROWS}"
 _SQL["chunk_small"] = f"WITH {_windows(_LONG, _BASE)} {_WINDOW_ROWS} WHERE total <= 50"
 
 # Sections as gaps and islands over line rows.
@@ -226,7 +226,7 @@ def _modules(language: str, separator: str) -> str:
 for _language in V.SAMPLES:
     _SQL[f"symbols_{_language}"] = f"WITH {_symbol_cte(_language)} SELECT file_path, position, name, kind, line_start, line_end FROM symbols"
 
-_SQL["symbols_html"] = f"""SELECT 'src/pages/' || page_id || '.html' AS file_path, 'html' AS name, 'element' AS kind, 1 AS line_start,
+_SQL["html_outline"] = f"""SELECT 'src/pages/' || page_id || '.html' AS file_path, 'html' AS name, 'element' AS kind, 1 AS line_start,
   1 + length(html) - length(replace(html, {NL}, '')) AS line_end FROM pages"""
 
 _SQL["file_imports"] = f"WITH {_PARTS} " + " UNION ALL ".join(

@@ -54,7 +54,7 @@ def knn_search_docs(spark: SparkSession, folder: str) -> DataFrame:
     return S.doc_results(V.with_text(S.nearest(chunks, _vector(spark, folder), 5)))
 
 
-def knn_extension_filter(spark: SparkSession, folder: str, exact: bool = False) -> DataFrame:
+def knn_ext_postfilter(spark: SparkSession, folder: str, exact: bool = False) -> DataFrame:
     chunks = V.chunk_vectors(spark, folder).where(S.is_code())
     found = S.nearest_with_extension(chunks, _vector(spark, folder), 10, [".py", "go"], exact)
     return S.ranked(found).select("rank", F.col("file_path").alias("file"), six(F.col("_distance")).alias("distance"))
@@ -66,7 +66,7 @@ def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("chunk_id"), six(F.col("_distance")).alias("distance"))
 
 
-def score_and_preview(spark: SparkSession, folder: str) -> DataFrame:
+def preview(spark: SparkSession, folder: str) -> DataFrame:
     distance = squared_l2(F.col("vector"), _vector(spark, folder))
     return V.with_text(V.chunk_vectors(spark, folder)).select(
         F.col("id").alias("chunk_id"), X.score_of(distance).alias("score"), X.preview_of(F.col("content")).alias("preview"))
@@ -160,7 +160,7 @@ def chunk_small(spark: SparkSession, folder: str) -> DataFrame:
     return _chunk_rows(K.chunk_windows(files))
 
 
-def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
+def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return _chunk_rows(K.chunk_windows(V.long_files(spark, folder)))
 
 
@@ -195,7 +195,7 @@ def symbols(language: str, spark: SparkSession, folder: str) -> DataFrame:
     return O.symbol_rows(V.source_files(spark, folder, language))
 
 
-def symbols_html(spark: SparkSession, folder: str) -> DataFrame:
+def html_outline(spark: SparkSession, folder: str) -> DataFrame:
     pages = V.page_files(spark, folder).select(F.col("relative_path").alias("file_path"), F.lit(".html").alias("extension"), "content")
     return O.symbol_rows(pages).drop("position")
 
@@ -279,13 +279,13 @@ def reindex_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        knn_search_code, knn_search_docs, knn_extension_filter, knn_batch, score_and_preview, embed_documents, search_text,
+        knn_search_code, knn_search_docs, knn_ext_postfilter, knn_batch, preview, embed_documents, search_text,
         scan_filter, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
-        change_detect, change_summary, deleted_paths, chunk_small, chunk_windows, chunk_headings, chunk_symbols,
-        chunk_dispatch, warning_lines, symbols_html, file_imports, file_outline, symbol_source, symbol_context,
+        change_detect, change_summary, deleted_paths, chunk_small, chunk_fixed, chunk_headings, chunk_symbols,
+        chunk_dispatch, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,
         chunk_header, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals)
 }
-QUERIES["knn_extension_exact"] = partial(knn_extension_filter, exact=True)
+QUERIES["knn_ext_exact"] = partial(knn_ext_postfilter, exact=True)
 QUERIES.update({f"symbols_{language}": partial(symbols, language) for language in V.SAMPLES})
 
 

@@ -22,7 +22,7 @@ from treelode.sources.store import ChunkStore
 from treelode.sources.tree import one_file, scan_files
 
 CODE_LIMIT, DOC_LIMIT = 10, 5
-# Results up to this size are looked up by literal ids, which reach the Parquet scan.
+# Results up to this size are fetched by literal ids, which reach the Parquet scan.
 LITERAL_ROWS = 1000
 # A JSON message is one string on the driver; larger trees are for `get_file_tree` itself.
 MESSAGE_ROWS = 1_000_000
@@ -61,19 +61,22 @@ def _store(spark: SparkSession, root: str) -> ChunkStore:
     return store
 
 
-def _with_content(chunks: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
-    """Add stored columns to the winning rows, so the vector scan need not read every content."""
-    keys = winners.select("id", "_distance")
+def _with_content(store: ChunkStore, chunks: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
+    """Add stored columns to the winning rows, so the vector scan need not read every content.
+
+    A few winners are fetched from the very files they are in; more than that are joined.
+    """
     if limit > LITERAL_ROWS:
-        return chunks.drop("vector").join(keys, "id")
-    found = [(r["id"], r["_distance"]) for r in keys.collect()]
-    ids = [i for i, _ in found]
-    if not ids:
+        return chunks.drop("vector").join(winners.select("id", "_distance"), "id")
+    found = [(r["id"], r["_distance"], r["stored_in"]) for r in winners.select("id", "_distance", "stored_in").collect()]
+    if not found:
         return chunks.drop("vector").where(F.lit(False)).withColumn("_distance", F.lit(0.0))
+    ids = [i for i, _, _ in found]
     # Lists of up to ten literals are pushed to the scan as equalities.
     wanted = reduce(lambda a, b: a | b, [F.col("id").isin(ids[i:i + 10]) for i in range(0, len(ids), 10)])
-    distances = chunks.sparkSession.createDataFrame(found, "id string, _distance double")
-    return chunks.drop("vector").where(wanted).join(F.broadcast(distances), "id")
+    distances = chunks.sparkSession.createDataFrame([f[:2] for f in found], "id string, _distance double")
+    rows = store.rows_in([file for _, _, file in found]).drop("vector")
+    return rows.where(wanted).join(F.broadcast(distances), "id")
 
 
 def has_index(spark: SparkSession, root: str) -> bool:
@@ -88,11 +91,12 @@ def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder,
     _required(query, "query", "string")
     limit = CODE_LIMIT if limit is None else limit
     ship_package(spark)
-    chunks = _store(spark, root).chunks("code")
+    store = _store(spark, root)
+    chunks = store.chunks("code")
     vector = _query_vector(embedder, query)
-    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "vector")
+    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector")
     winners = S.nearest_with_extension(keys, vector, limit, extensions, exact)
-    return S.code_results(_with_content(chunks, winners, limit)).orderBy("rank")
+    return S.code_results(_with_content(store, chunks, winners, limit)).orderBy("rank")
 
 
 def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder, limit: int | None = None) -> DataFrame:
@@ -100,10 +104,11 @@ def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder,
     _required(query, "query", "string")
     limit = DOC_LIMIT if limit is None else limit
     ship_package(spark)
-    chunks = _store(spark, root).chunks("docs")
+    store = _store(spark, root)
+    chunks = store.chunks("docs")
     vector = _query_vector(embedder, query)
-    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "vector"), vector, limit)
-    return S.doc_results(_with_content(chunks, winners, limit)).orderBy("rank")
+    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "stored_in", "vector"), vector, limit)
+    return S.doc_results(_with_content(store, chunks, winners, limit)).orderBy("rank")
 
 
 @dataclass(frozen=True)

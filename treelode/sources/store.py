@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +134,13 @@ class ChunkStore:
         return self._read(table).where(F.col("v") == version)
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(_TABLES[table]).parquet(f"{self.base}/{table}")
+        rows = self.spark.read.schema(_TABLES[table]).parquet(f"{self.base}/{table}")
+        return rows.withColumn("stored_in", F.col("_metadata.file_path")) if table == "chunks" else rows
+
+    def rows_in(self, files: Sequence[str]) -> DataFrame:
+        """All chunk rows of some Parquet files, as `stored_in` names them."""
+        reader = self.spark.read.schema(_TABLES["chunks"]).option("basePath", f"{self.base}/chunks")
+        return reader.parquet(*sorted({unquote(file) for file in files}))
 
     def live(self, table: str, path: str, manifest: Manifest | None = None) -> DataFrame:
         """Rows whose file no later version changed or deleted."""
@@ -149,7 +157,10 @@ class ChunkStore:
         return live_rows(rows, replaced, path)
 
     def chunks(self, kind: str | None = None, manifest: Manifest | None = None) -> DataFrame:
-        """Live chunks with a vector; `kind` is code or docs and prunes partitions."""
+        """Live chunks with a vector; `kind` is code or docs and prunes partitions.
+
+        `stored_in` names the Parquet file of a row, so that `rows_in` can go back to a few of them.
+        """
         rows = self.live("chunks", "file_path", manifest)
         return rows.where(F.col("kind") == kind) if kind else rows.where(F.col("kind") != "failed")
 
@@ -169,7 +180,7 @@ class ChunkStore:
         if parent is None:
             raise NoIndex(self.base)
         version = self.next_version(parent)
-        chunks = self.chunks(manifest=parent).drop("v")
+        chunks = self.chunks(manifest=parent).drop("v", "stored_in")
         # Close paths end up in the same row groups; the sort key spreads a crowded file too.
         chunks = chunks.repartitionByRange("kind", "file_path", "line_start").sortWithinPartitions("kind", "file_path", "line_start")
         self.write("chunks", chunks, version, "kind")
