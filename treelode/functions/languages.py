@@ -80,12 +80,9 @@ _RUST_USE = rf"^(?:pub(?:\(\))?\s+)?use\s+(?!(?:crate|self|super)\s*;)((?:::\s*)
 _FOUND = "struct<node:string,name:string>"
 
 
-def _form(head: Column, node: str, pattern: str, exported: Column | None = None) -> Column:
-    name = F.regexp_extract(head, pattern, 1)
-    kind = F.lit(node)
-    if exported is not None:
-        kind = F.when(exported, F.lit("export")).otherwise(kind)
-    return F.when(name != "", F.struct(kind.alias("node"), name.alias("name")).cast(_FOUND))
+def _form(head: Column, node: str, pattern: str) -> Column:
+    name = X.head_match(head, pattern)
+    return F.when(name != "", F.struct(F.lit(node).alias("node"), name.alias("name")).cast(_FOUND))
 
 
 def _first(head: Column, forms, lead: str = "") -> Column:
@@ -94,7 +91,8 @@ def _first(head: Column, forms, lead: str = "") -> Column:
 
 def _script(head: Column, extension: Column) -> Column:
     """In plain scripts a type declaration counts only behind `export`, and then as the export itself."""
-    exported = head.rlike(r"^(?:@\S+\s*)*export\b")
+    keyword = X.head_match(head, r"^(?:@\S+\s*)*(export|async|function|class|interface|enum|type|const|let)\b")
+    exported = keyword == "export"
     typed = extension.isin(*TYPED)
     tries = []
     for node, pattern in _SCRIPT_FORMS:
@@ -102,25 +100,24 @@ def _script(head: Column, extension: Column) -> Column:
         if node in ("interface", "enum", "alias"):
             found = F.when(typed, found).when(exported, _form(head, "export", _SCRIPT_LEAD + pattern))
         tries.append(found)
-    return F.when(head.rlike(r"^(?:@\S+\s*)*(?:export|async|function|class|interface|enum|type|const|let|@)\b|^@"), F.coalesce(*tries))
+    return F.when(keyword != "", F.coalesce(*tries))
 
 
 def _rust(head: Column) -> Column:
-    impls = [F.regexp_extract(head, pattern, 1) for pattern in _RUST_IMPL]
+    impls = [X.head_match(head, pattern) for pattern in _RUST_IMPL]
     named = [F.when(n != "", F.struct(F.lit("impl").alias("node"), F.concat(F.lit("impl "), n).alias("name")).cast(_FOUND))
              for n in impls]
-    return F.coalesce(F.when(head.rlike(r"^(?:default\s+)?(?:unsafe\s+)?impl\b"), F.coalesce(*named)),
+    return F.coalesce(F.when(X.head_match(head, r"^(?:default\s+)?(?:unsafe\s+)?(impl)\b") != "", F.coalesce(*named)),
                       _first(head, _RUST_FORMS, _RUST_LEAD))
 
 
 def _css(head: Column) -> Column:
-    frames = r"^@(?:-[a-z]+-)?keyframes\s+([\w-]+|\"[^\"]*\"|'[^']*')"
+    frames = X.head_match(head, r"^(@(?:-[a-z]+-)?keyframes)\b") != ""
+    name = X.head_match(head, r"^@(?:-[a-z]+-)?keyframes\s+([\w-]+|\"[^\"]*\"|'[^']*')")
+    label = F.when(name != "", F.concat(F.lit("@keyframes "), name)).otherwise(F.lit("@keyframes"))
     return F.coalesce(
         _first(head, _CSS_FORMS),
-        F.when(head.rlike(r"^@(?:-[a-z]+-)?keyframes\b"),
-               F.struct(F.lit("rule").alias("node"),
-                        F.when(head.rlike(frames), F.concat(F.lit("@keyframes "), F.regexp_extract(head, frames, 1)))
-                        .otherwise(F.lit("@keyframes")).alias("name")).cast(_FOUND)))
+        F.when(frames, F.struct(F.lit("rule").alias("node"), label.alias("name")).cast(_FOUND)))
 
 
 def declaration(head: Column, extension: Column) -> Column:
@@ -181,7 +178,7 @@ def import_of(head: Column, extension: Column) -> Column:
     """Module named by an import statement, or null. A plain Python `import m` has none."""
 
     def group(pattern: str) -> Column:
-        found = F.regexp_extract(head, pattern, 1)
+        found = X.head_match(head, pattern)
         return F.when(found != "", found)
 
     return (

@@ -17,7 +17,9 @@ DOT = r"[^\n\r\u2028\u2029]"
 COMMENT_OPENER = r"(?://|#|/\*|\*)"
 WARNING_WORDS = r"(?:TODO|FIXME|HACK|NOTE|WARN|@deprecated)"
 
-HEADING = rf"^(#{{1,3}}){WS}+({DOT}+)"
+# A heading: one to three marks, space, and at least one more character of the same line.
+HEADING = rf"^#{{1,3}}{WS}+{DOT}"
+LINE_ENDS = ("\r", "\N{LINE SEPARATOR}", "\N{PARAGRAPH SEPARATOR}")
 SMALL_FILE_LINES = 50
 WINDOW_LINES = 200
 PREVIEW_LINES = 8
@@ -29,6 +31,18 @@ def js_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(JS_SPACE))
 
 
+def is_heading(line: Column) -> Column:
+    return F.startswith(line, F.lit("#")) & line.rlike(HEADING)
+
+
+def heading_title(line: Column) -> Column:
+    """Text of a heading line, up to whatever else ends a line."""
+    title = F.ltrim(F.ltrim(line, F.lit("#")), F.lit(JS_SPACE))
+    for end in LINE_ENDS:
+        title = F.substring_index(title, end, 1)
+    return js_trim(title)
+
+
 def lines_of(text: Column) -> Column:
     """Split on line feed and keep trailing empty lines, so an empty text is one line."""
     return F.split(text, "\n", -1)
@@ -61,6 +75,16 @@ def normal_path(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def head_match(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of a pattern that starts with `^`, empty where it does not match.
+
+    Made optional, the pattern always ends its search at the first character; a failing anchor would be
+    tried again at every position of the text.
+    """
+    flags, _, rest = pattern.partition("^")
+    return F.regexp_extract(text, f"{flags}^(?:{rest})?", group)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -98,7 +122,9 @@ def warning_lines(content: Column) -> Column:
     def label(line: Column, index: Column) -> Column:
         text = js_trim(line)
         rest = js_trim(F.regexp_replace(text, rf"^{COMMENT_OPENER}{WS}*", ""))
-        return F.when(text.rlike(pattern), F.concat(F.lit("L"), (index + 1).cast("string"), F.lit(": "), rest))
+        # The first character rules out most lines without a regex.
+        opens = F.startswith(text, F.lit("/")) | F.startswith(text, F.lit("#")) | F.startswith(text, F.lit("*"))
+        return F.when(opens & text.rlike(pattern), F.concat(F.lit("L"), (index + 1).cast("string"), F.lit(": "), rest))
 
     none = F.array().cast("array<string>")
     # One scan of the text rules out most files before they are cut into lines.

@@ -49,7 +49,7 @@ def heading_parts() -> Column:
 
     def section(first: Column, at: Column) -> Column:
         last = F.coalesce(F.get(starts, at + 1) - 1, F.size(lines))
-        title = X.js_trim(F.regexp_extract(F.element_at(lines, first), X.HEADING, 2))
+        title = X.heading_title(F.element_at(lines, first))
         name = F.when(at == 0, X.base_name(F.col("file_path"))).otherwise(title)
         return _part("doc_section", name, X.js_trim(X.line_slice(lines, first, last)), first, last)
 
@@ -58,7 +58,7 @@ def heading_parts() -> Column:
 
 def heading_starts(lines: Column) -> Column:
     """Line numbers at which a section begins: 1, and every later heading line."""
-    marked = F.transform(lines, lambda line, i: F.when((i == 0) | line.rlike(X.HEADING), i + 1))
+    marked = F.transform(lines, lambda line, i: F.when((i == 0) | X.is_heading(line), i + 1))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
