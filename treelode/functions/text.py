@@ -120,10 +120,10 @@ def warning_lines(content: Column) -> Column:
     pattern = rf"(?i)^{COMMENT_OPENER}{WS}*{WARNING_WORDS}"
 
     def label(line: Column, index: Column) -> Column:
-        text = js_trim(line)
-        rest = js_trim(F.regexp_replace(text, rf"^{COMMENT_OPENER}{WS}*", ""))
-        # The first character rules out most lines without a regex.
+        # Only the left side is trimmed before the test: trimming the right side reads the whole line.
+        text = F.ltrim(line, F.lit(JS_SPACE))
         opens = F.startswith(text, F.lit("/")) | F.startswith(text, F.lit("#")) | F.startswith(text, F.lit("*"))
+        rest = js_trim(F.regexp_replace(text, rf"^{COMMENT_OPENER}{WS}*", ""))
         return F.when(opens & text.rlike(pattern), F.concat(F.lit("L"), (index + 1).cast("string"), F.lit(": "), rest))
 
     none = F.array().cast("array<string>")
