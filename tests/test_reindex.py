@@ -62,6 +62,27 @@ def test_incremental_run_equals_rebuild(spark, tree, tmp_path):
     assert ids == {row[6] for row in before}
 
 
+class NoKey(HashingEmbedder):
+    def ready(self):
+        raise RuntimeError("no key")
+
+
+def test_embedder_is_asked_only_when_there_is_something_to_embed(spark, tree):
+    root = tree({"src/a.py": "a", "src/b.py": "b"})
+    with pytest.raises(RuntimeError):
+        reindex(spark, root, NoKey(64))
+    assert not A.has_index(spark, root)
+    reindex(spark, root, DIM)
+    Path(root, "src/b.py").unlink()
+    assert totals(reindex(spark, root, NoKey(64))) == (0, 0, 1, 0)
+    assert {row[0] for row in stored(spark, root)} == {"src/a.py"}
+    tree({"src/c.py": "c"})
+    with pytest.raises(ValueError):
+        reindex(spark, root, HashingEmbedder(32))
+    assert {row[0] for row in stored(spark, root)} == {"src/a.py"}
+    assert totals(reindex(spark, root, DIM)) == (1, 1, 0, 1)
+
+
 def test_compaction_when_due(spark, tree, monkeypatch):
     from treelode.sources import store as module
     root = tree({"src/a.py": "a", "src/b.py": "b"})
@@ -250,10 +271,6 @@ def test_auto_index(spark, tree):
     P.save_rc(root, P.Rc(True))
     assert A.auto_index(spark, root, DIM).totals.files_processed == 1
 
-    class NoKey(HashingEmbedder):
-        def ready(self):
-            raise RuntimeError("no key")
-
     assert A.auto_index(spark, root, NoKey()) is None
     done = A.reindex(spark, root, DIM, enable_auto_index=False)
     assert done.auto_index is False and P.load_rc(root).auto_index is False and "up-to-date" in done.message

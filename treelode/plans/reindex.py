@@ -63,8 +63,11 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
     if counts["total"] == 0:
         return Totals()
 
-    embedder.ready()
     processed = counts["added"] + counts["modified"]
+    if processed:  # removing files needs no embedder
+        embedder.ready()
+        if parent and parent.dimensions not in (0, embedder.dimensions):
+            raise ValueError(f"the index holds vectors of {parent.dimensions} numbers, not {embedder.dimensions}")
     tasks = read_tasks(spark, processed, counts["read_bytes"])
     texts = with_contents(changes.where("change in ('added', 'modified')"), root, tasks)
     chunks = chunk_files(texts.withColumnRenamed("relative_path", "file_path"))
@@ -80,7 +83,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         versions=(*old.versions, version),
         replaced_rows=old.replaced_rows + counts["modified"] + counts["deleted"],
         replaced_bytes=old.replaced_bytes + counts["replaced_bytes"],
-        dimensions=embedder.dimensions,
+        dimensions=embedder.dimensions if processed else old.dimensions,
     ))
     store.compact_if_due()
     return Totals(processed, made["made"], counts["deleted"], made["kept"])
