@@ -1,6 +1,8 @@
 """Text expressions with ECMAScript whitespace and line semantics, all inside the JVM."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ DOT = r"[^\n\r\u2028\u2029]"
 
 # A warning line starts with a comment opener and one of these words.
 COMMENT_OPENER = r"(?://|#|/\*|\*)"
-WARNING_WORDS = r"(?:TODO|FIXME|HACK|NOTE|WARN|@deprecated)"
+WARNING_WORDS = ("TODO", "FIXME", "HACK", "NOTE", "WARN", "@deprecated")
 
 # A heading: one to three marks, space, and at least one more character of the same line.
 HEADING = rf"^#{{1,3}}{WS}+{DOT}"
@@ -117,7 +119,7 @@ def chunk_header(path: Column, exports: Column, imports: Column) -> Column:
 
 def warning_lines(content: Column) -> Column:
     """`L<n>: <text>` for every line that opens a comment with a warning word."""
-    pattern = rf"(?i)^{COMMENT_OPENER}{WS}*{WARNING_WORDS}"
+    pattern = rf"(?i)^{COMMENT_OPENER}{WS}*(?:{'|'.join(WARNING_WORDS)})"
 
     def label(line: Column, index: Column) -> Column:
         # Only the left side is trimmed before the test: trimming the right side reads the whole line.
@@ -127,8 +129,10 @@ def warning_lines(content: Column) -> Column:
         return F.when(opens & text.rlike(pattern), F.concat(F.lit("L"), (index + 1).cast("string"), F.lit(": "), rest))
 
     none = F.array().cast("array<string>")
-    # One scan of the text rules out most files before they are cut into lines.
+    # Plain searches of the text rule out most files before they are cut into lines.
+    capitals = F.upper(content)
+    present = reduce(lambda a, b: a | b, [F.contains(capitals, F.lit(word.upper())) for word in WARNING_WORDS])
     return F.when(
-        content.rlike(rf"(?i){WARNING_WORDS}"),
+        present,
         F.filter(F.transform(lines_of(content), label), lambda found: found.isNotNull()),
     ).otherwise(none)
