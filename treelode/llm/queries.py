@@ -7,13 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, token_cache
+from treelode.llm import bpe, simhash, token_cache
 from treelode.llm.common import new_folder, read
 from treelode.session import ship_package
 
 TOKEN_LIMIT = 1024
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(read(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -27,7 +32,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_byte_bpe, op10_token_counts,
+    op2_simhash, op3_byte_bpe, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
