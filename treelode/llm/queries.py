@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, simhash, token_cache
+from treelode.llm import bpe, decontaminate, simhash, token_cache
 from treelode.llm.common import new_folder, read
 from treelode.session import ship_package
 
@@ -24,6 +24,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read(spark, folder, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The cache starts empty here; a production run names a folder that stays."""
     docs, tokenizer = read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -32,7 +36,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash, op3_byte_bpe, op10_token_counts,
+    op2_simhash, op3_byte_bpe, op4_decontaminate, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
