@@ -7,13 +7,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, simhash, token_cache
+from treelode.llm import bpe, decontaminate, imatch, simhash, token_cache
 from treelode.llm.common import new_folder, read
 from treelode.session import ship_package
 
 TOKEN_LIMIT = 1024
 
 
+def op1_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edited_fingerprints(read(spark, folder, "documents"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
@@ -36,7 +40,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash, op3_byte_bpe, op4_decontaminate, op10_token_counts,
+    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
