@@ -3,14 +3,15 @@
 Encoding cuts a text into pieces by the pattern. A piece that is a token as a whole is that token. All other pieces
 that a worker has not seen yet go into one table with a row per token position, starting with single bytes. A
 recursive query joins neighbouring positions with the merge table and contracts in every piece the pair of least rank,
-leftmost first, until no pair of any piece can be merged. Occurrences of that pair further right are contracted in
-the same step. This gives the same ids because a merge never makes a pair of lower rank, which holds for every
-vocabulary whose tokens were made in the order of their ranks (the tests check it for the given one). Decoding joins
-ids with the vocabulary and aggregates the bytes in the order of positions.
+leftmost first, until no pair of any piece can be merged. In pieces of over LONG_PIECE bytes, whose steps would grow with
+their length, occurrences of that rank further right are contracted in the same step. This gives the same ids because
+a merge never makes a pair of lower rank, which holds for every vocabulary whose tokens were made in the order of their
+ranks (the tests check it for the given one). Decoding joins ids with the vocabulary and aggregates the bytes in the
+order of positions.
 
 Defined results: null and empty texts have no ids; special strings are ordinary text; rows stay as they are, repeated
-ones too; an empty table gives an empty table; columns other than doc_id and text are not looked at. A worker holds
-PIECES_KEPT pieces and one slice of texts at most, and a single text at least.
+ones too; an empty table gives an empty table; columns other than doc_id and text are not looked at. A worker keeps
+PIECES_KEPT pieces, the less frequent half of which makes room when they are exceeded, and the pieces of one slice.
 """
 from __future__ import annotations
 
@@ -28,12 +29,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from treelode.llm.common import slices, texts_of
+from treelode.llm.pieces import PieceTable
 
-PIECES_KEPT = 300_000
+PIECES_KEPT = 350_000
+LONG_PIECE = 64
 STATES_KEPT = 4_000_000
 """Token positions that a recursive query may pile up before it is started afresh from its last state."""
 
-CONTRACT = """
+LEFTMOST = """
+WITH RECURSIVE tokens(word, place, len, id, step) AS (
+  SELECT word, place, len, id, 0 FROM seeds
+  UNION ALL
+  (WITH pairs AS (
+     SELECT l.word, (m.id::BIGINT << 32) + l.place AS merge, l.place + l.len AS right_place, r.len AS right_len
+     FROM tokens l JOIN tokens r ON r.place = l.place + l.len JOIN merges m ON m.pair = (l.id::BIGINT << 32) + r.id
+     WHERE l.step < {steps}),
+   least AS (
+     SELECT word, min(merge) & 4294967295 AS place, (min(merge) >> 32)::INT AS id,
+            arg_min(right_place, merge) AS right_place, arg_min(right_len, merge) AS right_len
+     FROM pairs GROUP BY word)
+   SELECT t.word, t.place, CASE WHEN t.place = w.place THEN t.len + w.right_len ELSE t.len END,
+          CASE WHEN t.place = w.place THEN w.id ELSE t.id END, t.step + 1
+   FROM tokens t JOIN least w ON w.word = t.word AND t.place <> w.right_place))
+SELECT t.word, t.place, t.len, t.id, t.step
+FROM tokens t JOIN (SELECT word, max(step) AS step FROM tokens GROUP BY word) USING (word, step)
+"""
+
+ALL_OF_RANK = """
 WITH RECURSIVE tokens(word, place, len, id, step) AS (
   SELECT word, place, len, id, 0 FROM seeds
   UNION ALL
@@ -61,21 +83,6 @@ SELECT line, string_agg(bytes, '' ORDER BY place) AS bytes FROM coded JOIN vocab
 """
 
 
-class Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
-def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The runs of the given rows, one after the other."""
-    size = sizes[rows]
-    shift = starts[rows] - np.concatenate(([0], np.cumsum(size)[:-1])) if len(rows) else starts[:0]
-    return values[np.repeat(shift, size) + np.arange(size.sum())]
-
-
 def ranks_of(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
 
@@ -94,7 +101,9 @@ class Codec:
         # A byte b stands as the character 256 + b, whose UTF-16 code unit has b as its low byte.
         self._table("vocabulary", id=np.array([*self.ranks.values()], np.int32),
                     bytes=["".join(chr(256 + b) for b in token) for token in self.ranks])
-        self.forget()
+        self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.valid[[*self.ranks.values()]] = True
+        self.pieces = PieceTable(self._ids_of, PIECES_KEPT)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -107,12 +116,18 @@ class Codec:
         self.db.unregister(name)
         return found
 
-    def forget(self) -> None:
-        self.numbers = Numbers()
-        self.ids, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
     def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in order, and how many each has."""
+        long = np.array([len(piece) > LONG_PIECE for piece in pieces], bool)
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        for query, of_kind in ((LEFTMOST, ~long), (ALL_OF_RANK, long)):
+            ids, counts[of_kind] = self._contract(query, [piece for piece, chosen in zip(pieces, of_kind) if chosen])
+            parts.append(ids)
+        ids = np.empty(counts.sum(), np.int32)
+        ids[np.repeat(~long, counts)], ids[np.repeat(long, counts)] = parts
+        return ids, counts
+
+    def _contract(self, query: str, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         places = np.arange(len(word)) + word  # an empty place after each piece keeps neighbours apart
         state = {"word": word, "place": places, "len": np.ones(len(word), np.int64),
@@ -120,7 +135,7 @@ class Codec:
         ended: list[dict[str, np.ndarray]] = []
         while len(state["word"]):
             steps = max(4, min(64, STATES_KEPT // len(state["word"])))
-            found = self._ask(CONTRACT.format(steps=steps), "seeds", **state)
+            found = self._ask(query.format(steps=steps), "seeds", **state)
             found = {name: found[name].to_numpy() for name in found.column_names}
             going = found.pop("step") == steps
             ended.append({name: column[~going] for name, column in found.items()})
@@ -132,35 +147,22 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.numbers) > PIECES_KEPT:
-            self.forget()
-        known = len(self.numbers)
-        rows = []
-        for text in texts:
-            found = self.pattern.findall(text)
-            rows.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
-        self._learn([piece.encode() for piece in [*self.numbers][known:]])
-        size = [int(self.sizes[row].sum()) for row in rows]
-        every = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        return ragged(self.ids, self.starts, self.sizes, every), np.array(size, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces and append them to what is known."""
-        if not pieces:
-            return
-        whole = np.array([self.ranks.get(piece, -1) for piece in pieces], np.int32)
-        ids, sizes = self.contract([piece for piece, rank in zip(pieces, whole) if rank < 0])
+        return self.pieces.ids_of(map(self.pattern.findall, texts))
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, and how many each has."""
+        coded = [piece.encode() for piece in pieces]
+        whole = np.array([self.ranks.get(piece, -1) for piece in coded], np.int32)
+        ids, sizes = self.contract([piece for piece, rank in zip(coded, whole) if rank < 0])
         counts = np.ones(len(pieces), np.int64)
         counts[whole < 0] = sizes
         filled = np.repeat(whole, counts)
         filled[filled < 0] = ids
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate((self.ids, filled))
-        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, counts))
+        return filled, counts
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids. An id outside the vocabulary is an error."""
-        if len(ids) and not np.isin(ids, np.fromiter(self.ranks.values(), np.int64, len(self.ranks))).all():
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.valid) and self.valid[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         texts = [b""] * len(sizes)
         found = self._ask(DECODE, "coded", line=np.repeat(np.arange(len(sizes)), sizes), place=np.arange(len(ids)), id=ids)
