@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelode.llm.common import ascii_lower, settled, stored, whole_text
+from treelode.llm.common import ascii_lower, stored, whole_text
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ("doc_key", "digest")
@@ -74,7 +74,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     words = keyed_words(docs)
     terms = windows.select(F.explode("window").alias("term")).distinct()
-    anchors = settled(anchored(windows, term_counts(words, terms)))
+    anchors = stored(anchored(windows, term_counts(words, terms)), "anchors")
     wanted = anchors.select("first.term").union(anchors.select("second.term")).distinct()
     index = stored(postings(words, wanted), "postings")
     starts = index.join(anchors, F.col("term") == F.col("first.term")).select(
@@ -83,8 +83,10 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     agreed = starts.withColumns({"second_term": F.col("second.term"), "second_position": F.col("start") + F.col("second.offset")})
     agreed = agreed.join(second, [*KEY, "second_term", "second_position"], "left_semi")
     candidates = agreed.groupBy(*KEY).agg(F.collect_set(F.struct("start", "window")).alias("candidates"))
+    texts = docs.select(*key_columns(), whole_text().alias("text")).join(candidates, [*KEY])
+    texts = texts.select(*KEY, "candidates", words_of(F.col("text")).alias("words"))
     same = F.filter("candidates", lambda c: F.slice("words", c["start"] + 1, F.size(c["window"])) == c["window"])
-    checked = words.join(candidates, [*KEY]).select(*KEY, same.alias("found")).where(F.size("found") > 0)
+    checked = texts.select(*KEY, same.alias("found")).where(F.size("found") > 0)
     return checked.dropDuplicates([*KEY])
 
 
@@ -94,7 +96,7 @@ def proximity_matches(docs: DataFrame, windows: DataFrame, within: int) -> DataF
     """
     words = keyed_words(docs)
     terms = windows.select(F.explode("window").alias("term")).distinct()
-    anchors = settled(anchored(windows, term_counts(words, terms)))
+    anchors = stored(anchored(windows, term_counts(words, terms)), "anchors")
     index = stored(postings(words, terms), "postings")
     needed = F.array_distinct("window")
     around = index.join(anchors, F.col("term") == F.col("first.term")).select(
@@ -116,7 +118,7 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of the documents."""
     by_item = windows_of(items, width)
-    found = settled(phrase_matches(docs, by_item.select("window").distinct()))
+    found = stored(phrase_matches(docs, by_item.select("window").distinct()), "matches")
     spans = F.transform("found", lambda f: F.struct(f["start"].alias("start"), (f["start"] + F.size(f["window"])).alias("stop")))
     hits = found.select(*KEY, _covered(F.array_sort(spans)).alias("n_hit"))
     matched = found.select(*KEY, F.explode(F.array_distinct(F.transform("found", lambda f: f["window"]))).alias("window"))

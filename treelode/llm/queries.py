@@ -7,11 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, imatch, simhash, token_cache
-from treelode.llm.common import new_folder, read
+from treelode.llm import bpe, decontaminate, imatch, simhash, token_cache, token_files
+from treelode.llm.common import mounted, new_folder, read
 from treelode.session import ship_package
 
-TOKEN_LIMIT = 1024
+TOKEN_LIMIT, END_ID = 1024, 1
 
 
 def op1_imatch(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = mounted(new_folder(spark, "token-files"))
+    token_files.write(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), files, END_ID)
+    return token_files.read_back(spark, files)
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The cache starts empty here; a production run names a folder that stays."""
     docs, tokenizer = read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -40,7 +46,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op10_token_counts,
+    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
