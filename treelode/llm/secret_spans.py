@@ -3,9 +3,10 @@
 The field tags words (runs without ASCII white space) as beginning a secret, inside one or outside. Features are bits of a
 word's shape, of the two words before and the one after it, and of the file. It learns by gradient ascent on its
 likelihood from windows around words with a trigger (a digit, one of =:_@, or a secret's usual name), where the words in
-pattern matches count as secrets; Viterbi decodes. A word without trigger has no bit but the common one. Decoding
-leaves out words only where that cannot change the best path: where "outside" leads by more than any two transitions could
-make up for. Texts without any trigger are one such case, decided once for the learned weights.
+pattern matches count as secrets; windows with other words that look random are not learned from, as nobody knows what
+those are. Viterbi decodes. A word without trigger has no bit but the common one. Decoding
+leaves out words only where that cannot change the best path: where "outside" leads by more than the two transitions at
+the word could make up for. Texts without any trigger are one such case, decided once for the learned weights.
 
 Windows come from documents chosen by a hash of doc_id, SAMPLE_DOCUMENTS on average, and at most WINDOWS of them with and
 WINDOWS without a secret are learned from: a bounded sample, whatever the table's size. Every text is searched as a whole.
@@ -46,6 +47,8 @@ NAMED = re.compile(r"passw|secret|token|api_?key|credential|auth", re.I | re.A)
 KNOWN = re.compile(r"AKIA|gh[opsu]_|sk_|xox[abp]-|eyJ|AIza|-----BEGIN")
 EDGES = "\"'`.,;!?()[]{}<>#%&*$|"
 WORD_BITS, FILE_BITS = 24, 3
+RANDOM, ADDRESS = 1 << 3 | 1 << 9 | 1 << 10, 1 << 14
+"""Of the bits below: 16 or more characters, letters and digits, which change four times or more; an address."""
 PLACES = (0, -1, -2, 1)
 """Words whose bits a tag sees: its own, the two before, the one after."""
 
@@ -174,7 +177,9 @@ def windows_in(text: str) -> Iterator[tuple[list[int], int, list[int]]]:
     for n in hit.tolist():
         if n >= done:
             begin, done = max(0, n - 4), n - 4 + WINDOW_WORDS
-            yield bits[begin:done].tolist(), file, tags[begin:done].tolist()
+            window, known = bits[begin:done], tags[begin:done]
+            if not ((window & RANDOM == RANDOM) & (window & ADDRESS == 0) & (known == OUTSIDE)).any():
+                yield window.tolist(), file, known.tolist()
 
 
 def learn(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -228,7 +233,8 @@ class Field:
 
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
-        self.lead = 2 * (moves.max() - moves.min())  # no change of the two moves at a word gains more
+        through = moves[:, :, None] + moves[None]  # from a over y to b; y other than outside gains this much at most
+        self.lead = (through[:, 1:] - through[:, :1]).max()
         self.plain = all(self._sure(self.score(np.ones(7, np.int64), file)).all() for file in range(1 << FILE_BITS))
 
     def score(self, bits: np.ndarray, file: int) -> np.ndarray:
