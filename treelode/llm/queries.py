@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, imatch, secret_spans, simhash, token_cache, token_files
+from treelode.llm import bpe, decontaminate, imatch, secret_spans, simhash, token_cache, token_files, toxicity
 from treelode.llm.common import mounted, new_folder, read
 from treelode.session import ship_package
 
@@ -38,6 +38,10 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_back(spark, files)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans.secrets(read(spark, folder, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op8_secrets, op10_token_counts,
+    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op7_toxicity, op8_secrets, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
