@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, imatch, secret_spans, simhash, token_cache, token_files, toxicity
+from treelode.llm import bpe, decontaminate, imatch, interpolated_lm, secret_spans, simhash, token_cache, token_files, toxicity
 from treelode.llm.common import mounted, new_folder, read
 from treelode.session import ship_package
 
@@ -46,6 +46,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans.secrets(read(spark, folder, "documents"))
 
 
+def op9_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.scores(read(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The cache starts empty here; a production run names a folder that stays."""
     docs, tokenizer = read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op7_toxicity, op8_secrets, op10_token_counts,
+    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op7_toxicity, op8_secrets, op9_interpolated_lm, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
 
