@@ -225,11 +225,11 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(rows, _with(coded, bytes=T.BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns digests of both.
 
-    doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded bytes). Ids and bytes stay in
-    the worker; encode() and decode() return them.
+    doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded bytes), and the ids if asked for.
+    Otherwise ids and bytes stay in the worker; encode() and decode() return them.
     """
     vocabulary = broadcast_file(docs, path)
 
@@ -241,8 +241,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()),
                  pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed], pa.string()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in coder.decode(ids, sizes)], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                 pa.array([hashlib.sha256(x).hexdigest() for x in coder.decode(ids, sizes)], pa.string()),
+                 *([list_column(ids, sizes)] if with_ids else [])], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, _with(docs, n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType()))
+    listed = {"ids": T.ArrayType(T.IntegerType())} if with_ids else {}
+    schema = _with(docs, n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType(), **listed)
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)

@@ -130,3 +130,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows in which no window of the benchmark occurs, with all their columns."""
+    found = stored(phrase_matches(docs, windows_of(items, width).select("window").distinct()), "matches").select(*KEY)
+    named = docs.select(F.struct(*docs.columns).alias("row"), *key_columns())
+    return named.join(found, [*KEY], "left_anti").select("row.*")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, imatch, interpolated_lm, secret_spans, simhash, token_cache, token_files, toxicity
+from treelode.llm import bpe, decontaminate, imatch, interpolated_lm, secret_spans, simhash, token_cache, token_files, toxicity, url_lists
 from treelode.llm.common import mounted, new_folder, read
 from treelode.session import ship_package
 
@@ -32,6 +32,38 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def captures_and_log(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures of all pages with a day of fetching, and list entries made of their hosts, domains and paths with days.
+
+    Days come from page_id, as the tables have none; an entry's days come from the lowest page_id under its pattern.
+    """
+    day = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int"))
+    url, n = F.col("url"), F.col("n")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", day(F.col("page_id") * 37 % 366).alias("fetched_at"))
+    host, parts = url_lists.host_of(url), url_lists.path_parts(url)
+    keyed = pages.where(host != "").select("page_id", host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),
+                                          F.concat(host, F.lit("/"), F.try_element_at(parts, F.lit(1))).alias("path"))
+
+    def lowest(key: str) -> DataFrame:
+        return keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("pattern")).agg(F.min("page_id").alias("n"))
+
+    def entries(name: str, key: str, step: int, factor: int, changes: list[tuple[int, bool]]) -> DataFrame:
+        chosen = lowest(key).where(n % step == 0)
+        dated = [F.struct(day(n * factor % 300 + after).alias("at"), F.lit(added).alias("added")) for after, added in changes]
+        return chosen.select(F.lit(name).alias("list"), "pattern", F.explode(F.array(*dated)).alias("e")).select("list", "pattern", "e.at", "e.added")
+
+    log = entries("hosts", "host", 2, 7, [(0, True), (40, False), (150, True)]).union(
+        entries("domains", "domain", 5, 13, [(0, True), (90, False)])).union(
+        entries("paths", "path", 3, 3, [(0, True), (100, False), (100, True), (120, True)])).union(
+        entries("allow", "host", 11, 5, [(0, True)]))
+    return captures, log
+
+
+def op5_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    captures, log = captures_and_log(read(spark, folder, "pages"))
+    return url_lists.judge(captures, url_lists.validity(log)).withColumnRenamed("capture_id", "page_id")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = mounted(new_folder(spark, "token-files"))
     token_files.write(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), files, END_ID)
@@ -58,9 +90,42 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op6_token_files, op7_toxicity, op8_secrets, op9_interpolated_lm, op10_token_counts,
+    op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_url_lists, op6_token_files, op7_toxicity, op8_secrets, op9_interpolated_lm, op10_token_counts,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_url_lists": r"""
+WITH capture AS (
+  SELECT page_id AS capture_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS fetched_at,
+         lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
+         list_filter(string_split(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+keyed AS (
+  SELECT capture_id AS n, 'host' AS kind, host AS pattern FROM capture WHERE host <> ''
+  UNION ALL SELECT capture_id, 'domain', array_to_string(string_split(host, '.')[-2:], '.') FROM capture WHERE host <> ''
+  UNION ALL SELECT capture_id, 'path', host || '/' || parts[1] FROM capture WHERE host <> '' AND len(parts) > 0),
+lowest AS (SELECT kind, pattern, min(n) AS n FROM keyed GROUP BY ALL),
+rule AS (FROM (VALUES ('hosts', 'host', 2, 7, 0, true), ('hosts', 'host', 2, 7, 40, false), ('hosts', 'host', 2, 7, 150, true),
+                      ('domains', 'domain', 5, 13, 0, true), ('domains', 'domain', 5, 13, 90, false),
+                      ('paths', 'path', 3, 3, 0, true), ('paths', 'path', 3, 3, 100, false), ('paths', 'path', 3, 3, 100, true),
+                      ('paths', 'path', 3, 3, 120, true), ('allow', 'host', 11, 5, 0, true)) r(list, kind, step, factor, days, added)),
+log AS (
+  SELECT list, pattern, DATE '2024-01-01' + CAST(n * factor % 300 + days AS INT) AS at_day, added
+  FROM lowest JOIN rule USING (kind) WHERE n % step = 0),
+under AS (
+  SELECT DISTINCT capture_id, fetched_at, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[:i], '/')))) AS pattern
+  FROM capture WHERE host <> ''),
+latest AS (
+  SELECT capture_id, u.pattern, list, max(at_day) AS at_day
+  FROM under u JOIN log l ON l.pattern = u.pattern AND l.at_day <= u.fetched_at GROUP BY ALL),
+active AS (
+  SELECT capture_id, list FROM latest JOIN log USING (pattern, list, at_day) GROUP BY capture_id, pattern, list HAVING bool_and(added)),
+found AS (SELECT capture_id, count(*) AS n, list_sort(list_distinct(list(list))) AS names FROM active GROUP BY capture_id)
+SELECT capture_id AS page_id, host, coalesce(n, 0) AS n_entries, coalesce(array_to_string(names, ','), '') AS lists,
+       n IS NOT NULL AND NOT list_contains(names, 'allow') AS blocked
+FROM capture LEFT JOIN found USING (capture_id)""",
+}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

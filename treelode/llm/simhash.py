@@ -21,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelode.llm.common import settled, slices, texts_of
+from treelode.llm.common import settled, slices, texts_of, whole_text
 
 BITS = 64
 BUCKET_ROWS = 4096
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -51,15 +52,16 @@ def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (signed 64 bits) of every row."""
+    """doc_id, a digest of the text, and fingerprint (signed 64 bits) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [fingerprint_of(text, words, seed) for text in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(found, pa.int64())], schema.names)
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.LongType()),
+                           T.StructField("fingerprint", T.LongType())])
+    return docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("digest")).mapInArrow(rows, schema)
 
 
 def as_hex(fingerprint: Column) -> Column:
@@ -199,13 +201,27 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def groups(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, digest, fingerprint and root: the least fingerprint reachable over links within the radius."""
+    prints = settled(fingerprints(docs, words, seed))
+    distinct = settled(prints.select("fingerprint").distinct())
+    linked = components(links(distinct, radius, bucket_rows)).withColumnRenamed("node", "fingerprint")
+    return prints.join(linked, "fingerprint", "left").select(
+        "doc_id", "digest", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (signed), component_id: the smallest doc_id reachable over links within the radius."""
-    prints = settled(fingerprints(docs, words, seed))
-    distinct = settled(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("component_id")))
-    linked = components(links(distinct, radius, bucket_rows))
-    known = distinct.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    known = known.select("fingerprint", "component_id", F.coalesce("root", "fingerprint").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("component_id").alias("component_id"))
-    member = known.select("fingerprint", "root").join(lowest, "root").select("fingerprint", "component_id")
-    return prints.join(member, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    grouped = settled(groups(docs, radius, words, seed, bucket_rows))
+    lowest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(lowest, "root").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group, with all its columns: of those with the smallest doc_id, the one of least text digest."""
+    keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.col("digest")]
+    kept = groups(docs, radius, words, seed).select(*keys, "root").groupBy("root").agg(F.min(F.struct("key", "digest")).alias("k"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64(whole_text()).alias("digest"))
+    found = named.join(kept.select("k.key", "k.digest"), ["key", "digest"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key")) == 1  # repeated rows are alike in id and text
+    return found.withColumn("first", first).where("first").select("row.*")
