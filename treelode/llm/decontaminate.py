@@ -25,8 +25,13 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ("doc_key", "digest")
 
 
+def parts_of(text: Column) -> Column:
+    """The words in order, with an empty string before or after them where the text begins or ends with a separator."""
+    return F.split(ascii_lower(text), SEPARATORS)
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), SEPARATORS), lambda word: word != "")
+    return F.array_remove(parts_of(text), "")
 
 
 def key_columns() -> list[Column]:
@@ -34,8 +39,8 @@ def key_columns() -> list[Column]:
 
 
 def keyed_words(docs: DataFrame) -> DataFrame:
-    """doc_key, digest and words of every row."""
-    return docs.select(*key_columns(), words_of(whole_text()).alias("words"))
+    """doc_key, digest and words of every row; empty strings at the ends match no term and shift all places alike."""
+    return docs.select(*key_columns(), parts_of(whole_text()).alias("words"))
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
@@ -84,8 +89,9 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     agreed = agreed.join(second, [*KEY, "second_term", "second_position"], "left_semi")
     candidates = agreed.groupBy(*KEY).agg(F.collect_set(F.struct("start", "window")).alias("candidates"))
     texts = docs.select(*key_columns(), whole_text().alias("text")).join(candidates, [*KEY])
-    texts = texts.select(*KEY, "candidates", words_of(F.col("text")).alias("words"))
-    same = F.filter("candidates", lambda c: F.slice("words", c["start"] + 1, F.size(c["window"])) == c["window"])
+    # The transform over one array names the words: they are cut once per document and not once per candidate.
+    same = F.transform(F.array(parts_of(F.col("text"))), lambda words: F.filter(
+        "candidates", lambda c: F.slice(words, c["start"] + 1, F.size(c["window"])) == c["window"]))[0]
     checked = texts.select(*KEY, same.alias("found")).where(F.size("found") > 0)
     return checked.dropDuplicates([*KEY])
 
