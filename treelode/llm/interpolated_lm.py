@@ -2,7 +2,7 @@
 
 P(w | v) = a(b) c(vw) / c(v) + a1(b) c(w) / N + a0(b) / (V + 1), where b is the bucket of the context's count c(v) by powers
 of two. The weights of each bucket come from expectation-maximisation on held-out counts: a bounded sample of training
-texts (WEIGHT_TOKENS at most, whole texts) is deleted from the counts that the estimates for it are made of. Everything
+texts (WEIGHT_TOKENS and WEIGHT_SHARE of all at most, whole texts with their copies) is deleted from the counts that the estimates for it are made of. Everything
 else, the counts, N and V, comes from all training texts.
 
 Tokens and pairs of tokens are 64-bit hashes. Texts are dealt into blocks by a hash, and a block is one row group of the job:
@@ -10,8 +10,8 @@ Tokens and pairs of tokens are 64-bit hashes. Texts are dealt into blocks by a h
   2. each range adds up the counts by hash and answers each block with the totals, in the order of its message;
   3. each block scores its texts with the totals.
 Messages are arrays, so a hash costs about six bytes in the shuffle; texts are shuffled once and read by steps 1 and 3. A
-frequent token or pair is one entry per block and range. Blocks and ranges are as many as the session's shuffle partitions,
-so that setting bounds what a task holds: a block of texts, or a range of hashes.
+frequent token or pair is one entry per block and range. Ranges are as many as the session's shuffle partitions and blocks
+twice as many, so that setting bounds what a task holds: a block of texts, or a range of hashes.
 
 Defined results: null and empty texts have only the end token; repeated rows each count and each have a row; rows without doc_id
 are training texts; without any training text N and V are 0 and all probability is uniform; an empty table gives an empty
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from treelode.llm.common import slices, texts_of, whole_text
 
 FOLDS, HELD_OUT = 7, 2
-WEIGHT_TOKENS, WEIGHT_DOCUMENTS, ROUNDS = 300_000, 1_000, 40
+WEIGHT_TOKENS, WEIGHT_DOCUMENTS, WEIGHT_SHARE, ROUNDS = 300_000, 1_000, 0.1, 40
 BUCKETS = 40
 WORDS_KEPT = 300_000
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b"\n", b"\t"))  # no word is white space
@@ -100,12 +100,12 @@ def is_training(doc_id: object) -> bool:
 
 def packed(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that the zeros of small values compress away."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unpacked(content: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(width, len(content) // width).T).view(kind).ravel()
 
 
 def sorted_packed(keys: np.ndarray) -> bytes:
@@ -116,6 +116,12 @@ def sorted_unpacked(content: bytes) -> np.ndarray:
     return np.cumsum(unpacked(content, np.uint64), dtype=np.uint64)
 
 
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys, by sorting."""
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
+
+
 def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     bounds = np.array([(n << 64) // ranges for n in range(1, ranges)], np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
@@ -134,8 +140,7 @@ class Block:
         self.training = np.array([is_training(doc_id) for doc_id in self.doc_ids], bool)
         learned = np.repeat(self.training, self.sizes)
         kept, n = np.unique(np.concatenate((self.tokens[learned], self.pairs[learned])), return_counts=True)
-        rest = np.unique(np.concatenate((self.tokens[~learned], self.pairs[~learned])))
-        self.keys = np.union1d(kept, rest)
+        self.keys = distinct_of(np.concatenate((kept, self.tokens[~learned], self.pairs[~learned])))
         self.counts = np.zeros(len(self.keys), np.uint64)
         self.counts[np.searchsorted(self.keys, kept)] = n
 
@@ -183,6 +188,16 @@ def estimates(pair: np.ndarray, context: np.ndarray, token: np.ndarray, total: f
     return np.stack((pair / np.maximum(context, 1), token / max(total, 1), np.full(len(pair), 1 / (distinct + 1))), axis=1)
 
 
+def mixture(pair: np.ndarray, context: np.ndarray, token: np.ndarray, total: float, distinct: float, weights: np.ndarray) -> np.ndarray:
+    """Probability of each token, some at a time."""
+    mixed = np.empty(len(pair))
+    for first in range(0, len(pair), 1 << 18):
+        part = slice(first, first + (1 << 18))
+        parts = estimates(pair[part], context[part], token[part], total, distinct)
+        mixed[part] = (parts * weights[bucket_of(context[part])]).sum(1)
+    return mixed
+
+
 def weights_of(parts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Weights (bucket, estimate) of greatest likelihood by expectation-maximisation; buckets with few tokens lean on all."""
     every = np.array([1.0, 1.0, 1.0]) / 3
@@ -201,7 +216,7 @@ def weights_of(parts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 def _weight_sample(texts: DataFrame) -> list:
     """(digest, tokens) of the texts on which weights are learned."""
-    share = WEIGHT_DOCUMENTS / max(1, texts.count())
+    share = min(WEIGHT_SHARE, WEIGHT_DOCUMENTS / max(1, texts.count()))
     place = F.pmod(F.xxhash64(F.lit("weights"), "doc_id", "text"), F.lit(1_000_000))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +242,7 @@ def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.n
     tokens = np.concatenate((np.empty(0, np.uint64), *parts))
     before = contexts_of(tokens, np.array([len(part) for part in parts], np.int64)) if parts else tokens
     pairs = pairs_of(before, tokens)
-    wanted = np.unique(np.concatenate((tokens, before, pairs)))
+    wanted = distinct_of(np.concatenate((tokens, before, pairs)))
     shared = texts.sparkSession.sparkContext.broadcast((wanted, deleted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +254,7 @@ def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.n
             tokens, sizes = tokens_of(texts_of(batch))
             training = np.array([is_training(doc_id) for doc_id in batch.column("doc_id").to_pylist()], bool)
             every = np.repeat(training, sizes)
-            distinct.append(np.unique(tokens[every]))
+            distinct.append(distinct_of(tokens[every]))
             kept = training & np.array([xxhash.xxh64_intdigest(part.tobytes()) not in deleted for part in np.split(tokens, np.cumsum(sizes)[:-1])], bool)
             counted = np.repeat(kept, sizes)
             facts += (every.sum(), training.sum(), counted.sum(), kept.sum())
@@ -250,7 +265,7 @@ def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.n
                 there = place < len(wanted)
                 place = place[there][wanted[place[there]] == keys[there]]
                 counts += np.bincount(place, minlength=len(counts))
-        found = np.unique(np.concatenate((np.empty(0, np.uint64), *distinct)))
+        found = distinct_of(np.concatenate((np.empty(0, np.uint64), *distinct)))
         cuts = range_cuts(found, ranges)
         seen = np.flatnonzero(counts)
         out = [(n, sorted_packed(found[a:b]), b"", facts.tolist() if not n else [0.0] * 4) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
@@ -294,7 +309,7 @@ def scores(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", whole_text().alias("text"))
     total, distinct, documents, weights = first_pass(texts, parts)
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts)).cast("int"))
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table)
@@ -304,7 +319,7 @@ def scores(docs: DataFrame) -> DataFrame:
         context = np.roll(token, 1)
         starts = np.cumsum(block.sizes) - block.sizes
         context[starts] = documents
-        mixed = (estimates(pair, context, token, total, distinct) * weights[bucket_of(context)]).sum(1)
+        mixed = mixture(pair, context, token, total, distinct, weights)
         sums = [np.add.reduceat(values, starts) for values in (np.log10(token + 1), np.log10(mixed), (token > 0).astype(np.int64))]
         base = sums[0] - block.sizes * np.log10(total + distinct + 1)
         return pa.table([pa.array(block.doc_ids, table["doc_id"].type), pa.array(~block.training), pa.array(block.sizes), pa.array(sums[2]),
