@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelode import schema
+from treelode.functions.languages import declaration, import_of
 from treelode.functions.statements import cut
 from treelode.operators.outline import file_outline, symbol_source
 
@@ -140,3 +141,36 @@ def test_warnings(files):
     found = {r.file: r.warnings for r in file_outline(frame).collect()}
     assert found["a.ts"] == ["L1: TODO fix", "L2: Notebook", "L3: @Deprecated", "L8: FIXME*/", "L9: warning: x"]
     assert found["a.sql"] == []
+
+
+LARGE = 1 << 20
+HUGE = {
+    ".ts": ["@a" * 20_000 + " x", "@a " * (LARGE // 3) + "class Foo {}", "export " + "@a@" * 9_000, "const {}" + "=a" * (LARGE // 2), "type " + "x " * (LARGE // 2)],
+    ".py": ["from . import (\n" + "    a as b,\n" * (LARGE // 12) + "    last)", "from ." + ".x" * (LARGE // 2) + " y", "@" + "d" * LARGE,
+            "from . import (" + "# note\n" * (LARGE // 7), "from a" + ". b" * (LARGE // 3)],
+    ".go": ["type (\n" + "A = int\n" * (LARGE // 8) + "Last struct{}\n)", "type (" + "A" * LARGE, "func () " + "x" * LARGE],
+    ".rs": ["impl" + "<T: A" * 100_000 + ">" * 100_000 + " Foo {}", "use a" + "::b" * (LARGE // 3) + ";", "pub " + "async " * (LARGE // 6) + "fn f() {}", "impl" + "<" * LARGE],
+    ".php": ["#[] " * (LARGE // 4) + "class A {}", "final " * (LARGE // 6) + "class A {}"],
+    ".css": ["a " * (LARGE // 2) + "{}", "@keyframes " + "x" * LARGE],
+}
+
+
+@pytest.mark.parametrize("extension", HUGE)
+def test_very_long_statements_end_soon(spark, extension):
+    """No pattern recurses per repetition or tries the same characters again and again."""
+    import time
+    frame = spark.createDataFrame([(text,) for text in HUGE[extension]], "head string")
+    start = time.perf_counter()
+    found = frame.select(declaration(F.col("head"), F.lit(extension)).alias("d"), import_of(F.col("head"), F.lit(extension)).alias("i")).collect()
+    assert time.perf_counter() - start < 20
+    if extension == ".py":
+        assert found[0].i == "last"
+    if extension == ".rs":
+        assert found[0].d.name == "impl Foo"
+
+
+def test_deep_generics_keep_their_symbol(spark):
+    heads = ["impl<T: A<B<C<D<E>>>>> Foo {}", "impl<F: Fn() -> Vec<Vec<T>>> Bar {}", "impl<T> Box<T> {}", "impl Baz {}", "impl<T> Show for Qux {}"]
+    frame = spark.createDataFrame([(n, head) for n, head in enumerate(heads)], "n int, head string")
+    found = frame.select("n", declaration(F.col("head"), F.lit(".rs"))["name"].alias("name")).orderBy("n").collect()
+    assert [row.name for row in found] == ["impl Foo", "impl Bar", None, "impl Baz", "impl Show"]

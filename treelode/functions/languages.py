@@ -19,7 +19,9 @@ _ID = r"[\p{L}\p{N}_$]+"
 _WORD = r"[\p{L}\p{N}_]+"
 
 # One (kind of node, pattern with the name as its group) per declaration form.
-_SCRIPT_LEAD = r"^(?:@\S+\s*)*(?:export\s+(?:default\s+)?)?(?:@\S+\s*)*"
+# Repeated groups are possessive: a match that fails is not tried again in another cut, and nothing recurses.
+_DECORATORS = r"(?:@[^\s@]++\s*+)*+"
+_SCRIPT_LEAD = rf"^{_DECORATORS}(?:export\s+(?:default\s+)?)?{_DECORATORS}"
 _SCRIPT_FORMS = (
     ("function", rf"(?:async\s+)?function\s+({_ID})[\s\S]*\}}$"),
     ("class", rf"class\s+(?!extends\b|implements\b)({_ID})"),
@@ -39,10 +41,10 @@ _PYTHON_FORMS = (
 _GO_FORMS = (
     ("function", rf"^func\s+({_WORD})"),
     ("method", rf"^func\s*\(\)\s*({_WORD})"),
-    ("type", rf"^type\s*\(\s*(?:{_WORD}\s*=[^\n;]*[\n;]\s*)*({_WORD})(?!\s*=)\b"),
+    ("type", rf"^type\s*\(\s*+(?:{_WORD}+\s*+=[^\n;]*+[\n;]\s*+)*+({_WORD}+)(?!\s*=)\b"),
     ("type", rf"^type\s+({_WORD})\b(?!\s*(?:\[\])?\s*=)"),
 )
-_RUST_LEAD = r"^(?:pub(?:\(\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*"
+_RUST_LEAD = r"^(?:pub(?:\(\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s*+\"[^\"]*+\")?+)\s++)*+"
 _RUST_FORMS = (
     ("function", rf"fn\s+(?:r#)?({_WORD})[\s\S]*\}}$"),
     ("struct", rf"struct\s+(?:r#)?({_WORD})"),
@@ -51,13 +53,12 @@ _RUST_FORMS = (
     ("type", rf"type\s+(?:r#)?({_WORD})"),
     ("mod", rf"mod\s+(?:r#)?({_WORD})"),
 )
-_ANGLE = r"<(?:->|[^<>]|<(?:->|[^<>]|<(?:->|[^<>]|<[^<>]*>)*>)*>)*>"
 _PRIMITIVE = r"(?!(?:[iu](?:8|16|32|64|128|size)|f32|f64|bool|char|str|dyn)\b)"
 _RUST_IMPL = (
-    rf"^(?:default\s+)?(?:unsafe\s+)?impl\s*(?:{_ANGLE})?\s*!?\s*{_PRIMITIVE}({_WORD})\s*(?:for\b|where\b|\{{)",
+    rf"^\s*!?\s*{_PRIMITIVE}({_WORD})\s*(?:for\b|where\b|\{{)",
     rf"^(?:default\s+)?(?:unsafe\s+)?impl\b[\s\S]*?\sfor\s+{_PRIMITIVE}({_WORD})\s*(?:where\b|\{{)",
 )
-_PHP_LEAD = r"(?i)^(?:#\[\]\s*)*(?:(?:abstract|final|readonly)\s+)*"
+_PHP_LEAD = r"(?i)^(?:#\[\]\s*+)*+(?:(?:abstract|final|readonly)\s++)*+"
 _PHP_FORMS = (
     ("function", r"function\s+&?\s*([\w\x{80}-\x{10ffff}]+)\s*\("),
     ("class", r"class\s+([\w\x{80}-\x{10ffff}]+)"),
@@ -72,10 +73,10 @@ _CSS_FORMS = (
 _HTML_ELEMENT = r"^<([^\s/>]+)>$"
 
 _SCRIPT_IMPORT = r"^import\b(?!\s*[.(])[^\"'=]*([\"'][\s\S]*?[\"'])"
-_PYTHON_FROM = rf"^from\s+((?!__future__\b){_WORD}(?:\s*\.\s*{_WORD})*)\s+import\b"
-_PYTHON_RELATIVE = (rf"^from\s*\.[\s\S]*?\bimport\s*\(?(?:\s|#[^\n]*\n|\\\n|{_WORD}(?:\.{_WORD})*\s+as\s+{_WORD}\s*,)*"
-                    rf"({_WORD})(?!\s+as\b)\b")
-_RUST_USE = rf"^(?:pub(?:\(\))?\s+)?use\s+(?!(?:crate|self|super)\s*;)((?:::\s*)?{_WORD}(?:\s*::\s*{_WORD})*)\s*;$"
+_PYTHON_FROM = rf"^from\s+((?!__future__\b){_WORD}+(?:\s*+\.\s*+{_WORD}+)*+)\s+import\b"
+_PYTHON_RELATIVE = (rf"^from\s*\.[\s\S]*?\bimport\s*\(?(?:\s++|#[^\n]*+\n|\\\n|{_WORD}+(?:\.{_WORD}+)*+\s++as\s++{_WORD}+\s*+,)*+"
+                    rf"({_WORD}+)(?!\s++as\b)")
+_RUST_USE = rf"^(?:pub(?:\(\))?\s+)?use\s+(?!(?:crate|self|super)\s*;)((?:::\s*)?{_WORD}+(?:\s*+::\s*+{_WORD}+)*+)\s*;$"
 
 _FOUND = "struct<node:string,name:string>"
 
@@ -91,7 +92,7 @@ def _first(head: Column, forms, lead: str = "") -> Column:
 
 def _script(head: Column, extension: Column) -> Column:
     """In plain scripts a type declaration counts only behind `export`, and then as the export itself."""
-    keyword = X.head_match(head, r"^(?:@\S+\s*)*(export|async|function|class|interface|enum|type|const|let)\b")
+    keyword = X.head_match(head, rf"^{_DECORATORS}(export|async|function|class|interface|enum|type|const|let)\b")
     exported = keyword == "export"
     typed = extension.isin(*TYPED)
     tries = []
@@ -103,8 +104,23 @@ def _script(head: Column, extension: Column) -> Column:
     return F.when(keyword != "", F.coalesce(*tries))
 
 
+def _after_generics(text: Column) -> Column:
+    """The text after a balanced <...> at its start, however deep, or the text itself where there is none."""
+    pieces = F.split(F.replace(text, F.lit("->"), F.lit("  ")), r"(?<=[<>])|(?=[<>])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(held: Column, piece: Column) -> Column:
+        depth = held["depth"] + F.when(piece == "<", 1).when(piece == ">", -1).otherwise(0)
+        at = held["at"] + F.length(piece)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((held["end"] == 0) & (depth == 0), at).otherwise(held["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda held: held["end"])
+    return F.when(text.startswith("<"), F.substring(text, end + 1, F.length(text))).otherwise(text)
+
+
 def _rust(head: Column) -> Column:
-    impls = [X.head_match(head, pattern) for pattern in _RUST_IMPL]
+    rest = _after_generics(F.regexp_replace(head, r"^(?:default\s+)?(?:unsafe\s+)?impl\s*", ""))
+    impls = [X.head_match(rest, _RUST_IMPL[0]), X.head_match(head, _RUST_IMPL[1])]
     named = [F.when(n != "", F.struct(F.lit("impl").alias("node"), F.concat(F.lit("impl "), n).alias("name")).cast(_FOUND))
              for n in impls]
     return F.coalesce(F.when(X.head_match(head, r"^(?:default\s+)?(?:unsafe\s+)?(impl)\b") != "", F.coalesce(*named)),
