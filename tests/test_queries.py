@@ -5,9 +5,11 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from treelode.checks import oracle
+from treelode.checks.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registered(), oracle.statements()
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables are not here")
 
 

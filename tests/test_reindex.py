@@ -167,7 +167,7 @@ def test_search_messages(spark, tree):
     root = tree(SOURCE)
     text, failed = ask(spark, root, "search_code", query="alpha")
     assert failed and json.loads(text)["error"] == "NO_INDEX"
-    assert ask(spark, root, "search_code", query="") == ("Error: query parameter is required (string)", True)
+    assert ask(spark, root, "search_code", query="") == ("Error: give a value for query (string)", True)
     said, failed = ask(spark, root, "reindex")
     assert not failed and said["files_processed"] == 4 and said["auto_index"] is True
     assert P.load_rc(root).auto_index is True
@@ -201,9 +201,9 @@ def test_search_plan(spark, tree):
     chunks = store.chunks("code")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     try:
-        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector"), [0.0] * 64, 5)
+        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), [0.0] * 64, 5)
         plan = winners._jdf.queryExecution().executedPlan().toString()
-        lookup = A._with_content(store, chunks, winners, 5)._jdf.queryExecution().executedPlan().toString()
+        lookup = A._with_content(store, winners)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in plan.split("\n") if "store/chunks" in line)
@@ -212,22 +212,51 @@ def test_search_plan(spark, tree):
     assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
     scan = next(line for line in lookup.split("\n") if "store/chunks" in line)
     assert "paths)[file" in scan and "/kind=code/part-" in scan
-    assert re.search(r"(?:In|EqualTo)\(id", scan.split("PushedFilters")[1])
 
 
-def test_many_results_and_merge_in_two_steps_give_the_same(spark, tree, monkeypatch):
-    from treelode.operators import search as S
+def test_results_of_every_size(spark, tree):
     root = tree({f"src/my dir/f{i % 7}/m{i}.ts": f"match {i % 5} word" for i in range(40)})
     reindex(spark, root, DIM)
-    few = A.search_code(spark, root, "match word 3", DIM, 12).collect()
-    assert len(few) == 12
-    monkeypatch.setattr(A, "LITERAL_ROWS", 3)
-    assert A.search_code(spark, root, "match word 3", DIM, 12).collect() == few
-    monkeypatch.setattr(S, "MERGE_BYTES", 0)
-    assert A.search_code(spark, root, "match word 3", DIM, 12).collect() == few
+    every = A.search_code(spark, root, "match word 3", DIM, 2000).collect()
+    assert len(every) == 40 and [row.rank for row in every] == [*range(1, 41)]
+    assert A.search_code(spark, root, "match word 3", DIM, 12).collect() == every[:12]
     assert A.search_code(spark, root, "match word 3", DIM, 0).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10, 2000])
+def test_reverted_and_restored_files_are_found_once(spark, tree, limit):
+    first = {"src/a.py": "match one", "src/b.py": "match two", "docs/g.md": "# T\nmatch\n"}
+    root = tree(first)
+    reindex(spark, root, DIM)
+    tree({"src/a.py": "match changed", "docs/g.md": "# T\nother\n"}, Path(root))
+    (Path(root) / "src/b.py").unlink()
+    reindex(spark, root, DIM)
+    tree(first, Path(root))
+    reindex(spark, root, DIM)
+    found = A.search_code(spark, root, "match", DIM, limit).collect()
+    assert sorted((row.rank, row.file) for row in found) in ([(1, "src/a.py"), (2, "src/b.py")], [(1, "src/b.py"), (2, "src/a.py")])
+    docs = A.search_docs(spark, root, "match", DIM, limit).collect()
+    assert [(row.rank, row.file) for row in docs] == [(1, "docs/g.md")] and "match" in docs[0].content
+
+
+@pytest.mark.parametrize("limit", [-1, 2.5, "3", True, float("nan")])
+def test_limits_that_are_no_numbers_of_rows(spark, tree, limit):
+    root = tree({"src/a.py": "match"})
+    reindex(spark, root, DIM)
+    said, failed = ask(spark, root, "search_code", query="match", limit=limit)
+    assert failed and "limit" in said
+    assert ask(spark, root, "search_code", query="match", limit=1.0)[0]["results_count"] == 1
+
+
+def test_other_failures_become_messages(spark, tree, monkeypatch):
+    root = tree({"src/a.py": "match"})
+    reindex(spark, root, DIM)
+    monkeypatch.setattr(A, "search_code", lambda *_: 1 / 0)
+    said, failed = ask(spark, root, "search_code", query="match")
+    assert failed and "search_code" in said and "division" in said
+    assert all(op.about for op in A.OPERATIONS.values())
+
+
 def test_over_fetch_can_return_fewer(spark, tree):
     names = {f"src/m{i}.ts": "match word" for i in range(6)}
     root = tree({**names, "src/z.py": "other"})
@@ -257,9 +286,9 @@ def test_structure_messages(spark, tree):
     assert set(said) == {"file", "symbol", "lines", "source"}
 
     assert ask(spark, root, "get_symbol", file="src/b.ts", name="zz") == ('Error: Symbol "zz" not found in src/b.ts', True)
-    assert ask(spark, root, "get_symbol", file="src/b.ts") == ("Error: name parameter is required (symbol name)", True)
+    assert ask(spark, root, "get_symbol", file="src/b.ts") == ("Error: give a value for name (symbol name)", True)
     assert ask(spark, root, "get_file_outline") == (
-        "Error: file parameter is required (relative path from project root)", True)
+        "Error: give a value for file (relative path from project root)", True)
     assert ask(spark, root, "get_file_outline", file="gone.py") == ("Error: File not found: gone.py", True)
     with pytest.raises(A.UnknownTool):
         A.answer(spark, root, DIM, "drop_everything")
@@ -273,4 +302,4 @@ def test_auto_index(spark, tree):
 
     assert A.auto_index(spark, root, NoKey()) is None
     done = A.reindex(spark, root, DIM, enable_auto_index=False)
-    assert done.auto_index is False and P.load_rc(root).auto_index is False and "up-to-date" in done.message
+    assert done.auto_index is False and P.load_rc(root).auto_index is False and "Nothing has changed" in done.message

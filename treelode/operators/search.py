@@ -14,9 +14,6 @@ from treelode.functions import text as X
 from treelode.functions.vectors import matrix_of, squared_gaps
 
 OVERFETCH = 3
-# A scan of more than this many bytes has thousands of tasks; their rows are merged in two steps.
-MERGE_BYTES = 256 << 30
-MERGE_SALTS = 512
 # Distance alone does not order copies of a vector; these columns do.
 TIE_BREAK = ("file_path", "line_start", "id")
 ORDER = ("_distance", *TIE_BREAK)
@@ -35,18 +32,7 @@ def nearest(table: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
 
     Each task passes on only its own best rows, and one merge picks among those.
     """
-    found = _merged(table, _task_best(table, [(0, query)], limit), limit)
-    return found.drop("query_id").orderBy(*ORDER).limit(limit)
-
-
-def _merged(table: DataFrame, found: DataFrame, limit: int) -> DataFrame:
-    """Thin out the rows of very many tasks in parallel before they meet in one place."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= MERGE_BYTES:
-        return found
-    window = Window.partitionBy("query_id", "salt").orderBy(*ORDER)
-    salted = found.withColumn("salt", F.spark_partition_id() % MERGE_SALTS)
-    return salted.withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit).drop("salt", "place")
+    return _task_best(table, [(0, query)], limit).drop("query_id").orderBy(*ORDER).limit(limit)
 
 
 def fetch_size(limit: int, extensions: Sequence[str] | None) -> int:
@@ -110,7 +96,7 @@ def nearest_batch(table: DataFrame, queries: Sequence[tuple[int, Sequence[float]
     blocks of 256, one scan per block, so what a task holds does not grow with their number.
     """
     blocks = [queries[i:i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
-    found = reduce(DataFrame.unionByName, [_merged(table, _task_best(table, block, limit), limit) for block in blocks])
+    found = reduce(DataFrame.unionByName, [_task_best(table, block, limit) for block in blocks])
     window = Window.partitionBy("query_id").orderBy(*ORDER)
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 

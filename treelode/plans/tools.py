@@ -2,9 +2,9 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +22,7 @@ from treelode.sources.store import ChunkStore
 from treelode.sources.tree import one_file, scan_files
 
 CODE_LIMIT, DOC_LIMIT = 10, 5
-# Results up to this size are fetched by literal ids, which reach the Parquet scan.
-LITERAL_ROWS = 1000
-# A JSON message is one string on the driver; larger trees are for `get_file_tree` itself.
-MESSAGE_ROWS = 1_000_000
+log = logging.getLogger(__name__)
 
 
 class ToolError(Exception):
@@ -42,7 +39,16 @@ class UnknownTool(Exception):
 
 def _required(value: Any, name: str, hint: str) -> None:
     if not isinstance(value, str) or not value:
-        raise ToolError(f"Error: {name} parameter is required ({hint})")
+        raise ToolError(f"Error: give a value for {name} ({hint})")
+
+
+def _limit(value: Any, default: int) -> int:
+    """A number of results: whole and not negative; JSON may say 5.0 for 5."""
+    if value is None:
+        return default
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value // 1 or value < 0:
+        raise ToolError(f"Error: limit must be a whole number from 0 on, not {value!r}")
+    return int(value)
 
 
 def _query_vector(embedder: Embedder, query: str) -> list[float]:
@@ -55,28 +61,24 @@ def _store(spark: SparkSession, root: str) -> ChunkStore:
     if store.manifest() is None:
         raise ToolError({
             "error": "NO_INDEX",
-            "message": "No index found for this project. Please run the reindex tool first to index the codebase.",
+            "message": "This project has not been indexed yet; the reindex operation does that.",
             "project": root,
         })
     return store
 
 
-def _with_content(store: ChunkStore, chunks: DataFrame, winners: DataFrame, limit: int) -> DataFrame:
+def _with_content(store: ChunkStore, winners: DataFrame) -> DataFrame:
     """Add stored columns to the winning rows, so the vector scan need not read every content.
 
-    A few winners are fetched from the very files they are in; more than that are joined.
+    The winners, as many as the caller's limit, are taken to the driver with the files that hold them, and only those files
+    are read. A row is the one with the winner's id and version: ids repeat in versions that are no longer live.
     """
-    if limit > LITERAL_ROWS:
-        return chunks.drop("vector").join(winners.select("id", "_distance"), "id")
-    found = [(r["id"], r["_distance"], r["stored_in"]) for r in winners.select("id", "_distance", "stored_in").collect()]
+    found = winners.select("id", "v", "_distance", "stored_in").collect()
+    wanted = store.spark.createDataFrame([row[:3] for row in map(tuple, found)], "id string, v long, _distance double")
     if not found:
-        return chunks.drop("vector").where(F.lit(False)).withColumn("_distance", F.lit(0.0))
-    ids = [i for i, _, _ in found]
-    # Lists of up to ten literals are pushed to the scan as equalities.
-    wanted = reduce(lambda a, b: a | b, [F.col("id").isin(ids[i:i + 10]) for i in range(0, len(ids), 10)])
-    distances = chunks.sparkSession.createDataFrame([f[:2] for f in found], "id string, _distance double")
-    rows = store.rows_in([file for _, _, file in found]).drop("vector")
-    return rows.where(wanted).join(F.broadcast(distances), "id")
+        return store.chunks().where(F.lit(False)).drop("vector", "_distance").join(wanted, ["id", "v"])
+    rows = store.rows_in([row["stored_in"] for row in found]).drop("vector")
+    return rows.join(F.broadcast(wanted), ["id", "v"])
 
 
 def has_index(spark: SparkSession, root: str) -> bool:
@@ -89,26 +91,26 @@ def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder,
     """Code chunks nearest to a query. An extension filter applies after a threefold over-fetch;
     `exact` applies it first, so that `limit` rows come back whenever that many match."""
     _required(query, "query", "string")
-    limit = CODE_LIMIT if limit is None else limit
+    limit = _limit(limit, CODE_LIMIT)
     ship_package(spark)
     store = _store(spark, root)
     chunks = store.chunks("code")
     vector = _query_vector(embedder, query)
-    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector")
+    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector")
     winners = S.nearest_with_extension(keys, vector, limit, extensions, exact)
-    return S.code_results(_with_content(store, chunks, winners, limit)).orderBy("rank")
+    return S.code_results(_with_content(store, winners)).orderBy("rank")
 
 
 def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder, limit: int | None = None) -> DataFrame:
     """Documentation sections nearest to a query, with their full content."""
     _required(query, "query", "string")
-    limit = DOC_LIMIT if limit is None else limit
+    limit = _limit(limit, DOC_LIMIT)
     ship_package(spark)
     store = _store(spark, root)
     chunks = store.chunks("docs")
     vector = _query_vector(embedder, query)
-    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "stored_in", "vector"), vector, limit)
-    return S.doc_results(_with_content(store, chunks, winners, limit)).orderBy("rank")
+    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), vector, limit)
+    return S.doc_results(_with_content(store, winners)).orderBy("rank")
 
 
 @dataclass(frozen=True)
@@ -130,19 +132,20 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder, enable_auto_inde
         rc = P.Rc(True)
         P.save_rc(root, rc)
     if totals.files_processed == 0 and totals.files_deleted == 0:
-        message = "Index already up-to-date, no changes detected"
+        message = "Nothing has changed since the last run"
     else:
-        message = (f"Reindexed {totals.files_processed} files, created {totals.chunks_created} chunks, "
-                   f"removed {totals.files_deleted} files. Auto-index is {'on' if rc.auto_index else 'off'}.")
+        message = (f"{totals.files_processed} files indexed in {totals.chunks_created} chunks, {totals.files_deleted} files gone; "
+                   f"indexing at start is {'on' if rc.auto_index else 'off'}")
     return ReindexResult(root, totals, rc.auto_index, message)
 
 
 def auto_index(spark: SparkSession, root: str, embedder: Embedder) -> ReindexResult | None:
-    """What a scheduler calls: index if the embedder works and the project asks for it, never raise."""
+    """What a scheduler calls: index if the embedder works and the project asks for it; a failure is logged, not raised."""
     try:
         embedder.ready()
         return reindex(spark, root, embedder) if P.load_rc(root).auto_index else None
     except Exception:
+        log.exception("indexing %s at start failed", root)
         return None
 
 
@@ -196,9 +199,8 @@ def _say_reindex(done: ReindexResult) -> dict:
 
 
 def _say_tree(tree: DataFrame, stats: DataFrame, root: str) -> dict:
+    """One JSON text by its nature: the rows come to the driver one partition at a time."""
     counts = _rows(stats)[0]
-    if counts["total_files"] > MESSAGE_ROWS:
-        raise ToolError(f"Error: {counts['total_files']} files are too many for one message; use get_file_tree")
     folders: dict[str, list[str]] = {}
     for row in tree.toLocalIterator():
         folders.setdefault(row["dir"], []).append(row["file"])
@@ -212,9 +214,11 @@ def _say_outline(outline: DataFrame) -> dict:
     return _without_empty_warnings(row)
 
 
-def _say_symbol(found: DataFrame, file: str, name: str) -> dict:
+def _say_symbol(spark: SparkSession, root: str, found: DataFrame, file: str, name: str) -> dict:
     rows = _rows(found)
     if not rows:
+        if file_outline(_file(spark, root, file)).where("error is not null").take(1):
+            raise ToolError({"error": "PARSE_FAILED", "message": f"{file} could not be parsed", "file": file})
         raise ToolError(f'Error: Symbol "{name}" not found in {file}')
     said = {k: rows[0][k] for k in ("file", "symbol", "lines", "source")}
     around = {k: rows[0][k] for k in ("imports", "exports", "siblings", "warnings") if k in rows[0]}
@@ -223,28 +227,29 @@ def _say_symbol(found: DataFrame, file: str, name: str) -> dict:
 
 @dataclass(frozen=True)
 class Operation:
-    """Catalog entry: parameters as name to (type, required)."""
+    """Catalog entry: what it does, and parameters as name to (type, required)."""
 
     name: str
+    about: str
     parameters: dict[str, tuple[str, bool]]
     run: Callable[..., dict]
 
 
 OPERATIONS = {op.name: op for op in (
-    Operation("search_code", {"query": ("string", True), "limit": ("number", False), "extensions": ("array", False)},
+    Operation("search_code", "Code chunks whose meaning is nearest to a question, best first.", {"query": ("string", True), "limit": ("number", False), "extensions": ("array", False)},
               lambda s, r, e, a: _say_search(
                   search_code(s, r, a.get("query"), e, a.get("limit"), a.get("extensions")), a["query"])),
-    Operation("search_docs", {"query": ("string", True), "limit": ("number", False)},
+    Operation("search_docs", "Documentation sections nearest to a question, with their text.", {"query": ("string", True), "limit": ("number", False)},
               lambda s, r, e, a: _say_search(search_docs(s, r, a.get("query"), e, a.get("limit")), a["query"])),
-    Operation("reindex", {"path": ("string", False), "enable_auto_index": ("boolean", False)},
+    Operation("reindex", "Bring the index up to date: read, cut and embed the files that changed.", {"path": ("string", False), "enable_auto_index": ("boolean", False)},
               lambda s, r, e, a: _say_reindex(reindex(s, a.get("path") or r, e, a.get("enable_auto_index")))),
-    Operation("get_file_tree", {"path": ("string", False)},
+    Operation("get_file_tree", "Files by folder, with counts by kind and language.", {"path": ("string", False)},
               lambda s, r, e, a: _say_tree(*get_file_tree(s, a.get("path") or r), a.get("path") or r)),
-    Operation("get_file_outline", {"file": ("string", True)},
+    Operation("get_file_outline", "Imports, exports and symbols of one file, and its marked warnings.", {"file": ("string", True)},
               lambda s, r, e, a: _say_outline(get_file_outline(s, r, a.get("file")))),
-    Operation("get_symbol", {"file": ("string", True), "name": ("string", True), "context": ("boolean", False)},
+    Operation("get_symbol", "Source of one symbol, with what stands around it unless told otherwise.", {"file": ("string", True), "name": ("string", True), "context": ("boolean", False)},
               lambda s, r, e, a: _say_symbol(
-                  get_symbol(s, r, a.get("file"), a.get("name"), a.get("context")), a["file"], a["name"])),
+                  s, r, get_symbol(s, r, a.get("file"), a.get("name"), a.get("context")), a["file"], a["name"])),
 )}
 
 
@@ -258,3 +263,6 @@ def answer(spark: SparkSession, root: str, embedder: Embedder, name: str, argume
     except ToolError as error:
         text = error.payload if isinstance(error.payload, str) else json.dumps(error.payload, indent=2)
         return {"text": text, "is_error": True}
+    except Exception as error:
+        log.exception("%s failed", name)
+        return {"text": f"Error: {name} could not be completed: {error}", "is_error": True}
