@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 from treelode.llm.common import slices, texts_of
 from treelode.llm.pieces import PieceTable
 
-PIECES_KEPT = 350_000
+PIECES_KEPT = 300_000
 LONG_PIECE = 64
+PIECES_AT_ONCE, TOKENS_AT_ONCE = 16_000, 400_000
+"""Pieces in one recursive query, and ids in one that decodes; a longer text is decoded alone."""
 STATES_KEPT = 4_000_000
 """Token positions that a recursive query may pile up before it is started afresh from its last state."""
 
@@ -121,8 +123,10 @@ class Codec:
         long = np.array([len(piece) > LONG_PIECE for piece in pieces], bool)
         counts, parts = np.zeros(len(pieces), np.int64), []
         for query, of_kind in ((LEFTMOST, ~long), (ALL_OF_RANK, long)):
-            ids, counts[of_kind] = self._contract(query, [piece for piece, chosen in zip(pieces, of_kind) if chosen])
-            parts.append(ids)
+            chosen = [piece for piece, wanted in zip(pieces, of_kind) if wanted]
+            found = [self._contract(query, chosen[n:n + PIECES_AT_ONCE]) for n in range(0, len(chosen), PIECES_AT_ONCE)]
+            parts.append(np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in found)]))
+            counts[of_kind] = np.concatenate([np.empty(0, np.int64), *(sizes for _, sizes in found)])
         ids = np.empty(counts.sum(), np.int32)
         ids[np.repeat(~long, counts)], ids[np.repeat(long, counts)] = parts
         return ids, counts
@@ -165,9 +169,17 @@ class Codec:
         if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.valid) and self.valid[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         texts = [b""] * len(sizes)
-        found = self._ask(DECODE, "coded", line=np.repeat(np.arange(len(sizes)), sizes), place=np.arange(len(ids)), id=ids)
-        for line, text in zip(found["line"].to_pylist(), found["bytes"].to_pylist()):
-            texts[line] = text.encode("utf-16-le")[::2]
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            start = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + TOKENS_AT_ONCE, side="right")))
+            part = slice(int(start), int(ends[last - 1]))
+            found = self._ask(DECODE, "coded", line=np.repeat(np.arange(first, last), sizes[first:last]),
+                              place=np.arange(part.start, part.stop), id=ids[part])
+            for line, text in zip(found["line"].to_pylist(), found["bytes"].to_pylist()):
+                texts[line] = text.encode("utf-16-le")[::2]
+            first = last
         return texts
 
 

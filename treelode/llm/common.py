@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 """Text that a Python worker holds as objects at a time; a larger document makes a slice of its own."""
 
 
