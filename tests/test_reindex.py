@@ -203,7 +203,7 @@ def test_search_plan(spark, tree):
     try:
         winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), [0.0] * 64, 5)
         plan = winners._jdf.queryExecution().executedPlan().toString()
-        lookup = A._with_content(store, winners)._jdf.queryExecution().executedPlan().toString()
+        lookup = A.with_content(store, winners)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in plan.split("\n") if "store/chunks" in line)

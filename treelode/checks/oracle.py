@@ -68,6 +68,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, file_path,
   id AS chunk_id, {SIX.format('d')} AS distance
 FROM pairs QUALIFY rank <= 10"""
 
+_SQL["search_store"] = f"""WITH {NEAR}, best AS (
+  SELECT *, row_number() OVER (ORDER BY d, file_path, line_start, id) AS rank FROM near
+  WHERE chunk_type <> 'doc_section' AND vec_id % 10 <> 7 QUALIFY rank <= 2000)
+SELECT rank, file_path AS file, {SIX.format('d')} AS distance, md5(content) AS content_md5 FROM best JOIN contents USING (vec_id)"""
+
+_SQL["store_state"] = f"""WITH {CHUNKS}
+SELECT file_path AS relative_path, md5(content) AS hash, id AS ids, md5(content) AS content_md5
+FROM chunks JOIN contents USING (vec_id) WHERE vec_id % 10 <> 7"""
+
 _SQL["preview"] = f"""WITH {NEAR}
 SELECT id AS chunk_id, {SCORE} AS score, preview FROM near JOIN previews USING (vec_id)"""
 

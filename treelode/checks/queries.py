@@ -1,7 +1,10 @@
 """Registered queries: each operator over whole tables. Lists are joined to text for comparison."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +21,17 @@ from treelode.operators import tree as T
 from treelode.functions.vectors import squared_l2
 from treelode.operators.embedding import HashingEmbedder, embed_chunks
 from treelode.operators.versions import live_rows, replaced_paths
+from treelode.plans.reindex import stored_form
+from treelode.plans.tools import with_content
+from treelode.schema import STORED_CHUNKS
 from treelode.session import settle, ship_package, spread
 from treelode.sources import project as P
+from treelode.sources.store import CHANGES, ChunkStore, Manifest
 from treelode.sources.tree import category_of, select_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY_ID, BATCH_IDS = 3, tuple(range(10))
+STORE_LIMIT = 2000
 EMBED_DIMENSIONS = 64
 SEARCH_TEXT = "the of and la de und"
 
@@ -66,6 +74,43 @@ def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("chunk_id"), six(F.col("_distance")).alias("distance"))
 
 
+def _filled_store(spark: SparkSession, folder: str) -> ChunkStore:
+    """A store with four commits: every chunk; a third of the files changed; those changed back; every tenth file deleted."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="treelode-store-")
+    store = ChunkStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    every = V.with_text(V.chunk_vectors(spark, folder)).withColumn("hash", F.md5("content"))
+    third, gone = every.where("vec_id % 3 = 0"), every.where("vec_id % 10 = 7")
+    other = third.withColumns({"content": F.concat(F.lit("other "), "content"), "vector": F.transform("vector", lambda x: -x)})
+    for rows, change in ((every, "added"), (other, "modified"), (third, "modified"), (gone, "deleted")):
+        parent = store.manifest()
+        version = store.next_version(parent)
+        changes = rows.select(F.col("file_path").alias("relative_path"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[1:-1]],
+                              F.lit(change).alias("change"))
+        store.write("changes", changes, version)
+        kept = rows.where(F.lit(change != "deleted"))
+        store.write("chunks", stored_form(kept.select(*STORED_CHUNKS.names)), version, "kind")
+        store.write("meta", C.meta_rows(kept), version)
+        old, replaced = parent or Manifest(), 0 if change == "added" else rows.count()
+        store.commit(parent, replace(old, versions=(*old.versions, version), replaced_rows=old.replaced_rows + replaced))
+    return store
+
+
+def search_store(spark: SparkSession, folder: str) -> DataFrame:
+    store = _filled_store(spark, folder)
+    keys = store.chunks("code").where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector")
+    found = with_content(store, S.nearest(keys, _vector(spark, folder), STORE_LIMIT))
+    return S.ranked(found).select("rank", F.col("file_path").alias("file"), six(F.col("_distance")).alias("distance"), F.md5("content").alias("content_md5"))
+
+
+def store_state(spark: SparkSession, folder: str) -> DataFrame:
+    """What the store says about every live file after those commits, and after it was compacted."""
+    store = _filled_store(spark, folder)
+    before = store.meta().select("relative_path", "hash", joined(F.col("chunk_ids")).alias("ids"))
+    store.compact()
+    after = store.chunks().select(F.col("file_path").alias("relative_path"), F.md5("content").alias("content_md5"))
+    return before.join(after, "relative_path", "full_outer")
+
+
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     distance = squared_l2(F.col("vector"), _vector(spark, folder))
     return V.with_text(V.chunk_vectors(spark, folder)).select(
@@ -283,7 +328,7 @@ QUERIES: dict[str, Query] = {
         scan_filter, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
         change_detect, change_summary, deleted_paths, chunk_small, chunk_fixed, chunk_headings, chunk_symbols,
         chunk_dispatch, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,
-        chunk_header, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals)
+        chunk_header, search_store, store_state, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals)
 }
 QUERIES["knn_ext_exact"] = partial(knn_ext_postfilter, exact=True)
 QUERIES.update({f"symbols_{language}": partial(symbols, language) for language in V.SAMPLES})

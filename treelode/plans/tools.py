@@ -67,7 +67,7 @@ def _store(spark: SparkSession, root: str) -> ChunkStore:
     return store
 
 
-def _with_content(store: ChunkStore, winners: DataFrame) -> DataFrame:
+def with_content(store: ChunkStore, winners: DataFrame) -> DataFrame:
     """Add stored columns to the winning rows, so the vector scan need not read every content.
 
     The winners, as many as the caller's limit, are taken to the driver with the files that hold them, and only those files
@@ -98,7 +98,7 @@ def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder,
     vector = _query_vector(embedder, query)
     keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector")
     winners = S.nearest_with_extension(keys, vector, limit, extensions, exact)
-    return S.code_results(_with_content(store, winners)).orderBy("rank")
+    return S.code_results(with_content(store, winners)).orderBy("rank")
 
 
 def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder, limit: int | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder,
     chunks = store.chunks("docs")
     vector = _query_vector(embedder, query)
     winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), vector, limit)
-    return S.doc_results(_with_content(store, winners)).orderBy("rank")
+    return S.doc_results(with_content(store, winners)).orderBy("rank")
 
 
 @dataclass(frozen=True)
