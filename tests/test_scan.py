@@ -1,12 +1,13 @@
 """Scanner, settings and ignore rules."""
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from treelode.functions import globs
 from treelode.sources import project as P
-from treelode.sources.tree import one_file, scan_files, with_contents, with_hashes
+from treelode.sources.tree import one_file, scan_files, select_files, with_contents, with_hashes
 
 
 def paths(spark, root):
@@ -19,13 +20,32 @@ def test_default_scan(spark, tree):
         "src/A.TS": "x", "src/x.d.ts": "x", "src/a.test.ts": "x", "src/j.min.js": "x", "README.md": "x",
         "src/secrets.json": "{}", "src/sub/credentials.yaml": "x", "src/dist/a.ts": "x", "src/foo.bar/baz": "x",
         "src/.hidden/a.ts": "x", "src/.dot.ts": "x", "docs/deep/er/than/the/spread/levels/g.md": "x", "docs/h.mdx": "x",
-        "src/node_modules/m/a.js": "x", "other/a.ts": "x", "SRC/upper.ts": "x", "src/app.vue": "x", "src/key.pem": "x",
+        "src/node_modules/m/a.js": "x", "other/a.ts": "x", "SRC/upper.ts": "x", "srcs/no.ts": "x", "src/app.vue": "x", "src/key.pem": "x",
     })
     assert paths(spark, root) == sorted([
-        "src/__init__.py", "src/_layout.tsx", "src/__tests__/t.js", "src/empty.py",
+        "SRC/upper.ts", "src/__init__.py", "src/_layout.tsx", "src/__tests__/t.js", "src/empty.py",
         "docs/deep/er/than/the/spread/levels/g.md", "docs/h.mdx", "src/app.vue"])
 
 
+def test_lister_and_filter_agree_on_letter_case(spark, tree):
+    root = tree({".vectorconfig.json": json.dumps({"include": ["Lib/Core/**/*.ts"], "exclude": []}),
+                 "lib/core/a.ts": "x", "LIB/CORE/b.ts": "x", "Lib/core/in/c.ts": "x", "lib/cor/d.ts": "x"})
+    listed = {path for path in ("lib/core/a.ts", "LIB/CORE/b.ts", "Lib/core/in/c.ts", "lib/cor/d.ts")}
+    config = P.load_config(root)
+    frame = spark.createDataFrame([(path,) for path in sorted(listed)], "relative_path string")
+    assert paths(spark, root) == sorted(r.relative_path for r in select_files(frame, config, []).collect())
+    assert len(paths(spark, root)) == 3
+
+
+def test_tree_of_many_levels_is_listed_once(spark, tree):
+    deep = "src/" + "/".join(f"level{n}" for n in range(12))
+    root = tree({f"{deep}/a{n}.py": "x" for n in range(30)} | {"src/top.py": "x"})
+    found = scan_files(spark, root)
+    assert found.count() == 31
+    (Path(root) / "src/top.py").unlink()
+    assert found.count() == 31 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ignore_files_and_replaced_settings(spark, tree):
     root = tree({
         ".vectorconfig.json": json.dumps({"include": ["lib", "a{b,c}/*.ts"], "exclude": []}),

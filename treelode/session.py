@@ -63,15 +63,14 @@ def spread(frame: DataFrame) -> DataFrame:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Compute a small frame that several branches read, once, into the shared checkpoint folder.
+    """Compute a small frame that several branches read, once, into the folder in spark.checkpoint.dir.
 
-    Without such a folder a cluster recomputes the frame instead; only a local session gets a
-    temporary one.
+    Only a local session may leave that unset and gets a folder of its own.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
-            return frame
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treelode-checkpoint-"))
     return frame.checkpoint()

@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from treelode.functions import globs
 from treelode.functions import text as X
-from treelode.session import ship_package
+from treelode.session import settle, ship_package
 from treelode.sources import project as P
 
-# Levels that are listed one directory per row before each task walks what is left below its own.
-SPREAD_LEVELS = 3
 READ_BYTES = 32 << 20
 TASK_BYTES = 64 << 20
 LIST_ROWS = 10_000
@@ -38,9 +36,17 @@ def _seeds(filesystem: pafs.FileSystem, base: str, config: P.Config) -> list[str
     for pattern in (p for entry in config.include for p in globs.expand_braces(globs.scan_pattern(entry))):
         literal = re.split(r"[*?\[]", pattern, maxsplit=1)[0]
         starts.add(literal.rpartition("/")[0].strip("/"))
-    outer = [s for s in starts if not any(o != s and (o == "" or s.startswith(o + "/")) for o in starts)]
-    infos = filesystem.get_file_info([f"{base}/{s}" if s else base for s in outer])
-    return sorted(s for s, info in zip(outer, infos) if info.type == pafs.FileType.Directory)
+    spelled = {found for start in starts for found in _spellings(filesystem, base, start)}
+    return sorted(s for s in spelled if not any(o != s and (o == "" or s.startswith(o + "/")) for o in spelled))
+
+
+def _spellings(filesystem: pafs.FileSystem, base: str, start: str) -> list[str]:
+    """The directories that a path names when letter case does not matter, as in the include patterns."""
+    found = [""]
+    for part in start.split("/") if start else ():
+        below = [info for folder in found for info in filesystem.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))]
+        found = [info.path[len(base) + 1:] for info in below if info.type == pafs.FileType.Directory and info.base_name.lower() == part.lower()]
+    return found
 
 
 def _children(filesystem: pafs.FileSystem, base: str, folder: str, dots: bool) -> Iterator[tuple[str, int | None]]:
@@ -55,11 +61,8 @@ def _children(filesystem: pafs.FileSystem, base: str, folder: str, dots: bool) -
             yield path, None
 
 
-def _lister(root: str, dots: bool, whole: bool):
-    """Replace each directory row by its children, or with `whole` by all files below it.
-
-    A row without a size is a directory.
-    """
+def _lister(root: str, dots: bool):
+    """Replace each directory row by its children. A row without a size is a directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = P.open_root(root)
@@ -72,15 +75,10 @@ def _lister(root: str, dots: bool, whole: bool):
             return out
 
         for batch in batches:
-            stack = list(zip(batch.column("relative_path").to_pylist(), batch.column("size").to_pylist()))
-            while stack:
-                path, size = stack.pop()
-                for child, length in _children(filesystem, base, path, dots) if size is None else [(path, size)]:
-                    if whole and length is None:
-                        stack.append((child, None))
-                    else:
-                        paths.append(child)
-                        sizes.append(length)
+            for folder in batch.column("relative_path").to_pylist():
+                for child, size in _children(filesystem, base, folder, dots):
+                    paths.append(child)
+                    sizes.append(size)
                     if len(paths) >= LIST_ROWS:
                         yield full()
         yield full()
@@ -89,17 +87,26 @@ def _lister(root: str, dots: bool, whole: bool):
 
 
 def list_tree(spark: SparkSession, root: str, config: P.Config) -> DataFrame:
-    """relative_path and size of every file below the include roots."""
+    """relative_path and size of every file below the include roots.
+
+    One small job per level, each kept in the checkpoint folder: a level's directories are dealt to tasks by path, so that
+    no task walks a subtree, and whatever reads the result later sees one and the same listing.
+    """
     ship_package(spark)
     filesystem, base = P.open_root(root)
     dots = any(part.startswith(".") and part not in (".", "..") for entry in config.include for part in entry.split("/"))
     schema = "relative_path string, size bigint"
-    found = spark.createDataFrame([(seed, None) for seed in _seeds(filesystem, base, config)], schema)
-    for level in range(SPREAD_LEVELS + 1):
-        # Hashing the path spreads a crowded directory, and replays the same after a lost task.
-        found = found.repartition(_partitions(spark), "relative_path")
-        found = found.mapInArrow(_lister(root, dots, whole=level == SPREAD_LEVELS), schema)
-    return found
+    seeds = _seeds(filesystem, base, config)
+    folders, waiting, files = spark.createDataFrame([(seed, None) for seed in seeds], schema), len(seeds), None
+    while True:
+        folders = folders.repartition(max(1, min(waiting, _partitions(spark))), "relative_path")
+        listed = settle(folders.mapInArrow(_lister(root, dots), schema))
+        found = listed.where("size is not null")
+        files = found if files is None else files.unionAll(found)
+        folders = listed.where("size is null")
+        waiting = folders.count()
+        if not waiting:
+            return files
 
 
 def category_of(extension: Column) -> Column:
