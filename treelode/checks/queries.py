@@ -133,7 +133,7 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     files = V.doc_files(spark, folder, spread).select(
         F.col("relative_path").alias("file_path"), F.lit(1).alias("line_start"), F.col("relative_path").alias("id"), "content")
     found = S.nearest(embed_chunks(files, embedder), embedder.embed([SEARCH_TEXT])[0], 10)
-    return S.ranked(found).select("rank", F.round("_distance", 4).alias("distance"))
+    return S.ranked(found).select("rank", F.col("file_path").alias("file"), F.round("_distance", 4).alias("distance"))
 
 
 # -- scan and tree ----------------------------------------------------------------------------------
@@ -224,8 +224,7 @@ def chunk_dispatch(spark: SparkSession, folder: str) -> DataFrame:
              .unionAll(V.heading_files(spark, folder).select(columns))
              .unionAll(V.source_files(spark, folder, "go").select(columns)))
     chunks = K.chunk_files(files)
-    return chunks.groupBy("chunk_type").agg(
-        F.count("*").alias("chunks"), F.sum("line_start").alias("first_lines"), F.sum("line_end").alias("last_lines"))
+    return chunks.groupBy("chunk_type", "line_start", "line_end").agg(F.count("*").alias("chunks"))
 
 
 def warning_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,7 +308,9 @@ def delete_by_path(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def meta_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = C.meta_rows(K.chunk_windows(V.long_files(spark, folder)))
+    # Dealt by path before they are cut: cutting keeps that, so the grouping needs no shuffle of its own.
+    by_path = lambda scan: scan.repartition("file_path")
+    rows = C.meta_rows(K.chunk_windows(V.long_files(spark, folder, by_path)))
     return rows.select("relative_path", "hash", F.size("chunk_ids").alias("chunks"), F.md5(joined(F.col("chunk_ids"))).alias("ids_md5"))
 
 

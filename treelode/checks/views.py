@@ -53,11 +53,12 @@ def shaped_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(path.alias("relative_path"))
 
 
-def long_files(spark: SparkSession, folder: str) -> DataFrame:
+def long_files(spark: SparkSession, folder: str, prepare: Callable[[DataFrame], DataFrame] = spread) -> DataFrame:
     """Each document repeated one to eight times, so that files pass 50 and 200 lines."""
     text = F.expr("array_join(array_repeat(text, cast(doc_id % 8 + 1 as int)), '\n')")
-    return spread(table(spark, folder, "documents")).select(
-        F.expr("concat('db/', source, '/', doc_id, '.sql')").alias("file_path"), F.lit(".sql").alias("extension"),
+    named = table(spark, folder, "documents").withColumn("file_path", F.expr("concat('db/', source, '/', doc_id, '.sql')"))
+    return prepare(named).select(
+        "file_path", F.lit(".sql").alias("extension"),
         F.lit("code").alias("category"), text.alias("content"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -48,15 +49,15 @@ class HashingEmbedder:
     def ready(self) -> None:
         return None
 
-    def _one(self, text: str) -> list[float]:
-        vector = [0.0] * self.dimensions
-        for word, count in Counter(self._word.findall(text.lower())).items():
-            vector[_hashed(word) % self.dimensions] += count
-        norm = sum(x * x for x in vector) ** 0.5
-        return [x / norm for x in vector] if norm else vector
-
-    def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self._one(text) for text in texts]
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        """A row per text, in one block."""
+        block = np.zeros((len(texts), self.dimensions), np.float64)
+        for row, text in zip(block, texts):
+            counts = Counter(self._word.findall(text.lower()))
+            places = np.fromiter((_hashed(word) % self.dimensions for word in counts), np.int64, len(counts))
+            np.add.at(row, places, np.fromiter(counts.values(), np.float64, len(counts)))
+        norms = np.linalg.norm(block, axis=1, keepdims=True)
+        return np.divide(block, norms, out=block, where=norms > 0)
 
 
 def checked(embedder: Embedder, texts: Sequence[str]) -> list[list[float]]:
@@ -85,24 +86,18 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> D
     """Add `vector` to every chunk; it is null where embedding failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float32())
-        for table in _blocks(batches, batch):
-            vectors = embed_texts(embedder, table["content"].to_pylist())
-            full = table.append_column("vector", pa.array(vectors, kind)).combine_chunks()
-            yield from full.to_batches()
+        for record in batches:
+            texts = record.column("content").to_pylist()
+            vectors = [v for n in range(0, len(texts), batch) for v in embed_texts(embedder, texts[n:n + batch])]
+            yield pa.RecordBatch.from_arrays([*record.columns, vector_column(vectors, embedder.dimensions)], [*record.schema.names, "vector"])
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields]
     return chunks.mapInArrow(run, ", ".join([*columns, "vector array<float>"]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Cut a stream of Arrow batches into tables of exactly `size` rows; the last may be shorter."""
-    held: pa.Table | None = None
-    for record in batches:
-        table = pa.Table.from_batches([record])
-        held = table if held is None else pa.concat_tables([held, table])
-        while held.num_rows >= size:
-            yield held.slice(0, size)
-            held = held.slice(size)
-    if held is not None and held.num_rows:
-        yield held
+def vector_column(vectors: Sequence, dimensions: int) -> pa.Array:
+    """An Arrow column of 32-bit vectors, filled from one block; None stays null."""
+    missing = np.fromiter((v is None for v in vectors), bool, len(vectors))
+    block = np.array([v for v in vectors if v is not None], np.float32).reshape(-1)
+    ends = np.concatenate(([0], np.cumsum(np.where(missing, 0, dimensions)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(block), mask=pa.array(missing))
