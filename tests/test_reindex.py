@@ -257,6 +257,33 @@ def test_other_failures_become_messages(spark, tree, monkeypatch):
     assert all(op.about for op in A.OPERATIONS.values())
 
 
+def versions_on_disk(root):
+    return {p.name for p in Path(root).glob(".vectors/store/*/v=*")}
+
+
+def test_runs_without_changes_leave_nothing(spark, tree):
+    root = tree({"src/a.py": "match"})
+    reindex(spark, root, DIM)
+    before = versions_on_disk(root)
+    assert reindex(spark, root, DIM).files_processed == 0 and versions_on_disk(root) == before
+
+
+def test_dead_versions_are_removed_and_never_opened(spark, tree):
+    root = tree({"src/a.py": "match one", "src/b.py": "gone soon"})
+    reindex(spark, root, DIM)
+    (Path(root) / "src/b.py").unlink()
+    reindex(spark, root, DIM)
+    store = ChunkStore(spark, root)
+    old = versions_on_disk(root)
+    store.compact()
+    assert store.remove_dead() == 0  # too young
+    files = store.chunks().inputFiles()
+    assert files and all(f"v={store.manifest().versions[0]}" in name for name in files)
+    assert store.remove_dead(older_than_s=0) == len(old) and not versions_on_disk(root) & old
+    assert [row.file for row in A.search_code(spark, root, "match", DIM).collect()] == ["src/a.py"]
+    assert not any(b"gone soon" in p.read_bytes() for p in Path(root).rglob("*.parquet"))
+
+
 def test_over_fetch_can_return_fewer(spark, tree):
     names = {f"src/m{i}.ts": "match word" for i in range(6)}
     root = tree({**names, "src/z.py": "other"})

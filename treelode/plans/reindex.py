@@ -61,6 +61,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         _total("change <> 'deleted'", F.col("size")).alias("read_bytes"),
     ).first()
     if counts["total"] == 0:
+        store.discard(version)
         return Totals()
 
     processed = counts["added"] + counts["modified"]

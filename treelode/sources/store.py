@@ -26,6 +26,8 @@ from treelode.sources.project import root_uri
 BROADCAST_BYTES = 64 << 20
 MAX_VERSIONS = 64
 ROW_OVERHEAD = 64
+# A version that no manifest names is removed when it is a day old: no search or run takes that long.
+DEAD_AFTER_S = 24 * 3600
 
 CHANGES = T.StructType([
     T.StructField("relative_path", T.StringType()),
@@ -90,7 +92,10 @@ class ChunkStore:
         return Manifest(**{**found, "versions": tuple(found["versions"])})
 
     def commit(self, parent: Manifest | None, new: Manifest) -> Manifest:
-        """Publish `new` as the successor of `parent`; a rename that may not overwrite decides a race."""
+        """Publish `new` as the successor of `parent`; a rename that may not overwrite decides a race.
+
+        That holds on HDFS and mounted file systems. Where a rename is a copy, as on object stores, only one run may write.
+        """
         new = replace(new, sequence=(parent.sequence if parent else 0) + 1)
         jvm = self.spark.sparkContext._jvm
         temporary, files = self._hadoop(f"{self.base}/manifest/.{new.sequence:010d}.{time.time_ns()}")
@@ -131,10 +136,36 @@ class ChunkStore:
 
     def version(self, table: str, version: int) -> DataFrame:
         """What one run wrote, committed or not."""
-        return self._read(table).where(F.col("v") == version)
+        return self._read(table, [version])
+
+    def discard(self, version: int) -> None:
+        """Remove what a run wrote that will not be committed."""
+        for table in _TABLES:
+            folder, files = self._hadoop(f"{self.base}/{table}/v={version}")
+            files.delete(folder, True)
+
+    def remove_dead(self, older_than_s: float = DEAD_AFTER_S) -> int:
+        """Remove versions that no reader of the newest manifest opens, once they are older than any reader or run may be.
 
-    def _read(self, table: str) -> DataFrame:
-        rows = self.spark.read.schema(_TABLES[table]).parquet(f"{self.base}/{table}")
+        Deleted and replaced texts leave the disk this way after a compaction. Returns how many versions went.
+        """
+        now = self.manifest()
+        if now is None:
+            raise NoIndex(self.base)
+        limit, dead = time.time_ns() // 1000 - int(older_than_s * 1e6), set()
+        for table in _TABLES:
+            folder, files = self._hadoop(f"{self.base}/{table}")
+            names = [status.getPath().getName() for status in files.listStatus(folder)]
+            found = {int(name[2:]) for name in names if name.startswith("v=") and name[2:].isdigit()}
+            dead |= {v for v in found - set(now.versions) if v < limit}
+        for version in dead:
+            self.discard(version)
+        return len(dead)
+
+    def _read(self, table: str, versions: Sequence[int]) -> DataFrame:
+        """Only the folders of the versions are listed; `v` is a constant of each."""
+        reader = self.spark.read.schema(_TABLES[table]).option("basePath", f"{self.base}/{table}")
+        rows = reader.parquet(*[f"{self.base}/{table}/v={version}" for version in versions])
         return rows.withColumn("stored_in", F.col("_metadata.file_path")) if table == "chunks" else rows
 
     def rows_in(self, files: Sequence[str]) -> DataFrame:
@@ -148,10 +179,10 @@ class ChunkStore:
         if manifest is None:
             raise NoIndex(self.base)
         versions = list(manifest.versions)
-        rows = self._read(table).where(F.col("v").isin(versions))
+        rows = self._read(table, versions)
         if manifest.replaced_rows == 0:
             return rows
-        replaced = replaced_paths(self._read("changes").where(F.col("v").isin(versions)))
+        replaced = replaced_paths(self._read("changes", versions))
         if manifest.replaced_bytes <= BROADCAST_BYTES:
             replaced = F.broadcast(replaced)
         return live_rows(rows, replaced, path)
@@ -172,6 +203,7 @@ class ChunkStore:
         due = now is not None and (now.replaced_bytes > BROADCAST_BYTES or len(now.versions) > MAX_VERSIONS)
         if due:
             self.compact()
+            self.remove_dead()
         return due
 
     def compact(self) -> Manifest:
