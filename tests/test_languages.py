@@ -174,3 +174,10 @@ def test_deep_generics_keep_their_symbol(spark):
     frame = spark.createDataFrame([(n, head) for n, head in enumerate(heads)], "n int, head string")
     found = frame.select("n", declaration(F.col("head"), F.lit(".rs"))["name"].alias("name")).orderBy("n").collect()
     assert [row.name for row in found] == ["impl Foo", "impl Bar", None, "impl Baz", "impl Show"]
+
+
+def test_unclosed_tags_end_soon():
+    import time
+    start = time.perf_counter()
+    cut("<p>ok</p>" + "<a " * 100_000, ".html")
+    assert time.perf_counter() - start < 2

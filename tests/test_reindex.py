@@ -257,6 +257,13 @@ def test_other_failures_become_messages(spark, tree, monkeypatch):
     assert all(op.about for op in A.OPERATIONS.values())
 
 
+def test_root_is_found_around_the_working_directory(spark, tree, monkeypatch):
+    root = tree({"src/a.py": "x = 1", ".git/HEAD": "x"})
+    monkeypatch.chdir(Path(root) / "src")
+    said = A.answer(spark, None, DIM, "get_file_tree")
+    assert json.loads(said["text"])["project"] == root
+
+
 def versions_on_disk(root):
     return {p.name for p in Path(root).glob(".vectors/store/*/v=*")}
 

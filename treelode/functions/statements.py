@@ -7,6 +7,7 @@ a statement: its text with comments dropped and bracketed bodies emptied.
 """
 from __future__ import annotations
 
+import logging
 import re
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from treelode import schema
 
+log = logging.getLogger(__name__)
+
 # Lexical rules. `skip` is comments, `text` is string literals, `open` the brackets
 # whose bodies are emptied, `starts` every character a comment or literal can begin with, and `end`
 # how a statement ends: at a newline (asi, go) or only at a closing brace or semicolon (brace).
@@ -365,7 +368,7 @@ _ENDS_BEFORE = {
              "header hr main nav ol p pre section".split()),
 }
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[A-Za-z][^\s/>]*)[^>]*>"
-                  r"|<(?P<start>[A-Za-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+                  r"|<(?P<start>[A-Za-z][^\s/>]*)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>", re.S)
 
 
 def _cut_html(text: str) -> list[tuple[str, int, int]]:
@@ -422,6 +425,7 @@ def _statements(content: pa.Array, extension: pa.Array) -> pa.Array:
         try:
             found = None if text is None else cut(text, ext)
         except Exception:  # a text that cannot be cut is chunked by lines instead
+            log.warning("a %s text of %d characters could not be cut", ext, len(text), exc_info=True)
             found = None
         for head, first, last in found or ():
             heads.append(head)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 # Fixed values of the workload.
 DIMENSIONS = 1536
 BATCH = 20
+log = logging.getLogger(__name__)
 
 
 class Embedder(Protocol):
@@ -73,11 +75,13 @@ def embed_texts(embedder: Embedder, texts: Sequence[str]) -> list[list[float] |
     try:
         return list(checked(embedder, texts))
     except Exception:
+        log.warning("a batch of %d texts was refused and is tried text by text", len(texts), exc_info=True)
         vectors: list[list[float] | None] = []
         for text in texts:
             try:
                 vectors.append(checked(embedder, [text])[0])
             except Exception:
+                log.warning("a text of %d characters was refused and stays without vector", len(text), exc_info=True)
                 vectors.append(None)
         return vectors
 

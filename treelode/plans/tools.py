@@ -253,11 +253,15 @@ OPERATIONS = {op.name: op for op in (
 )}
 
 
-def answer(spark: SparkSession, root: str, embedder: Embedder, name: str, arguments: dict | None = None) -> dict:
-    """Run an operation by name: {"text": JSON or message, "is_error": bool}."""
+def answer(spark: SparkSession, root: str | None, embedder: Embedder, name: str, arguments: dict | None = None) -> dict:
+    """Run an operation by name: {"text": JSON or message, "is_error": bool}.
+
+    Without a root it is the project around the working directory.
+    """
     if name not in OPERATIONS:
         raise UnknownTool(name)
     try:
+        root = root or P.find_project_root(".")
         said = OPERATIONS[name].run(spark, root, embedder, arguments or {})
         return {"text": json.dumps(said, indent=2, ensure_ascii=False), "is_error": False}
     except ToolError as error:
