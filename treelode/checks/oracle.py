@@ -192,7 +192,7 @@ WHERE i % 7 < 4"""
 
 # -- structure --------------------------------------------------------------------------------------
 
-_PARTS = "parts AS (SELECT p_partkey::VARCHAR AS k, p_size AS n FROM part WHERE p_size > 0)"
+_PARTS = "parts AS (SELECT p_partkey::VARCHAR AS k, greatest(coalesce(p_size, 1), 1) AS n FROM part)"
 
 
 def _quoted(text: str) -> str:
@@ -218,7 +218,7 @@ def _text_cte(language: str) -> str:
     def fixed(text: str) -> str:
         return f"replace(replace({_quoted(text)}, '@K', k), '@N', n::VARCHAR)"
 
-    fill = f"(SELECT string_agg(replace({_quoted(sample.filler)}, '@I', i::VARCHAR), {NL} ORDER BY i) FROM range(1, 51) r(i) WHERE i <= n)"
+    fill = f"(SELECT string_agg(replace({_quoted(sample.filler)}, '@I', i::VARCHAR), {NL} ORDER BY i) FROM (SELECT unnest(range(1, n + 1)) AS i))"
     return f"""fills AS (SELECT n, {fill} AS fill FROM (SELECT DISTINCT n FROM parts)),
 texts AS (SELECT k, n, {_path(language)} AS file_path, {fixed(before)} || fill || {fixed(after)} AS content FROM parts JOIN fills USING (n)),
 text_lines AS (SELECT k, n, file_path, unnest(string_split(content, {NL})) AS line, generate_subscripts(string_split(content, {NL}), 1) AS i FROM texts)"""

@@ -329,9 +329,9 @@ def _filled(text: str, filler: str) -> Column:
 
 
 def source_files(spark: SparkSession, folder: str, language: str) -> DataFrame:
-    """One source file per part in a language, with as many filler lines as the part's size."""
+    """One source file per part in a language, with as many filler lines as the part's size, and at least one."""
     sample = SAMPLES[language]
-    parts = spread(table(spark, folder, "part")).where("p_size > 0")
+    parts = spread(table(spark, folder, "part")).withColumn("p_size", F.greatest(F.coalesce("p_size", F.lit(1)), F.lit(1)))
     path = F.replace(F.lit(sample.path), F.lit("@K"), F.col("p_partkey").cast("string"))
     return parts.select(path.alias("file_path"), F.lit("." + sample.path.rsplit(".", 1)[1]).alias("extension"),
                         F.lit("code").alias("category"), _filled(sample.text, sample.filler).alias("content"),
