@@ -38,7 +38,8 @@ def documents(spark):
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows and ids, and columns with names that operators use inside."""
     frame = spark.createDataFrame(ODD, "doc_id long, text string")
-    return frame.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in EXTRA.split(", "))])
+    extra = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in EXTRA.split(", "))]
+    return frame.select("*", *extra, F.lit("x").alias("a.b c"))
 
 
 @pytest.fixture(scope="module")

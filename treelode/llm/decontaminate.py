@@ -141,5 +141,5 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 def uncontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows in which no window of the benchmark occurs, with all their columns."""
     found = stored(phrase_matches(docs, windows_of(items, width).select("window").distinct()), "matches").select(*KEY)
-    named = docs.select(F.struct(*docs.columns).alias("row"), *key_columns())
+    named = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), *key_columns())
     return named.join(found, [*KEY], "left_anti").select("row.*")
