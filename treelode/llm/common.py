@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -80,5 +80,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     return ["" if text is None else text for text in batch.column(column).to_pylist()]
+
+
+def map_whole_rows(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]]) -> DataFrame:
+    """Rows of a frame with all their columns, of any name, changed in Arrow batches.
+
+    Each task calls `start` once and what it returns with each batch and the place of `text` in it.
+    """
+    names = docs.columns
+    place = names.index("text")
+    plain = docs.toDF(*[f"c{n}" for n in range(len(names))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = start()
+        for batch in slices(batches, f"c{place}"):
+            yield change(batch, place)
+
+    return plain.mapInArrow(rows, plain.schema).toDF(*names)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelode.llm.common import slices, texts_of
+from treelode.llm.common import map_whole_rows, slices, texts_of
 
 SAMPLE_DOCUMENTS, WINDOWS, WINDOW_WORDS = 20_000, 3_000, 25
 STEPS, RATE, RIDGE = 120, 0.1, 1e-3
@@ -316,10 +316,8 @@ def masked(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 place = end
         return "".join(kept) + text[place:]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            place = batch.schema.get_field_index("text")
-            texts = pa.array([cleaned(text) for text in batch.column("text").to_pylist()], batch.schema.field(place).type)
-            yield batch.set_column(place, batch.schema.field(place), texts)
+    def change(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+        field_ = batch.schema.field(place)
+        return batch.set_column(place, field_, pa.array([cleaned(text) for text in batch.column(place).to_pylist()], field_.type))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_whole_rows(docs, lambda: change)

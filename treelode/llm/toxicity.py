@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelode.llm.common import slices, stored, texts_of
+from treelode.llm.common import map_whole_rows, slices, stored, texts_of
 
 SAMPLE, LEXICON, FOLDS, HELD_OUT, THRESHOLD = 24_000, 400, 4, 2, 0.3
 NEAR = 5
@@ -262,9 +262,8 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted to be toxic, with all their columns."""
     model = learn(docs, labels)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         features = Features(model.lexicon)
-        for batch in slices(batches):
-            yield batch.filter(pa.array(model.score(features.of(texts_of(batch))) < THRESHOLD))
+        return lambda batch, place: batch.filter(pa.array(model.score(features.of(texts_of(batch, place))) < THRESHOLD))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_whole_rows(docs, start)
