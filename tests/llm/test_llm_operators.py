@@ -1,5 +1,4 @@
 """Each operator against a brute-force version on the smallest tables, and on odd rows."""
-import base64
 import collections
 import hashlib
 import math
