@@ -1,6 +1,5 @@
 """Index, search and the JSON messages, end to end."""
 import json
-import re
 import shutil
 import sys
 from pathlib import Path
@@ -190,7 +189,6 @@ def test_search_messages(spark, tree):
 def test_search_plan(spark, tree):
     """The kind prunes partitions, the type filter and the winning ids reach the Parquet scan, replaced
     paths are broadcast, and the vector scan reads no content."""
-    from pyspark.sql import functions as F
     from treelode.operators import search as S
 
     root = tree(SOURCE)

@@ -5,8 +5,6 @@ dropped and bracketed bodies emptied, so one anchored pattern per declaration fo
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
