@@ -270,7 +270,7 @@ def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.n
         seen = np.flatnonzero(counts)
         out = [(n, sorted_packed(found[a:b]), b"", facts.tolist() if not n else [0.0] * 4) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
         out += [(-1 - n, sorted_packed(part.astype(np.uint64)), packed(counts[part].astype(np.uint64)), [0.0] * 4)
-                for n, part in enumerate(np.array_split(seen, np.searchsorted(seen, np.arange(1, 16) * (len(wanted) // 16 + 1))))]
+                for n, part in enumerate(np.array_split(seen, np.searchsorted(seen, np.arange(1, ranges) * (len(wanted) // ranges + 1))))]
         yield pa.RecordBatch.from_pydict(dict(zip(("range", "keys", "counts", "facts"), map(list, zip(*out)))), pa.schema(
             {"range": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "facts": pa.list_(pa.float64())}))
 
