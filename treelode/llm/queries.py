@@ -93,6 +93,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_url_lists, op6_token_files, op7_toxicity, op8_secrets, op9_interpolated_lm, op10_token_counts,
 )}
 SQL: dict[str, str] = {
+    "op4_decontaminate": r"""
+WITH document AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM benchmark WHERE text IS NOT NULL),
+starts AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM item WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, words[s:s + 9] AS span FROM starts),
+widths AS (SELECT DISTINCT len(span) AS n FROM windows),
+placed AS (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM document, widths),
+occurring AS (SELECT r, s, n, item_id FROM (SELECT r, s, n, words[s:s + n - 1] AS span FROM placed) p JOIN windows USING (span)),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS place FROM occurring) GROUP BY r),
+owners AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM occurring WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM document LEFT JOIN hits USING (r) LEFT JOIN owners USING (r)""",
     "op5_url_lists": r"""
 WITH capture AS (
   SELECT page_id AS capture_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS fetched_at,
