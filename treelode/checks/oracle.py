@@ -96,7 +96,7 @@ query_cells AS (SELECT {_POSITION.format('word')} AS slot, count(*)::DOUBLE AS c
   SELECT unnest(string_split('{SEARCH_TEXT}', ' ')) AS word) GROUP BY ALL),
 query AS (SELECT slot, c / sqrt(sum(c * c) OVER ()) AS y FROM query_cells),
 near AS (SELECT file, 2 - 2 * coalesce(sum(x * y), 0) AS d FROM vectors LEFT JOIN query USING (slot) GROUP BY file)
-SELECT row_number() OVER (ORDER BY d, file) AS rank, file, round(d, 4) AS distance FROM near QUALIFY rank <= 10"""
+SELECT row_number() OVER (ORDER BY round(d, 9), file) AS rank, file, round(d, 4) AS distance FROM near QUALIFY rank <= 10"""
 
 # -- scan and tree ----------------------------------------------------------------------------------
 
