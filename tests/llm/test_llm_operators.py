@@ -248,6 +248,20 @@ def test_token_files(spark, request, name):
     assert order == sorted(order) and manifest["ids"] == sum(r.n_tokens for r in rows)
 
 
+MARKS = ["a word), next", "a), b", "x... y", '"q". z', "U.S., a", "etc., and", "a (b). c", "İ, e\u0301, é. x", "it's, ''s. , . a ,, b", "<|endoftext|>, A. <|ENDOFTEXT|>. b",
+         "a\xa0b, \u0301c. d\u2028e.\x0bf", "  ,  .  ", "1, 2. ³, x"]
+
+
+@pytest.mark.parametrize("path", [WORDS, GPT])
+def test_token_files_keep_runs_of_marks_and_other_tokenizers(spark, path):
+    frame = spark.createDataFrame(list(enumerate(MARKS)), "doc_id long, text string")
+    folder = mounted(new_folder(spark, "files"))
+    token_files.write(frame, path, folder, 1)
+    model = Tokenizer.from_file(path)
+    expected = {n: zlib.crc32(np.array(model.encode(text, add_special_tokens=False).ids + [1], "<u4").tobytes()) for n, text in enumerate(MARKS)}
+    assert {row.doc_id: row.ids_crc32 for row in token_files.read_back(spark, folder).collect()} == expected
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_token_counts_and_cache(spark, request, name):
     frame, cache = request.getfixturevalue(name), new_folder(spark, "cache")

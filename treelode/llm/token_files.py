@@ -9,8 +9,8 @@ is repeated after a lost executor replaces its shard by the same bytes; without
 The folder must be mounted on all machines, because memory maps need files.
 
 Encoding is by the tokenizers library. For a tokenizer that drops white space, as the given one does, a text is cut at
-spaces, line ends and tabs (and commas and full stops before a space are cut off) and each distinct piece is encoded
-once per worker while it is remembered; that gives the ids of the whole text.
+spaces, line ends and tabs and nowhere else, and each distinct piece is encoded once per worker while it is remembered; that
+gives the ids of the whole text. Any other tokenizer is given whole texts.
 
 Defined results: null and empty texts have only the end id; a null doc_id comes first and is stored as the lowest 64-bit
 integer; rows that repeat a doc_id are in the order of a digest of their texts; an empty table gives a folder without shards
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,16 +38,31 @@ from treelode.llm.pieces import PieceTable
 
 NO_ID = -(1 << 63)
 PIECES_KEPT = 800_000
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 SHARD = "shard string, documents bigint, ids bigint"
 _tables: dict[str, PieceTable] = {}
 
 
+def cuts_at_spaces(raw: str) -> bool:
+    """Whether the tokenizer lower-cases, makes white space one space and keeps none: no token of it reaches over a space."""
+    model = json.loads(raw)
+    normal = (model.get("normalizer") or {}).get("normalizers")
+    splits = (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return normal == NORMALIZERS and bool(splits) and splits[0] == SPLIT and splits[1:] == BYTES and not any(
+        token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(r"\s", token["content"]) for token in model["added_tokens"])
+
+
 def pieces_of(text: str) -> list[str]:
-    """Pieces whose ids, put together, are those of the text, for a tokenizer that lower-cases and drops white space."""
+    """Pieces whose ids, put together, are those of the text, for a tokenizer that cuts_at_spaces().
+
+    Marks stay with the word before them: the tokenizer takes a run of marks as one, and what counts as a mark is known
+    only after its normalizers.
+    """
     if "<|" not in text:  # a special string in capitals is none
         text = text.encode().lower().decode()
-    cut = text.replace(", ", " , ").replace(". ", " . ").replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return cut.split(" ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def piece_table(content: Broadcast) -> PieceTable:
@@ -77,7 +93,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> dict:
     from tokenizers import Tokenizer
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size(True) <= 1 << 16 else 4
     raw = broadcast_file(docs, tokenizer).value.decode()
-    content = spark.sparkContext.broadcast(raw)
+    content, cut = spark.sparkContext.broadcast(raw), cuts_at_spaces(raw)
     Path(folder).mkdir(parents=True, exist_ok=True)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +103,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> dict:
         documents = ids_written = 0
         files = {kind: path.open("wb") for kind, path in parts.items()}
         for batch in slices(batches):
-            ids, sizes = piece_table(content).ids_of(map(pieces_of, texts_of(batch)))
+            ids, sizes = piece_table(content).ids_of(map(pieces_of, texts_of(batch))) if cut else piece_table(content).learn(texts_of(batch))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             ends = ids_written + np.cumsum(sizes + 1)
             np.concatenate(([ids_written], ends[:-1])).astype("<u8").tofile(files["off"])
