@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from treelode.llm import (bpe, decontaminate, imatch, interpolated_lm, queries, secret_spans, simhash, token_cache,
+from treelode.llm import (bpe, decontaminate, imatch, interpolated_lm, near_copies, queries, secret_spans, simhash, token_cache,
                           token_files, toxicity, url_lists)
 from treelode.llm.common import mounted, new_folder
 
@@ -179,6 +179,46 @@ def test_one_of_each_keeps_rows_whole(odd):
     assert kept.count() == len(groups)
 
 
+def slow_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[n:n + 5]) for n in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 64])
+def test_near_copies_against_brute_force(spark, documents, bucket_rows):
+    """Edited copies of given documents, a crowded group, and texts that only share a part: as all pairs would link them."""
+    seeded = random.Random(8)
+    given = [(i, text) for i, text in pairs(documents)]
+    for i, text in [pair for pair in given if 30 <= len(pair[1].split()) <= 600][:60]:
+        words = text.split()
+        for rate in (0.01, 0.02):
+            given.append((1000 + len(given), " ".join("edited" if seeded.random() < rate else word for word in words)))
+        given.append((1000 + len(given), " ".join(words[:len(words) // 2])))
+    base = [f"w{n}" for n in range(200)]
+    for n in range(40):
+        at = seeded.sample(range(200), n % 8)
+        given.append((1000 + len(given), " ".join(f"new{n}" if k in at else word for k, word in enumerate(base))))
+    given += [(None, None), (9001, ""), (9002, " \n"), (9003, "two words"), (9004, "Two  Words"), (9005, "two words more")]
+    sets = [slow_shingles(text or "") for _, text in given]
+    root = list(range(len(given)))
+    changed = True
+    close = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in close:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    members = collections.defaultdict(list)
+    for n, group in enumerate(root):
+        members[group].append(given[n][0])
+    expected = sorted(min(ids, key=lambda i: math.inf if i is None else i) for ids in members.values())
+    frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("bucket", F.lit("x"))
+    kept = near_copies.one_of_each(frame, bucket_rows)
+    assert kept.columns == frame.columns and sorted(row.doc_id for row in kept.collect()) == expected
+    assert len(expected) < len(given) - 60
+
+
 # -- tokens -----------------------------------------------------------------------------------------------------------
 
 

@@ -219,8 +219,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, seed: int
 
 def one_of_each(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """One row of each group, with all its columns: of those with the smallest doc_id, the one of least text digest."""
+    return first_of_each(docs, groups(docs, radius, words, seed))
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of each root of (doc_id, digest, root), with all columns of docs."""
     keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.col("digest")]
-    kept = groups(docs, radius, words, seed).select(*keys, "root").groupBy("root").agg(F.min(F.struct("key", "digest")).alias("k"))
+    kept = grouped.select(*keys, "root").groupBy("root").agg(F.min(F.struct("key", "digest")).alias("k"))
     named = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64(whole_text()).alias("digest"))
     found = named.join(kept.select("k.key", "k.digest"), ["key", "digest"], "left_semi")
     first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key")) == 1  # repeated rows are alike in id and text
