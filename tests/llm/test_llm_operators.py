@@ -504,6 +504,31 @@ def test_language_model(request, name):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_weights_are_learned_on_every_training_token(spark):
+    """Against expectation-maximisation over every token, with one text far longer than the others."""
+    seeded = random.Random(4)
+    word = lambda: f"w{int(seeded.paretovariate(0.7))}"
+    given = [(n, " ".join(word() for _ in range(seeded.randrange(1, 60)))) for n in range(300)]
+    given += [(None, " ".join(f"v{n % 700} v{n % 11}" for n in range(20_000)))]
+    texts = [t.encode().split() + [b"\n"] for i, t in given if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(w for words in texts for w in words) + collections.Counter({None: len(texts)})
+    bigrams = collections.Counter(p for words in texts for p in zip([None, *words], words))
+    total, distinct = sum(map(len, texts)), len(counts) - 1
+    rows, buckets = [], []
+    for words in texts:
+        for before, w in zip([None, *words], words):
+            context = counts[before] - 1
+            rows.append([(bigrams[before, w] - 1) / max(context, 1), (counts[w] - 1) / (total - 1), 1 / (distinct + 1)])
+            buckets.append(int(math.log2(context)) + 1 if context else 0)
+    expected = interpolated_lm.weights_of(np.array(rows), np.array(buckets), np.ones(len(rows)))
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    *_, weights = interpolated_lm.first_pass(frame, 4)
+    used = sorted(set(buckets))
+    assert np.abs(weights - expected)[used].max() < 0.02
+    *_, short = interpolated_lm.first_pass(frame.where("doc_id is not null"), 4)
+    assert np.abs(short - expected)[used].max() > 0.1  # the long text counts
+
+
 # -- empty tables -----------------------------------------------------------------------------------------------------
 
 

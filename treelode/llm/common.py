@@ -45,10 +45,10 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def stored(frame: DataFrame, what: str) -> DataFrame:
+def stored(frame: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """As settled(), but as a Parquet table: compressed, and read column by column."""
     spark, folder = frame.sparkSession, new_folder(frame.sparkSession, what)
-    frame.write.parquet(folder)
+    frame.write.parquet(folder, compression=codec)
     return spark.read.schema(frame.schema).parquet(folder)
 
 

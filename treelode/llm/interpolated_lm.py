@@ -1,14 +1,16 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
 P(w | v) = a(b) c(vw) / c(v) + a1(b) c(w) / N + a0(b) / (V + 1), where b is the bucket of the context's count c(v) by powers
-of two. The weights of each bucket come from expectation-maximisation on held-out counts: a bounded sample of training
-texts (WEIGHT_TOKENS and WEIGHT_SHARE of all at most, whole texts with their copies) is deleted from the counts that the estimates for it are made of. Everything
-else, the counts, N and V, comes from all training texts.
+of two. The weights of each bucket come from expectation-maximisation on deleted counts: every token of every training text is
+left out of the counts that the estimates for it are made of (c(vw) - 1, c(v) - 1, c(w) - 1, N - 1). Tasks count those tokens by
+bucket and by the ratios of their estimates to the uniform one, in steps of 1 / STEPS of a power of two, with the mean of each step; the rounds
+run on that table, whose size does not depend on the input. Copies of a text count as they do in the estimates.
 
 Tokens and pairs of tokens are 64-bit hashes. Texts are dealt into blocks by a hash, and a block is one row group of the job:
   1. each block sends every range of hashes one message: the sorted distinct hashes it has there, with its training counts;
   2. each range adds up the counts by hash and answers each block with the totals, in the order of its message;
-  3. each block scores its texts with the totals.
+  3. each block gives every text with the totals of its tokens and pairs, which are kept in the shared folder. From them
+     the weights are learned and then the texts scored.
 Messages are arrays, so a hash costs about six bytes in the shuffle; texts are shuffled once and read by steps 1 and 3. A
 frequent token or pair is one entry per block and range. Ranges are as many as the session's shuffle partitions and blocks
 twice as many, so that setting bounds what a task holds: a block of texts, or a range of hashes.
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treelode.llm.common import slices, texts_of, whole_text
+from treelode.llm.common import slices, stored, texts_of, whole_text
 
 FOLDS, HELD_OUT = 7, 2
-WEIGHT_TOKENS, WEIGHT_DOCUMENTS, WEIGHT_SHARE, ROUNDS = 300_000, 1_000, 0.1, 40
+ROUNDS, STEPS, CODES, UNIT = 40, 8, 2048, 1 << 20
 BUCKETS = 40
 WORDS_KEPT = 300_000
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b"\n", b"\t"))  # no word is white space
@@ -198,136 +200,146 @@ def mixture(pair: np.ndarray, context: np.ndarray, token: np.ndarray, total: flo
     return mixed
 
 
-def weights_of(parts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Weights (bucket, estimate) of greatest likelihood by expectation-maximisation; buckets with few tokens lean on all."""
+def weights_of(parts: np.ndarray, buckets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Weights (bucket, estimate) of greatest likelihood by expectation-maximisation; buckets with few tokens lean on all.
+
+    A row has so many tokens whose estimates are in proportion to its parts.
+    """
     every = np.array([1.0, 1.0, 1.0]) / 3
     for _ in range(ROUNDS):
         share = parts * every
-        every = (share / share.sum(1, keepdims=True)).mean(0) if len(parts) else every
+        every = (share * (tokens / share.sum(1))[:, None]).sum(0) / tokens.sum() if len(parts) else every
     weights = np.tile(every, (BUCKETS, 1))
     for _ in range(ROUNDS):
         share = parts * weights[buckets]
-        share /= share.sum(1, keepdims=True)
+        share *= (tokens / share.sum(1))[:, None]
         mass = np.stack([np.bincount(buckets, share[:, n], BUCKETS) for n in range(3)], axis=1)
         weights = (mass + 10 * every) / (mass.sum(1, keepdims=True) + 10)
     weights[0] = np.array([0.0, *weights[0, 1:] / weights[0, 1:].sum()])  # nothing is known after an unseen context
     return weights
 
 
-def _weight_sample(texts: DataFrame) -> list:
-    """(digest, tokens) of the texts on which weights are learned."""
-    share = min(WEIGHT_SHARE, WEIGHT_DOCUMENTS / max(1, texts.count()))
-    place = F.pmod(F.xxhash64(F.lit("weights"), "doc_id", "text"), F.lit(1_000_000))
+def codes_of(logs: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """0 for a ratio of zero, else its power of two in steps."""
+    return np.where(some, np.clip(np.rint(logs * (STEPS / UNIT)).astype(np.int64) + CODES // 2, 1, CODES - 1), 0)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            tokens, sizes = tokens_of(texts_of(batch))
-            kept = [(place, part.tobytes()) for place, part, doc_id in zip(
-                batch.column("place").to_pylist(), np.split(tokens, np.cumsum(sizes)[:-1]), batch.column("doc_id").to_pylist())
-                if is_training(doc_id) and len(part) <= WEIGHT_TOKENS // 10]
-            yield pa.RecordBatch.from_pydict({"place": [p for p, _ in kept], "tokens": [t for _, t in kept]},
-                                             pa.schema({"place": pa.int64(), "tokens": pa.binary()}))
-
-    chosen = texts.select("doc_id", "text", place.alias("place")).where(F.col("place") < share * 1_000_000)
-    found = chosen.mapInArrow(rows, "place bigint, tokens binary").orderBy("place", "tokens").limit(2 * WEIGHT_DOCUMENTS).collect()
-    ends = np.cumsum([len(row.tokens) // 8 for row in found])
-    return [row for row, end in zip(found, ends) if end <= WEIGHT_TOKENS]
 
+def learned(texts: DataFrame, total: float, distinct: float, documents: float) -> np.ndarray:
+    """The weights, from all training tokens of counted()."""
+    if not total:
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
-def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.ndarray]:
-    """Training tokens N, distinct training tokens V, training texts, and the learned weights."""
-    sample = _weight_sample(texts)
-    deleted = {xxhash.xxh64_intdigest(row.tokens) for row in sample}
-    parts = [np.frombuffer(row.tokens, np.uint64) for row in sample]
-    tokens = np.concatenate((np.empty(0, np.uint64), *parts))
-    before = contexts_of(tokens, np.array([len(part) for part in parts], np.int64)) if parts else tokens
-    pairs = pairs_of(before, tokens)
-    wanted = distinct_of(np.concatenate((tokens, before, pairs)))
-    shared = texts.sparkSession.sparkContext.broadcast((wanted, deleted))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, sums = np.empty(0, np.int64), np.empty((3, 0))
+        for batch in slices(batches, "pair"):
+            pair, context, token, _ = totals_in(batch, documents)
+            for first in range(0, len(pair), 1 << 18):
+                part = slice(first, first + (1 << 18))
+                deleted = context[part] - 1
+                parts = estimates(pair[part] - 1, deleted, token[part] - 1, total - 1, distinct).T
+                some = parts[:2] > 0
+                logs = np.rint(np.log2(np.where(some, parts[:2] / parts[2], 1)) * UNIT)
+                codes = codes_of(logs, some)
+                found, place = np.unique(np.concatenate((cells, (bucket_of(deleted) * CODES + codes[0]) * CODES + codes[1])), return_inverse=True)
+                more = np.concatenate((sums, (np.ones(len(deleted)), *logs)), axis=1)
+                cells, sums = found, np.stack([np.bincount(place, values, len(found)) for values in more])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums.astype(np.int64))], ["cell", "tokens", "bigram", "unigram"])
+
+    partial = texts.where("not held_out").select("n_tokens", "pair", "token").mapInArrow(rows, "cell bigint, tokens bigint, bigram bigint, unigram bigint")
+    found = sorted(map(tuple, partial.groupBy("cell").agg(F.sum("tokens"), F.sum("bigram"), F.sum("unigram")).collect()))
+    cells, tokens, *logs = np.array(found, np.int64).T
+    ratios = [np.where(code > 0, 2.0 ** (log / tokens / UNIT), 0) for code, log in zip((cells // CODES % CODES, cells % CODES), logs)]
+    return weights_of(np.stack((*ratios, np.ones(len(cells))), axis=1), cells // CODES // CODES, tokens)
+
+
+def tallies(texts: DataFrame, ranges: int) -> tuple[float, float, float]:
+    """Training tokens N, distinct training tokens V, training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, deleted = shared.value
-        marks = np.zeros(1 << 24, bool)
-        marks[(wanted >> np.uint64(40)).astype(np.int64)] = True
-        counts, distinct, facts = np.zeros(len(wanted) + 1, np.int64), [], np.zeros(4)
+        distinct, facts = [], np.zeros(2)
         for batch in slices(batches):
             tokens, sizes = tokens_of(texts_of(batch))
             training = np.array([is_training(doc_id) for doc_id in batch.column("doc_id").to_pylist()], bool)
             every = np.repeat(training, sizes)
             distinct.append(distinct_of(tokens[every]))
-            kept = training & np.array([xxhash.xxh64_intdigest(part.tobytes()) not in deleted for part in np.split(tokens, np.cumsum(sizes)[:-1])], bool)
-            counted = np.repeat(kept, sizes)
-            facts += (every.sum(), training.sum(), counted.sum(), kept.sum())
-            before = contexts_of(tokens, sizes)
-            for keys in (tokens[counted], pairs_of(before[counted], tokens[counted])):
-                keys = keys[marks[(keys >> np.uint64(40)).astype(np.int64)]]
-                place = np.searchsorted(wanted, keys)
-                there = place < len(wanted)
-                place = place[there][wanted[place[there]] == keys[there]]
-                counts += np.bincount(place, minlength=len(counts))
+            facts += (every.sum(), training.sum())
         found = distinct_of(np.concatenate((np.empty(0, np.uint64), *distinct)))
         cuts = range_cuts(found, ranges)
-        seen = np.flatnonzero(counts)
-        out = [(n, sorted_packed(found[a:b]), b"", facts.tolist() if not n else [0.0] * 4) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-        out += [(-1 - n, sorted_packed(part.astype(np.uint64)), packed(counts[part].astype(np.uint64)), [0.0] * 4)
-                for n, part in enumerate(np.array_split(seen, np.searchsorted(seen, np.arange(1, ranges) * (len(wanted) // ranges + 1))))]
-        yield pa.RecordBatch.from_pydict(dict(zip(("range", "keys", "counts", "facts"), map(list, zip(*out)))), pa.schema(
-            {"range": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "facts": pa.list_(pa.float64())}))
+        out = [(n, sorted_packed(found[a:b]), facts.tolist() if not n else [0.0] * 2) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        yield pa.RecordBatch.from_pydict(dict(zip(("range", "keys", "facts"), map(list, zip(*out)))), pa.schema(
+            {"range": pa.int32(), "keys": pa.binary(), "facts": pa.list_(pa.float64())}))
 
     def added(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([sorted_unpacked(content) for content in table["keys"].to_pylist()])
-        distinct, place = np.unique(keys, return_inverse=True)
-        facts = [*np.sum(table["facts"].to_pylist(), axis=0), 0.0]
-        content = (b"", b"")
-        if table["range"][0].as_py() < 0:
-            counts = np.concatenate([unpacked(content, np.uint64) for content in table["counts"].to_pylist()])
-            content = (distinct.tobytes(), np.bincount(place, counts, len(distinct)).astype(np.uint64).tobytes())
-        else:
-            facts[4] = float(len(distinct))
-        return pa.table({"keys": [content[0]], "counts": [content[1]], "facts": [facts]})
-
-    partial = texts.select("doc_id", "text").mapInArrow(rows, "range int, keys binary, counts binary, facts array<double>")
-    found = partial.groupBy("range").applyInArrow(added, "keys binary, counts binary, facts array<double>").collect()
-    total, documents, rest_total, rest_documents, distinct = np.sum([row.facts for row in found], axis=0) if found else np.zeros(5)
-    counts = np.zeros(len(wanted))
-    for row in found:
-        counts[np.frombuffer(row.keys, np.uint64).astype(np.int64)] = np.frombuffer(row.counts, np.uint64)
-    known = dict(pair=counts[np.searchsorted(wanted, pairs)], token=counts[np.searchsorted(wanted, tokens)])
-    context = np.where(before == BEGIN, rest_documents, counts[np.searchsorted(wanted, before)])
-    if not total:
-        return 0.0, 0.0, 0.0, np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    parts = estimates(known["pair"], context, known["token"], rest_total, distinct)
-    return total, distinct, documents, weights_of(parts, bucket_of(context))
+        keys = distinct_of(np.concatenate([sorted_unpacked(content) for content in table["keys"].to_pylist()]))
+        return pa.table({"facts": [[*np.sum(table["facts"].to_pylist(), axis=0), float(len(keys))]]})
+
+    partial = texts.select("doc_id", "text").mapInArrow(rows, "range int, keys binary, facts array<double>")
+    found = partial.groupBy("range").applyInArrow(added, "facts array<double>").collect()
+    total, documents, distinct = np.sum([row.facts for row in found], axis=0).tolist() if found else (0.0, 0.0, 0.0)
+    return total, distinct, documents
+
+
+def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.ndarray]:
+    """Training tokens N, distinct training tokens V, training texts, and the learned weights."""
+    total, distinct, documents = tallies(texts, ranges)
+    return total, distinct, documents, learned(counted(texts, ranges, total), total, distinct, documents)
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. Learning runs jobs at once."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    total, distinct, documents, weights = first_pass(texts, parts)
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts)).cast("int"))
+def counted(texts: DataFrame, ranges: int, total: float) -> DataFrame:
+    """doc_id, held_out, and the training totals of all pairs and tokens of every row, in the shared folder."""
+    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * ranges)).cast("int"))
+    kind = np.uint32 if total < 1 << 32 else np.uint64
 
-    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def rows(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table)
         given = sorted(zip(answers["range"].to_pylist(), answers["counts"].to_pylist()))
         totals = np.concatenate([unpacked(content, np.uint64) for _, content in given])
-        token, pair = block.totals_of(block.tokens, totals), block.totals_of(block.pairs, totals)
-        context = np.roll(token, 1)
-        starts = np.cumsum(block.sizes) - block.sizes
-        context[starts] = documents
-        mixed = mixture(pair, context, token, total, distinct, weights)
-        sums = [np.add.reduceat(values, starts) for values in (np.log10(token + 1), np.log10(mixed), (token > 0).astype(np.int64))]
-        base = sums[0] - block.sizes * np.log10(total + distinct + 1)
-        return pa.table([pa.array(block.doc_ids, table["doc_id"].type), pa.array(~block.training), pa.array(block.sizes), pa.array(sums[2]),
-                         pa.array(np.full(len(starts), int(total))), pa.array(base), pa.array(sums[1])], names=schema.names)
+        ends = np.cumsum(block.sizes)[:-1]
+        pair, token = (pa.array([packed(part) for part in np.split(block.totals_of(keys, totals).astype(kind), ends)], pa.binary())
+                       for keys in (block.pairs, block.tokens))
+        return pa.table([pa.array(block.doc_ids, table["doc_id"].type), pa.array(~block.training), pa.array(block.sizes), pair, token],
+                        names=schema.names)
+
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("pair", T.BinaryType()), T.StructField("token", T.BinaryType())])
+    messages = blocks.groupBy("block").applyInArrow(message_of(ranges), MESSAGE)
+    answers = messages.groupBy("range").applyInArrow(answers_of, ANSWER)
+    frame = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rows, schema)
+    return stored(frame, "lm-totals", "zstd")
+
+
+def totals_in(batch: pa.RecordBatch, documents: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Totals of pairs, contexts and tokens of all rows, one after the other, and where each row starts."""
+    sizes = batch.column("n_tokens").to_numpy()
+    pair, token = (np.concatenate([unpacked(content, np.uint32 if len(content) == 4 * size else np.uint64) for content, size in zip(
+        batch.column(name).to_pylist(), sizes)]).astype(np.float64) for name in ("pair", "token"))
+    starts = np.cumsum(sizes) - sizes
+    context = np.roll(token, 1)
+    context[starts] = documents
+    return pair, context, token, starts
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. Learning runs jobs at once."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    total, distinct, documents = tallies(texts, parts)
+    known = counted(texts, parts, total)
+    weights = learned(known, total, distinct, documents)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "pair"):
+            pair, context, token, starts = totals_in(batch, documents)
+            mixed = mixture(pair, context, token, total, distinct, weights)
+            sums = [np.add.reduceat(values, starts) for values in (np.log10(token + 1), np.log10(mixed), (token > 0).astype(np.int64))]
+            base = sums[0] - batch.column("n_tokens").to_numpy() * np.log10(total + distinct + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums[2]), pa.array(np.full(len(starts), int(total))), pa.array(base),
+                                              pa.array(sums[1])], schema.names)
 
     named = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
              ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(*x) for x in named)])
-    messages = blocks.groupBy("block").applyInArrow(message_of(parts), MESSAGE)
-    answers = messages.groupBy("range").applyInArrow(answers_of, ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    return known.mapInArrow(scored, schema)
