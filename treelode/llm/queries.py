@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelode.llm import bpe, decontaminate, imatch, interpolated_lm, secret_spans, simhash, token_cache, token_files, toxicity, url_lists
+from treelode.llm import (
+    bpe, decontaminate, hard_negatives, imatch, interpolated_lm, lexical_search, license_scan, secret_spans, simhash, token_cache, token_files, toxicity, url_lists,
+)
 from treelode.llm.common import mounted, new_folder, read
 from treelode.session import ship_package
 
@@ -89,8 +91,23 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(read(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.whole_rows(rows, label))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_imatch, op2_simhash, op3_byte_bpe, op4_decontaminate, op5_url_lists, op6_token_files, op7_toxicity, op8_secrets, op9_interpolated_lm, op10_token_counts,
+    op11_license_scan, op12_hard_negatives, op13_lexical_search,
 )}
 SQL: dict[str, str] = {
     "op4_decontaminate": r"""
@@ -146,6 +163,43 @@ found AS (SELECT capture_id, count(*) AS n, list_sort(list_distinct(list(list)))
 SELECT capture_id AS page_id, host, coalesce(n, 0) AS n_entries, coalesce(array_to_string(names, ','), '') AS lists,
        n IS NOT NULL AND NOT list_contains(names, 'allow') AS blocked
 FROM capture LEFT JOIN found USING (capture_id)""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
+    "op13_lexical_search": r"""
+WITH document AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM documents),
+item AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS q FROM item GROUP BY ALL),
+total AS (SELECT count(*) AS n, CAST(sum(len(words)) AS BIGINT) AS l FROM document WHERE len(words) > 0),
+posting AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(words) AS term FROM document) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM posting, total GROUP BY term, n),
+length AS (SELECT r, 100 - 25 + (25 * len(words) * n) // l AS m FROM document, total WHERE len(words) > 0),
+scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN posting USING (term) JOIN weight USING (term) JOIN length USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
 }
 
 
