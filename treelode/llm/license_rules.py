@@ -19,11 +19,11 @@ text | mit | above copyright notice and this permission notice | the above copyr
 text | mit-0 | to deal in the software without restriction | permission is hereby granted free of charge (?:[^ ]+ ){10,20}to deal in the software without restriction (?:[^ ]+ ){20,40}the software is provided as is
 text | x11 | x consortium | except as contained in this notice the name of the x consortium shall not be used
 text | isc | permission to use copy modify and or distribute | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
-text | 0bsd | for any purpose with or without fee is hereby granted | with or without fee is hereby granted the software is provided as is
+text | 0bsd | fee is hereby granted the software is provided as is | with or without fee is hereby granted the software is provided as is
 text | bsd-2-clause | redistributions of source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 text | bsd-2-clause | redistributions in binary form must reproduce | redistributions in binary form must reproduce the above copyright notice
 text | bsd-3-clause | may be used to endorse or promote | neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote
-text | bsd-4-clause | must display the following acknowledge | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+text | bsd-4-clause | must display the following acknowledg | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 text | bsd-3-clause-clear | no express or implied licenses to any party | no express or implied licenses to any party s patent rights are granted by this license
 text | apache-2.0 | unless required by applicable law | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 text | apache-2.0 | you may not use this file except in compliance | you may not use this file except in compliance with the license you may obtain a copy of the license at
@@ -33,7 +33,7 @@ text | gpl | free software foundation either version | under the terms of the gn
 text | gpl-1.0+ | either version 1 of the license | gnu general public license as published by the free software foundation either version 1 of the license
 text | gpl-2.0+ | either version 2 of the license | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
 text | gpl-3.0+ | either version 3 of the license | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
-text | gpl-2.0 | version 2 of the license | gnu general public license version 2 as published by the free software foundation
+text | gpl-2.0 | general public license version 2 as published | gnu general public license version 2 as published by the free software foundation
 text | gpl | without even the implied warranty | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details
 text | gpl | the licenses for most software | the licenses for most software are designed to take away your freedom to share and change it
 text | gpl-3.0 | free copyleft license for software | the gnu general public license is a free copyleft license for software and other kinds of works
@@ -85,7 +85,7 @@ text | elastic-2.0 | hosted or managed service | you may not provide the softwar
 text | commons-clause | commons clause license condition | commons clause license condition
 text | proprietary | confidential and proprietary | (?:is |are )?(?:strictly )?confidential and proprietary (?:information )?(?:of|to) [^ ]+
 text | proprietary | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
-text | llama-3 | meta llama 3 | by using or distributing any portion or element of the llama materials|meta llama 3 community license agreement
+text | llama-3 | llama | by using or distributing any portion or element of the llama materials|meta llama 3 community license agreement
 grant | apache-2.0 | apache license | licensed under the apache license version 2(?: 0)?
 grant | apache-2.0 | apache | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of the )?apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?
 grant | apache | apache | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of the )?apache(?: software)? license
@@ -203,7 +203,8 @@ name | cc-by-nc-nd | attribution noncommercial noderiv | creative commons attrib
 name | busl-1.1 | business source license | business source license(?: 1 1)?
 name | sspl-1.0 | server side public license | server side public license(?: v ?1)?
 name | elastic-2.0 | elastic license | elastic license (?:v ?)?2(?: 0)?
-name | rail | responsible ai license | (?:open |creativeml open )?(?:rail m|responsible ai license)
+name | rail | rail m | (?:open )?rail m
+name | rail | responsible ai license | (?:open |creativeml open )?responsible ai license
 name | openrail | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: license)?
 family | gpl | general public license | =
 family | gpl | gpl | =
@@ -219,7 +220,7 @@ family | mpl | mozilla public license | =
 family | epl | eclipse public license | =
 family | cddl | development and distribution license | (?:common )?development and distribution license
 family | artistic | artistic license | =
-family | zlib | zlib license | zlib license|zlib libpng license
+family | zlib | zlib | zlib license|zlib libpng license
 family | ofl | open font license | (?:sil )?open font license
 family | gfdl | free documentation license | (?:gnu )?free documentation license
 family | wtfpl | wtfpl | =
@@ -238,7 +239,7 @@ family | proprietary | end user license agreement | =
 family | commercial | commercial license | =
 hint | copyleft | copyleft | =
 hint | all-rights-reserved | all rights reserved | =
-hint | open-source | open source license | (?:an? )?open source licen[cs]e
+hint | open-source | open source licen | (?:an? )?open source licen[cs]e
 hint | see-license | see license | see license(?: file)? (?:for|in)(?: [^ ]+){0,3}
 hint | see-license | license file | (?:in|see) the (?:accompanying )?license file
 hint | copyright | copyright | copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])*
