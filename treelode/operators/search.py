@@ -86,21 +86,6 @@ def doc_results(found: DataFrame) -> DataFrame:
         shared["lines"].alias("lines"), shared["score"].alias("score"), "content")
 
 
-QUERY_BLOCK = 256
-
-
-def nearest_batch(table: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
-    """Top-k for several query vectors at once: query_id, rank, _distance and the columns of `table`.
-
-    Each task keeps its own best `limit` rows per query and only those are shuffled. Queries go out in
-    blocks of 256, one scan per block, so what a task holds does not grow with their number.
-    """
-    blocks = [queries[i:i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
-    found = reduce(DataFrame.unionByName, [_task_best(table, block, limit) for block in blocks])
-    window = Window.partitionBy("query_id").orderBy(*ORDER)
-    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
-
-
 def _task_best(table: DataFrame, block: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
     """The best `limit` rows per query of every task, with query_id and _distance."""
     ids = [int(i) for i, _ in block]
