@@ -39,7 +39,6 @@ def test_incremental_run_equals_rebuild(spark, tree, tmp_path):
     tree({"src/a.py": "def beta():\n    pass\n", "src/new.go": "package x\n"})
     Path(root, "src/q.sql").unlink()
     assert totals(reindex(spark, root, DIM)) == (2, 2, 1, 2)
-    assert ChunkStore(spark, root).manifest().replaced_rows == 2
     Path(root, "docs/g.md").unlink()
     assert totals(reindex(spark, root, DIM)) == (0, 0, 1, 0)
     tree({"docs/g.md": SOURCE["docs/g.md"]})
@@ -53,12 +52,9 @@ def test_incremental_run_equals_rebuild(spark, tree, tmp_path):
     before = stored(spark, root)
     store = ChunkStore(spark, root)
     meta = {(r.relative_path, r.hash, tuple(r.chunk_ids)) for r in store.meta().collect()}
-    store.compact()
-    assert stored(spark, root) == before and store.manifest().replaced_rows == 0
-    assert {(r.relative_path, r.hash, tuple(r.chunk_ids)) for r in store.meta().collect()} == meta
     assert totals(reindex(spark, root, DIM)) == (0, 0, 0, 0)
     ids = {i for _, _, chunk_ids in meta for i in chunk_ids}
-    assert ids == {row[6] for row in before}
+    assert ids == {row[6] for row in before} and store.meta().count() == len({row[0] for row in before})
 
 
 class NoKey(HashingEmbedder):
@@ -82,29 +78,50 @@ def test_embedder_is_asked_only_when_there_is_something_to_embed(spark, tree):
     assert totals(reindex(spark, root, DIM)) == (1, 1, 0, 1)
 
 
-def test_compaction_when_due(spark, tree, monkeypatch):
-    from treelode.sources import store as module
-    root = tree({"src/a.py": "a", "src/b.py": "b"})
+def test_one_changed_file_writes_its_bucket_again_and_no_other(spark, tree):
+    root = tree({f"src/m{n}.py": f"text {n}" for n in range(60)})
     reindex(spark, root, DIM)
-    assert A.has_index(spark, root) and not A.has_index(spark, root + "/src")
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 10)
-    tree({"src/a.py": "changed"})
+    store = ChunkStore(spark, root)
+    before = store.snapshot()
+    assert len(before.chunks) > 5 and before.chunks.keys() == before.meta.keys()
+    tree({"src/m7.py": "changed"})
     assert totals(reindex(spark, root, DIM)) == (1, 1, 0, 1)
-    now = ChunkStore(spark, root).manifest()
-    assert len(now.versions) == 1 and now.replaced_bytes == 0 and now.sequence == 3
-    assert {row[0] for row in stored(spark, root)} == {"src/a.py", "src/b.py"} and len(stored(spark, root)) == 2
-
-
-def test_replaced_paths_beyond_the_broadcast_bound(spark, tree, monkeypatch):
-    from treelode.sources import store as module
-    monkeypatch.setattr(module.ChunkStore, "compact_if_due", lambda self: False)
-    root = tree(SOURCE)
+    after = store.snapshot()
+    moved = {b for b in after.chunks if after.chunks[b] != before.chunks[b]}
+    assert len(moved) == 1 and {b for b in after.meta if after.meta[b] != before.meta[b]} == moved
+    rewritten = store.chunks().where(f"bucket = {[*moved][0]}")
+    run = after.chunks[[*moved][0]]
+    assert store._read("chunks", {b: run for b in moved}).count() == rewritten.count() < 20
+    assert store.chunks().count() == 60 and store.chunks().where("content like '%changed%'").count() == 1
+
+
+def test_counts_are_taken_while_writing(spark, tree):
+    from treelode.sources.store import Written
+    root = tree({f"src/m{n}.py": f"text {n}" for n in range(40)})
     reindex(spark, root, DIM)
-    tree({"src/a.py": "changed"})
+    store = ChunkStore(spark, root)
+    parent, rows = store.snapshot(), store.chunks().drop("run", "bucket", "kind", "stored_in")
+    run = store.next_run(parent)
+    changes = store.chunks().limit(0).selectExpr("file_path AS relative_path", "'' AS extension", "'' AS category", "'' AS absolute_path", "0L AS size", "'' AS change")
+    assert store.commit(parent, run, store.stage(changes, run), rows.limit(0), 64) == Written()
+    parent, run = store.snapshot(), store.next_run(parent) + 1
+    one = store.chunks().where("file_path = 'src/m3.py'").selectExpr("file_path AS relative_path", "'' AS extension", "'' AS category", "'' AS absolute_path", "0L AS size", "'modified' AS change")
+    written = store.commit(parent, run, store.stage(one, run), rows.where("file_path = 'src/m3.py'"), 64)
+    assert (written.made, written.kept) == (1, 1) and store.chunks().count() == 40
+    assert written.carried == store._read("chunks", {b: r for b, r in store.snapshot().chunks.items() if r == run}).count() - 1
+
+
+def test_all_files_gone_and_back(spark, tree):
+    root = tree({"src/a.py": "a", "src/b.py": "b"})
     reindex(spark, root, DIM)
-    few = stored(spark, root)
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
-    assert stored(spark, root) == few
+    for name in ("a", "b"):
+        Path(root, f"src/{name}.py").unlink()
+    assert totals(reindex(spark, root, DIM)) == (0, 0, 2, 0)
+    store = ChunkStore(spark, root)
+    assert stored(spark, root) == set() and store.snapshot().dimensions == 64 and A.has_index(spark, root)
+    assert A.search_code(spark, root, "a", DIM).count() == 0
+    tree({"src/a.py": "a"})
+    assert totals(reindex(spark, root, DIM)) == (1, 1, 0, 1) and len(stored(spark, root)) == 1
 
 
 def test_blank_document_is_added_every_time(spark, tree):
@@ -129,7 +146,9 @@ class Flaky(HashingEmbedder):
 def test_failed_chunk_is_dropped_and_still_counted(spark, tree):
     root = tree({"docs/g.md": "# A\none\n# B\ntwo bad\n", "src/a.py": "x"})
     assert totals(reindex(spark, root, Flaky("bad"))) == (2, 3, 0, 2)
-    assert {r.name for r in ChunkStore(spark, root).chunks().collect()} == {"g.md", "a.py"}
+    store = ChunkStore(spark, root)
+    assert {r.name for r in store.chunks().collect()} == {"g.md", "a.py"}
+    assert [(r.file_path, r.name, r.reason) for r in store.rejected().collect()] == [("docs/g.md", "B", "RuntimeError: no")]
     assert totals(reindex(spark, root, Flaky("bad"))) == (0, 0, 0, 0)
 
 
@@ -150,11 +169,12 @@ def test_concurrent_commit_is_refused(spark, tree):
     root = tree({"src/a.py": "x"})
     store = ChunkStore(spark, root)
     reindex(spark, root, DIM)
-    parent = store.manifest()
-    store.commit(parent, parent)
+    now = store.snapshot()
     with pytest.raises(ConcurrentCommit):
-        store.commit(parent, parent)
-    assert store.manifest().sequence == 2
+        store._publish(now)
+    # A run that died while it published left no finished snapshot.
+    (Path(root) / f".vectors/store/snapshot/n={now.number + 1}").mkdir()
+    assert store.snapshot() == now and A.has_index(spark, root) and not A.has_index(spark, root + "/src")
 
 
 def ask(spark, root, tool, **arguments):
@@ -187,8 +207,8 @@ def test_search_messages(spark, tree):
 
 
 def test_search_plan(spark, tree):
-    """The kind prunes partitions, the type filter and the winning ids reach the Parquet scan, replaced
-    paths are broadcast, and the vector scan reads no content."""
+    """The kind prunes partitions, the type filter and the winning files reach the Parquet scan, nothing is joined to find
+    live rows, and the vector scan reads no content."""
     from treelode.operators import search as S
 
     root = tree(SOURCE)
@@ -199,7 +219,7 @@ def test_search_plan(spark, tree):
     chunks = store.chunks("code")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     try:
-        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), [0.0] * 64, 5)
+        winners = S.nearest(chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector"), [0.0] * 64, 5)
         plan = winners._jdf.queryExecution().executedPlan().toString()
         lookup = A.with_content(store, winners)._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -207,7 +227,7 @@ def test_search_plan(spark, tree):
     scan = next(line for line in plan.split("\n") if "store/chunks" in line)
     assert "content" not in scan and "kind#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "Not(EqualTo(chunk_type,doc_section))" in scan.split("PushedFilters")[1]
-    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert "TakeOrderedAndProject" in plan and "Join" not in plan
     scan = next(line for line in lookup.split("\n") if "store/chunks" in line)
     assert "paths)[file" in scan and "/kind=code/part-" in scan
 
@@ -262,29 +282,30 @@ def test_root_is_found_around_the_working_directory(spark, tree, monkeypatch):
     assert json.loads(said["text"])["project"] == root
 
 
-def versions_on_disk(root):
-    return {p.name for p in Path(root).glob(".vectors/store/*/v=*")}
+def buckets_on_disk(root):
+    return {p.relative_to(root).as_posix() for p in Path(root).glob(".vectors/store/*/run=*/bucket=*")}
 
 
 def test_runs_without_changes_leave_nothing(spark, tree):
     root = tree({"src/a.py": "match"})
     reindex(spark, root, DIM)
-    before = versions_on_disk(root)
-    assert reindex(spark, root, DIM).files_processed == 0 and versions_on_disk(root) == before
+    before = buckets_on_disk(root)
+    assert reindex(spark, root, DIM).files_processed == 0 and buckets_on_disk(root) == before
 
 
-def test_dead_versions_are_removed_and_never_opened(spark, tree):
+def test_dead_buckets_are_removed_and_never_opened(spark, tree):
     root = tree({"src/a.py": "match one", "src/b.py": "gone soon"})
     reindex(spark, root, DIM)
     (Path(root) / "src/b.py").unlink()
     reindex(spark, root, DIM)
     store = ChunkStore(spark, root)
-    old = versions_on_disk(root)
-    store.compact()
-    assert store.remove_dead() == 0  # too young
+    now = store.snapshot()
     files = store.chunks().inputFiles()
-    assert files and all(f"v={store.manifest().versions[0]}" in name for name in files)
-    assert store.remove_dead(older_than_s=0) == len(old) and not versions_on_disk(root) & old
+    assert files and all(any(f"run={run}/bucket={b}/" in name for b, run in now.chunks.items()) for name in files)
+    assert store.remove_dead() == 0  # too young
+    assert store.remove_dead(older_than_s=0) >= 2
+    assert {name.split("store/")[1] for name in buckets_on_disk(root)} == {
+        f"{table}/run={run}/bucket={b}" for table, places in (("chunks", now.chunks), ("meta", now.meta)) for b, run in places.items()}
     assert [row.file for row in A.search_code(spark, root, "match", DIM).collect()] == ["src/a.py"]
     assert not any(b"gone soon" in p.read_bytes() for p in Path(root).rglob("*.parquet"))
 

@@ -3,7 +3,7 @@ instead of array expressions, and line numbers of the sample sources stated inst
 from __future__ import annotations
 
 from treelode.checks import views as V
-from treelode.checks.queries import BATCH_IDS, EMBED_DIMENSIONS, QUERY_ID, SEARCH_TEXT
+from treelode.checks.queries import EMBED_DIMENSIONS, QUERY_ID, QUERY_STEP, SEARCH_TEXT
 
 NL = "chr(10)"
 
@@ -63,11 +63,18 @@ SELECT rank, file_path AS file, {SIX.format('d')} AS distance FROM best"""
 
 _SQL["knn_batch"] = f"""WITH {CHUNKS}, pairs AS (
   SELECT q.vec_id AS query_id, c.*, {_distance('q.embedding')} AS d
-  FROM chunks c, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN {BATCH_IDS}) q)
+  FROM chunks c, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % {QUERY_STEP} = 0) q)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, file_path, line_start, id) AS rank,
   id AS chunk_id, {SIX.format('d')} AS distance
 FROM pairs QUALIFY rank <= 10"""
 
+_SQL["knn_cosine"] = f"""WITH {CHUNKS}, pairs AS (
+  SELECT q.vec_id AS query_id, c.*, 1 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+  FROM chunks c, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % {QUERY_STEP} = 0) q WHERE c.chunk_type = 'doc_section')
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), file_path, line_start, id) AS rank,
+  id AS chunk_id, {SIX.format('d')} AS distance
+FROM pairs QUALIFY rank <= 5"""
+
 _SQL["search_store"] = f"""WITH {NEAR}, best AS (
   SELECT *, row_number() OVER (ORDER BY d, file_path, line_start, id) AS rank FROM near
   WHERE chunk_type <> 'doc_section' AND vec_id % 10 <> 7 QUALIFY rank <= 2000)

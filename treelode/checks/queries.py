@@ -1,10 +1,8 @@
 """Registered queries: each operator over whole tables. Lists are joined to text for comparison."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +18,15 @@ from treelode.operators import search as S
 from treelode.operators import tree as T
 from treelode.functions.vectors import squared_l2
 from treelode.operators.embedding import HashingEmbedder, embed_chunks
-from treelode.operators.versions import live_rows, replaced_paths
-from treelode.plans.reindex import stored_form
+from treelode.operators.knn_join import COSINE, nearest_join
 from treelode.plans.tools import with_content
-from treelode.schema import STORED_CHUNKS
-from treelode.session import settle, ship_package, spread
+from treelode.session import settle, shared_folder, ship_package, spread
 from treelode.sources import project as P
-from treelode.sources.store import CHANGES, ChunkStore, Manifest
+from treelode.sources.store import CHANGES, ChunkStore, Written
 from treelode.sources.tree import category_of, select_files
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERY_ID, BATCH_IDS = 3, tuple(range(10))
+QUERY_ID, QUERY_STEP = 3, 20
 STORE_LIMIT = 2000
 EMBED_DIMENSIONS = 64
 SEARCH_TEXT = "the of and la de und"
@@ -69,48 +65,59 @@ def knn_ext_postfilter(spark: SparkSession, folder: str, exact: bool = False) ->
 
 
 def knn_batch(spark: SparkSession, folder: str) -> DataFrame:
-    queries = V.query_vectors(spark, folder, *BATCH_IDS)
-    found = S.nearest_batch(V.chunk_vectors(spark, folder), queries, 10)
+    """Every twentieth row as a query, against all rows."""
+    chunks = V.chunk_vectors(spark, folder)
+    queries = chunks.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    found = nearest_join(chunks.drop("vec_id"), queries, 10)
     return found.select("query_id", "rank", F.col("id").alias("chunk_id"), six(F.col("_distance")).alias("distance"))
 
 
+def _store(spark: SparkSession, name: str) -> ChunkStore:
+    return ChunkStore(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _put(store: ChunkStore, rows: DataFrame, changed: DataFrame) -> Written:
+    """Commit chunk rows (STORED_CHUNKS without reason) in place of the files of `changed` (relative_path, change)."""
+    parent = store.snapshot()
+    run = store.next_run(parent)
+    changes = changed.select("relative_path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[1:-1]], "change")
+    return store.commit(parent, run, store.stage(changes, run), rows.withColumn("reason", F.lit(None).cast("string")), EMBED_DIMENSIONS)
+
+
 def _filled_store(spark: SparkSession, folder: str) -> ChunkStore:
     """A store with four commits: every chunk; a third of the files changed; those changed back; every tenth file deleted."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="treelode-store-")
-    store = ChunkStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    store = _store(spark, "store")
     every = V.with_text(V.chunk_vectors(spark, folder)).withColumn("hash", F.md5("content"))
     third, gone = every.where("vec_id % 3 = 0"), every.where("vec_id % 10 = 7")
     other = third.withColumns({"content": F.concat(F.lit("other "), "content"), "vector": F.transform("vector", lambda x: -x)})
     for rows, change in ((every, "added"), (other, "modified"), (third, "modified"), (gone, "deleted")):
-        parent = store.manifest()
-        version = store.next_version(parent)
-        changes = rows.select(F.col("file_path").alias("relative_path"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[1:-1]],
-                              F.lit(change).alias("change"))
-        store.write("changes", changes, version)
-        kept = rows.where(F.lit(change != "deleted"))
-        store.write("chunks", stored_form(kept.select(*STORED_CHUNKS.names)), version, "kind")
-        store.write("meta", C.meta_rows(kept), version)
-        old, replaced = parent or Manifest(), 0 if change == "added" else rows.count()
-        store.commit(parent, replace(old, versions=(*old.versions, version), replaced_rows=old.replaced_rows + replaced))
+        _put(store, rows.where(F.lit(change != "deleted")), rows.select(F.col("file_path").alias("relative_path"), F.lit(change).alias("change")))
     return store
 
 
 def search_store(spark: SparkSession, folder: str) -> DataFrame:
     store = _filled_store(spark, folder)
-    keys = store.chunks("code").where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector")
+    keys = store.chunks("code").where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector")
     found = with_content(store, S.nearest(keys, _vector(spark, folder), STORE_LIMIT))
     return S.ranked(found).select("rank", F.col("file_path").alias("file"), six(F.col("_distance")).alias("distance"), F.md5("content").alias("content_md5"))
 
 
 def store_state(spark: SparkSession, folder: str) -> DataFrame:
-    """What the store says about every live file after those commits, and after it was compacted."""
+    """What the store says about every live file after those commits: its state row and its text."""
     store = _filled_store(spark, folder)
     before = store.meta().select("relative_path", "hash", joined(F.col("chunk_ids")).alias("ids"))
-    store.compact()
     after = store.chunks().select(F.col("file_path").alias("relative_path"), F.md5("content").alias("content_md5"))
     return before.join(after, "relative_path", "full_outer")
 
 
+def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    """As knn_batch, over documentation, by the angle between vectors."""
+    chunks = V.chunk_vectors(spark, folder)
+    queries = chunks.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    found = nearest_join(chunks.where(S.is_doc()).drop("vec_id"), queries, 5, metric=COSINE)
+    return found.select("query_id", "rank", F.col("id").alias("chunk_id"), six(F.col("_distance")).alias("distance"))
+
+
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     distance = squared_l2(F.col("vector"), _vector(spark, folder))
     return V.with_text(V.chunk_vectors(spark, folder)).select(
@@ -280,31 +287,36 @@ def chunk_header(spark: SparkSession, folder: str) -> DataFrame:
 # -- stored tables ----------------------------------------------------------------------------------
 
 
-def _state_chunks(files: DataFrame, version: int) -> DataFrame:
-    columns = files.select(F.col("relative_path").alias("file_path"), F.lit(".sql").alias("extension"), "content")
-    return K.chunk_windows(columns).withColumn("v", F.lit(version).cast("long"))
+def _state_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of documents, as if embedded."""
+    columns = files.select(F.col("relative_path").alias("file_path"), F.lit(".sql").alias("extension"), "content", F.md5("content").alias("hash"))
+    return K.chunk_windows(columns).withColumn("vector", F.array(F.lit(0.0).cast("float")))
 
 
-def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks of both runs, and the changes the second one found."""
-    changed = settle(_changes(spark, folder).where("change <> 'unchanged'").withColumn("v", F.lit(2).cast("long")))
+def _versions(spark: SparkSession, folder: str) -> tuple[ChunkStore, DataFrame, Written]:
+    """A store after two runs, the changes the second one found, and its counts."""
+    store = _store(spark, "versions")
+    old = V.old_state(spark, folder)
+    _put(store, _state_chunks(old), old.select("relative_path", F.lit("added").alias("change")))
+    changed = settle(_changes(spark, folder).where("change <> 'unchanged'"))
     fresh = V.new_state(spark, folder).join(
         changed.where("change <> 'deleted'").select("relative_path"), "relative_path", "left_semi")
-    rows = _state_chunks(V.old_state(spark, folder), 1).unionByName(_state_chunks(fresh, 2))
-    return rows, changed
+    return store, changed, _put(store, _state_chunks(fresh), changed)
 
 
 def upsert_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    rows, changed = _versions(spark, folder)
-    live = live_rows(rows, replaced_paths(changed), "file_path")
-    return live.select("file_path", "name", "line_start", "line_end", F.md5("content").alias("content_md5"), "v")
+    """Live rows after the second run, with the run that found each file as it is."""
+    store, changed, _ = _versions(spark, folder)
+    found_by = changed.select(F.col("relative_path").alias("file_path"), F.lit(2).alias("v"))
+    rows = store.chunks().join(found_by, "file_path", "left")
+    return rows.select("file_path", "name", "line_start", "line_end", F.md5("content").alias("content_md5"), F.coalesce("v", F.lit(1)).alias("v"))
 
 
 def delete_by_path(spark: SparkSession, folder: str) -> DataFrame:
-    gone = V.old_state(spark, folder).where("lang = 'fr'").select(
-        "relative_path", F.lit("deleted").alias("change"), F.lit(2).cast("long").alias("v"))
-    rows = _state_chunks(V.old_state(spark, folder), 1)
-    return live_rows(rows, replaced_paths(gone), "file_path").select("file_path", "name", "line_start", "line_end")
+    store, old = _store(spark, "deleted"), V.old_state(spark, folder)
+    _put(store, _state_chunks(old), old.select("relative_path", F.lit("added").alias("change")))
+    _put(store, _state_chunks(old).where("false"), old.where("lang = 'fr'").select("relative_path", F.lit("deleted").alias("change")))
+    return store.chunks().select("file_path", "name", "line_start", "line_end")
 
 
 def meta_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,17 +327,15 @@ def meta_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reindex_totals(spark: SparkSession, folder: str) -> DataFrame:
-    rows, changed = _versions(spark, folder)
-    made = rows.where("v = 2").select(F.lit("chunk").alias("change"))
-    events = changed.select("change").unionAll(made)
-    return events.agg(F.count_if(F.col("change").isin("added", "modified")).alias("files_processed"),
-                      F.count_if(F.col("change") == "deleted").alias("files_deleted"),
-                      F.count_if(F.col("change") == "chunk").alias("chunks_created"))
+    """Counts of the second run; those of chunks were taken while it wrote."""
+    _, changed, written = _versions(spark, folder)
+    return changed.agg(F.count_if(F.col("change").isin("added", "modified")).alias("files_processed"),
+                       F.count_if(F.col("change") == "deleted").alias("files_deleted")).withColumn("chunks_created", F.lit(written.made))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        knn_search_code, knn_search_docs, knn_ext_postfilter, knn_batch, preview, embed_documents, search_text,
+        knn_search_code, knn_search_docs, knn_ext_postfilter, knn_batch, knn_cosine, preview, embed_documents, search_text,
         scan_filter, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
         change_detect, change_summary, deleted_paths, chunk_small, chunk_fixed, chunk_headings, chunk_symbols,
         chunk_dispatch, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,

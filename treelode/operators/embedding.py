@@ -70,33 +70,39 @@ def checked(embedder: Embedder, texts: Sequence[str]) -> list[list[float]]:
     return vectors
 
 
-def embed_texts(embedder: Embedder, texts: Sequence[str]) -> list[list[float] | None]:
-    """One call for the batch; if it fails, one retry per text; a text that fails again gets None."""
+def embed_or_reason(embedder: Embedder, texts: Sequence[str]) -> list[tuple[list[float] | None, str | None]]:
+    """One call for the batch; if it fails, one retry per text; a text that fails again has the reason in place of a vector."""
     try:
-        return list(checked(embedder, texts))
+        return [(vector, None) for vector in checked(embedder, texts)]
     except Exception:
         log.warning("a batch of %d texts was refused and is tried text by text", len(texts), exc_info=True)
-        vectors: list[list[float] | None] = []
-        for text in texts:
-            try:
-                vectors.append(checked(embedder, [text])[0])
-            except Exception:
-                log.warning("a text of %d characters was refused and stays without vector", len(text), exc_info=True)
-                vectors.append(None)
-        return vectors
+    found: list[tuple[list[float] | None, str | None]] = []
+    for text in texts:
+        try:
+            found.append((checked(embedder, [text])[0], None))
+        except Exception as error:
+            found.append((None, f"{type(error).__name__}: {error}"))
+    return found
+
+
+def embed_texts(embedder: Embedder, texts: Sequence[str]) -> list[list[float] | None]:
+    """Vectors only; None for a text that was refused."""
+    return [vector for vector, _ in embed_or_reason(embedder, texts)]
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataFrame:
-    """Add `vector` to every chunk; it is null where embedding failed."""
+    """Add `vector` to every chunk, or null and the `reason` where embedding failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             texts = record.column("content").to_pylist()
-            vectors = [v for n in range(0, len(texts), batch) for v in embed_texts(embedder, texts[n:n + batch])]
-            yield pa.RecordBatch.from_arrays([*record.columns, vector_column(vectors, embedder.dimensions)], [*record.schema.names, "vector"])
+            found = [pair for n in range(0, len(texts), batch) for pair in embed_or_reason(embedder, texts[n:n + batch])]
+            vectors = vector_column([vector for vector, _ in found], embedder.dimensions)
+            reasons = pa.array([reason for _, reason in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*record.columns, vectors, reasons], [*record.schema.names, "vector", "reason"])
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields]
-    return chunks.mapInArrow(run, ", ".join([*columns, "vector array<float>"]))
+    return chunks.mapInArrow(run, ", ".join([*columns, "vector array<float>", "reason string"]))
 
 
 def vector_column(vectors: Sequence, dimensions: int) -> pa.Array:

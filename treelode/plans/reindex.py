@@ -1,16 +1,16 @@
 """Incremental indexing: scan, compare, chunk, embed, store."""
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from treelode.operators.changes import change_counts, detect_changes, meta_rows
+from treelode.operators.changes import change_counts, detect_changes
 from treelode.operators.chunking import chunk_files
 from treelode.operators.embedding import Embedder, embed_chunks
 from treelode.sources import project as P
-from treelode.sources.store import CHANGES, ROW_OVERHEAD, ChunkStore, Manifest
+from treelode.sources.store import ChunkStore
 from treelode.sources.tree import read_tasks, scan_files, with_contents, with_hashes
 
 
@@ -24,28 +24,14 @@ class Totals:
     chunks_embedded: int = 0
 
 
-def stored_form(embedded: DataFrame) -> DataFrame:
-    """Add the storage partition: code, docs, or failed for a chunk without a vector."""
-    kind = (
-        F.when(F.col("vector").isNull(), "failed")
-        .when(F.col("chunk_type") == "doc_section", "docs")
-        .otherwise("code")
-    )
-    return embedded.withColumn("kind", kind)
-
-
-def _total(condition: str, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(F.expr(condition), value)), F.lit(0))
-
-
 def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
     """Index what was added, modified or deleted since the last commit.
 
     Nothing shows before the one commit at the end, so a run that fails can simply be started again.
     """
     store = ChunkStore(spark, root)
-    parent = store.manifest()
-    version = store.next_version(parent)
+    parent = store.snapshot()
+    run = store.next_run(parent)
     files = scan_files(spark, root, P.load_config(root))
 
     # Later steps read this table back instead of listing and hashing the tree again.
@@ -53,15 +39,11 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
         changes = files.withColumn("change", F.lit("added"))
     else:
         changes = detect_changes(with_hashes(files, root), store.meta(parent)).where("change <> 'unchanged'")
-    store.write("changes", changes.select(*CHANGES.names), version)
-    changes = store.version("changes", version)
-    counts = change_counts(
-        changes,
-        _total("change <> 'added'", F.octet_length("relative_path") + ROW_OVERHEAD).alias("replaced_bytes"),
-        _total("change <> 'deleted'", F.col("size")).alias("read_bytes"),
-    ).first()
+    changes = store.stage(changes, run)
+    size = F.coalesce(F.sum(F.when(F.col("change") != "deleted", F.col("size"))), F.lit(0))
+    counts = change_counts(changes, size.alias("read_bytes")).first()
     if counts["total"] == 0:
-        store.discard(version)
+        store.discard(run)
         return Totals()
 
     processed = counts["added"] + counts["modified"]
@@ -71,20 +53,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
             raise ValueError(f"the index holds vectors of {parent.dimensions} numbers, not {embedder.dimensions}")
     tasks = read_tasks(spark, processed, counts["read_bytes"])
     texts = with_contents(changes.where("change in ('added', 'modified')"), root, tasks)
-    chunks = chunk_files(texts.withColumnRenamed("relative_path", "file_path"))
-    store.write("chunks", stored_form(embed_chunks(chunks, embedder)), version, "kind")
-
-    written = store.version("chunks", version)
-    store.write("meta", meta_rows(written.where("kind <> 'failed'")), version)
-    made = written.agg(F.count("*").alias("made"), F.count_if(F.col("kind") != "failed").alias("kept")).first()
-
-    old = parent or Manifest()
-    store.commit(parent, replace(
-        old,
-        versions=(*old.versions, version),
-        replaced_rows=old.replaced_rows + counts["modified"] + counts["deleted"],
-        replaced_bytes=old.replaced_bytes + counts["replaced_bytes"],
-        dimensions=embedder.dimensions if processed else old.dimensions,
-    ))
-    store.compact_if_due()
-    return Totals(processed, made["made"], counts["deleted"], made["kept"])
+    chunks = embed_chunks(chunk_files(texts.withColumnRenamed("relative_path", "file_path")), embedder)
+    written = store.commit(parent, run, changes, chunks, embedder.dimensions if processed else 0, counts["read_bytes"])
+    store.remove_dead()
+    return Totals(processed, written.made, counts["deleted"], written.kept)

@@ -18,7 +18,7 @@ from treelode.plans.reindex import Totals
 from treelode.plans.reindex import reindex as run_reindex
 from treelode.session import ship_package
 from treelode.sources import project as P
-from treelode.sources.store import ChunkStore
+from treelode.sources.store import ChunkStore, Snapshot
 from treelode.sources.tree import one_file, scan_files
 
 CODE_LIMIT, DOC_LIMIT = 10, 5
@@ -56,34 +56,35 @@ def _query_vector(embedder: Embedder, query: str) -> list[float]:
     return checked(embedder, [query])[0]
 
 
-def _store(spark: SparkSession, root: str) -> ChunkStore:
+def _store(spark: SparkSession, root: str) -> tuple[ChunkStore, Snapshot]:
     store = ChunkStore(spark, root)
-    if store.manifest() is None:
+    now = store.snapshot()
+    if now is None:
         raise ToolError({
             "error": "NO_INDEX",
             "message": "This project has not been indexed yet; the reindex operation does that.",
             "project": root,
         })
-    return store
+    return store, now
 
 
 def with_content(store: ChunkStore, winners: DataFrame) -> DataFrame:
     """Add stored columns to the winning rows, so the vector scan need not read every content.
 
     The winners, as many as the caller's limit, are taken to the driver with the files that hold them, and only those files
-    are read. A row is the one with the winner's id and version: ids repeat in versions that are no longer live.
+    are read.
     """
-    found = winners.select("id", "v", "_distance", "stored_in").collect()
-    wanted = store.spark.createDataFrame([row[:3] for row in map(tuple, found)], "id string, v long, _distance double")
+    found = winners.select("id", "_distance", "stored_in").collect()
+    wanted = store.spark.createDataFrame([row[:2] for row in map(tuple, found)], "id string, _distance double")
     if not found:
-        return store.chunks().where(F.lit(False)).drop("vector", "_distance").join(wanted, ["id", "v"])
+        return winners.join(wanted, ["id", "_distance"]).withColumns({"content": F.lit(""), "name": F.lit(""), "chunk_type": F.lit(""), "line_end": F.lit(0)})
     rows = store.rows_in([row["stored_in"] for row in found]).drop("vector")
-    return rows.join(F.broadcast(wanted), ["id", "v"])
+    return rows.join(F.broadcast(wanted), "id")
 
 
 def has_index(spark: SparkSession, root: str) -> bool:
     """Whether anything was ever committed for the project."""
-    return ChunkStore(spark, root).manifest() is not None
+    return ChunkStore(spark, root).snapshot() is not None
 
 
 def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder, limit: int | None = None,
@@ -93,10 +94,10 @@ def search_code(spark: SparkSession, root: str, query: str, embedder: Embedder,
     _required(query, "query", "string")
     limit = _limit(limit, CODE_LIMIT)
     ship_package(spark)
-    store = _store(spark, root)
-    chunks = store.chunks("code")
+    store, now = _store(spark, root)
+    chunks = store.chunks("code", now)
     vector = _query_vector(embedder, query)
-    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "v", "stored_in", "vector")
+    keys = chunks.where(S.is_code()).select(*S.TIE_BREAK, "stored_in", "vector")
     winners = S.nearest_with_extension(keys, vector, limit, extensions, exact)
     return S.code_results(with_content(store, winners)).orderBy("rank")
 
@@ -106,10 +107,10 @@ def search_docs(spark: SparkSession, root: str, query: str, embedder: Embedder,
     _required(query, "query", "string")
     limit = _limit(limit, DOC_LIMIT)
     ship_package(spark)
-    store = _store(spark, root)
-    chunks = store.chunks("docs")
+    store, now = _store(spark, root)
+    chunks = store.chunks("docs", now)
     vector = _query_vector(embedder, query)
-    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "v", "stored_in", "vector"), vector, limit)
+    winners = S.nearest(chunks.where(S.is_doc()).select(*S.TIE_BREAK, "stored_in", "vector"), vector, limit)
     return S.doc_results(with_content(store, winners)).orderBy("rank")
 
 

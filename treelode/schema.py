@@ -27,9 +27,11 @@ CHUNKS = T.StructType([
 ])
 
 # `hash` is the digest of the file text a chunk was cut from; the state rows are derived from it.
+# `reason` says why a chunk has no vector.
 STORED_CHUNKS = T.StructType(CHUNKS.fields + [
     T.StructField("hash", T.StringType(), False),
     T.StructField("vector", T.ArrayType(T.FloatType(), False), True),
+    T.StructField("reason", T.StringType(), True),
 ])
 
 META = T.StructType([

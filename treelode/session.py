@@ -62,15 +62,21 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Compute a small frame that several branches read, once, into the folder in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may leave it unset and gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = getattr(context, "_treelode_folder", None) or tempfile.mkdtemp(prefix="treelode-shared-")
+        context._treelode_folder = folder
+    return folder.rstrip("/")
 
-    Only a local session may leave that unset and gets a folder of its own.
-    """
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Compute a small frame that several branches read, once, into the shared folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treelode-checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()

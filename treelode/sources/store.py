@@ -1,32 +1,32 @@
-"""Stored chunks and state as Parquet tables with one small manifest per commit.
+"""Stored chunks and state as Parquet, copied on write by hash bucket of the path.
 
-A run writes only what changed, into folders of its own version: `changes`, `chunks` and `meta`. The
-manifest lists the versions that count. A row is live unless a later version changed or deleted its
-file, which reading settles with one anti join. Files are never rewritten in place, a run that dies
-leaves nothing visible, and losing an executor costs only the tasks it ran.
+    chunks/run=R/bucket=B/kind=K    rows of a bucket as run R left them
+    meta/run=R/bucket=B             state rows of the same files
+    snapshot/n=N                    which run each bucket is read from; written last, so it is the commit
+
+A run reads only the buckets that hold a changed path, drops the changed files from them with an anti join, adds what is new and
+writes those buckets anew. Readers open the folders that the newest finished snapshot names: rows need no
+version, readers no join, and nothing has to be compacted. A run that dies leaves no snapshot and so nothing visible. One run may
+write at a time; a second one that finds its snapshot number taken fails.
 """
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treelode import schema
-from treelode.operators.versions import live_rows, replaced_paths
+from treelode.operators.changes import meta_rows
 from treelode.sources.project import root_uri
 
-# Replaced paths are broadcast to readers up to this many bytes; beyond it the join shuffles. Indexing
-# compacts the store before readers would get there, or would have to list very many versions.
-BROADCAST_BYTES = 64 << 20
-MAX_VERSIONS = 64
-ROW_OVERHEAD = 64
-# A version that no manifest names is removed when it is a day old: no search or run takes that long.
+# A bucket is what one changed file costs to write again, and a task or a few write it.
+BUCKET_BYTES = 256 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 DEAD_AFTER_S = 24 * 3600
 
 CHANGES = T.StructType([
@@ -37,12 +37,12 @@ CHANGES = T.StructType([
     T.StructField("size", T.LongType()),
     T.StructField("change", T.StringType()),
 ])
-_VERSION = T.StructField("v", T.LongType())
+_PLACE = [T.StructField("run", T.LongType()), T.StructField("bucket", T.IntegerType())]
 _TABLES = {
-    "changes": T.StructType([*CHANGES.fields, _VERSION]),
-    "chunks": T.StructType([*schema.STORED_CHUNKS.fields, _VERSION, T.StructField("kind", T.StringType())]),
-    "meta": T.StructType([*schema.META.fields, _VERSION]),
+    "chunks": T.StructType([*schema.STORED_CHUNKS.fields, *_PLACE, T.StructField("kind", T.StringType())]),
+    "meta": T.StructType([*schema.META.fields, *_PLACE]),
 }
+_SNAPSHOT = "bucket int, chunks_run long, meta_run long, buckets int, dimensions int"
 
 
 class NoIndex(Exception):
@@ -54,12 +54,28 @@ class ConcurrentCommit(Exception):
 
 
 @dataclass(frozen=True)
-class Manifest:
-    sequence: int = 0
-    versions: tuple[int, ...] = ()
-    replaced_rows: int = 0
-    replaced_bytes: int = 0
+class Snapshot:
+    """Where each bucket is read from; a bucket without rows is not there."""
+
+    number: int = 0
+    buckets: int = LEAST_BUCKETS
     dimensions: int = 0
+    chunks: dict[int, int] = field(default_factory=dict)
+    meta: dict[int, int] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Written:
+    """`made` chunks came in, `kept` of them with a vector; `carried` are older rows that were written again."""
+
+    made: int = 0
+    kept: int = 0
+    carried: int = 0
+
+
+def buckets_for(size: int) -> int:
+    """How many buckets a new index of `size` bytes gets; they stay as many."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
 class ChunkStore:
@@ -67,155 +83,148 @@ class ChunkStore:
         self.spark = spark
         self.base = f"{root_uri(root)}/.vectors/store"
 
-    # -- manifest ---------------------------------------------------------------------------------
-
     def _hadoop(self, path: str):
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> Manifest | None:
-        """The newest manifest, or None before the first commit."""
-        folder, files = self._hadoop(f"{self.base}/manifest")
-        if not files.exists(folder):
-            return None
-        names = [status.getPath().getName() for status in files.listStatus(folder)]
-        numbers = sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[:-5].isdigit())
-        if not numbers:
-            return None
-        stream = files.open(self._hadoop(f"{self.base}/manifest/{numbers[-1]:010d}.json")[0])
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        found = json.loads(text)
-        return Manifest(**{**found, "versions": tuple(found["versions"])})
-
-    def commit(self, parent: Manifest | None, new: Manifest) -> Manifest:
-        """Publish `new` as the successor of `parent`; a rename that may not overwrite decides a race.
-
-        That holds on HDFS and mounted file systems. Where a rename is a copy, as on object stores, only one run may write.
-        """
-        new = replace(new, sequence=(parent.sequence if parent else 0) + 1)
-        jvm = self.spark.sparkContext._jvm
-        temporary, files = self._hadoop(f"{self.base}/manifest/.{new.sequence:010d}.{time.time_ns()}")
-        target, _ = self._hadoop(f"{self.base}/manifest/{new.sequence:010d}.json")
-        stream = files.create(temporary, False)
-        try:
-            stream.write(bytearray(json.dumps(asdict(new)).encode()))
-        finally:
-            stream.close()
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            temporary.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            if files.exists(target):
-                raise ConcurrentCommit(f"sequence {new.sequence} is taken")
-            context.rename(temporary, target, options)
-        except ConcurrentCommit:
-            files.delete(temporary, False)
-            raise
-        except Exception as error:
-            files.delete(temporary, False)
-            raise ConcurrentCommit(f"sequence {new.sequence} is taken") from error
-        return new
-
-    def next_version(self, parent: Manifest | None) -> int:
-        """Later than every committed version even if clocks differ, and distinct between runs."""
-        return max([time.time_ns() // 1000, *((v + 1) for v in (parent.versions if parent else ()))])
-
-    # -- tables -----------------------------------------------------------------------------------
-
-    def write(self, table: str, rows: DataFrame, version: int, partition: str | None = None) -> None:
-        writer = rows.write.mode("errorifexists")
-        if partition:
-            writer = writer.partitionBy(partition)
-        if table == "chunks":  # lets a lookup of a few ids skip nearly every row group
-            writer = writer.option("parquet.bloom.filter.enabled#id", "true")
-        writer.parquet(f"{self.base}/{table}/v={version}")
-
-    def version(self, table: str, version: int) -> DataFrame:
-        """What one run wrote, committed or not."""
-        return self._read(table, [version])
-
-    def discard(self, version: int) -> None:
-        """Remove what a run wrote that will not be committed."""
-        for table in _TABLES:
-            folder, files = self._hadoop(f"{self.base}/{table}/v={version}")
-            files.delete(folder, True)
+    def _numbers(self, folder: str, name: str) -> list[int]:
+        """Numbers n of the folders `name`=n directly below."""
+        target, files = self._hadoop(folder)
+        if not files.exists(target):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(target)]
+        return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
+
+    # -- snapshots --------------------------------------------------------------------------------
+
+    def snapshot(self) -> Snapshot | None:
+        """The newest finished snapshot, at most MOST_BUCKETS rows, or None before the first commit."""
+        for number in reversed(self._numbers(f"{self.base}/snapshot", "n")):
+            done, files = self._hadoop(f"{self.base}/snapshot/n={number}/_SUCCESS")
+            if files.exists(done):
+                rows = self.spark.read.schema(_SNAPSHOT).parquet(f"{self.base}/snapshot/n={number}").collect()
+                return Snapshot(number, rows[0].buckets, rows[0].dimensions, {r.bucket: r.chunks_run for r in rows if r.chunks_run},
+                                {r.bucket: r.meta_run for r in rows if r.meta_run})
+        return None
+
+    def _publish(self, now: Snapshot) -> None:
+        places = sorted({-1, *now.chunks, *now.meta})  # -1 keeps the numbers of an index without rows
+        rows = [(b, now.chunks.get(b), now.meta.get(b), now.buckets, now.dimensions) for b in places]
+        if now.number in self._numbers(f"{self.base}/snapshot", "n"):
+            raise ConcurrentCommit(f"snapshot {now.number} is taken")
+        self.spark.createDataFrame(rows, _SNAPSHOT).coalesce(1).write.mode("errorifexists").parquet(f"{self.base}/snapshot/n={now.number}")
+
+    def next_run(self, parent: Snapshot | None) -> int:
+        """Later than every run of the snapshot even if clocks differ."""
+        return max([time.time_ns() // 1000, *(run + 1 for run in (*parent.chunks.values(), *parent.meta.values()))] if parent else [time.time_ns() // 1000])
+
+    # -- reading ----------------------------------------------------------------------------------
+
+    def _read(self, table: str, places: dict[int, int]) -> DataFrame:
+        """Rows of some buckets, each as one run left it. Only their folders are listed."""
+        if not places:
+            return self.spark.createDataFrame([], _TABLES[table])
+        reader = self.spark.read.schema(_TABLES[table]).option("basePath", f"{self.base}/{table}")
+        return reader.parquet(*[f"{self.base}/{table}/run={run}/bucket={bucket}" for bucket, run in sorted(places.items())])
 
-    def remove_dead(self, older_than_s: float = DEAD_AFTER_S) -> int:
-        """Remove versions that no reader of the newest manifest opens, once they are older than any reader or run may be.
+    def _now(self, snapshot: Snapshot | None) -> Snapshot:
+        found = snapshot or self.snapshot()
+        if found is None:
+            raise NoIndex(self.base)
+        return found
 
-        Deleted and replaced texts leave the disk this way after a compaction. Returns how many versions went.
+    def chunks(self, kind: str | None = None, snapshot: Snapshot | None = None) -> DataFrame:
+        """Chunks with a vector; `kind` is code or docs and prunes partitions.
+
+        `stored_in` names the Parquet file of a row, so that `rows_in` can go back to a few of them.
         """
-        now = self.manifest()
-        if now is None:
-            raise NoIndex(self.base)
-        limit, dead = time.time_ns() // 1000 - int(older_than_s * 1e6), set()
-        for table in _TABLES:
-            folder, files = self._hadoop(f"{self.base}/{table}")
-            names = [status.getPath().getName() for status in files.listStatus(folder)]
-            found = {int(name[2:]) for name in names if name.startswith("v=") and name[2:].isdigit()}
-            dead |= {v for v in found - set(now.versions) if v < limit}
-        for version in dead:
-            self.discard(version)
-        return len(dead)
-
-    def _read(self, table: str, versions: Sequence[int]) -> DataFrame:
-        """Only the folders of the versions are listed; `v` is a constant of each."""
-        reader = self.spark.read.schema(_TABLES[table]).option("basePath", f"{self.base}/{table}")
-        rows = reader.parquet(*[f"{self.base}/{table}/v={version}" for version in versions])
-        return rows.withColumn("stored_in", F.col("_metadata.file_path")) if table == "chunks" else rows
+        places = self._now(snapshot).chunks
+        rows = self._read("chunks", places)
+        rows = rows.withColumn("stored_in", F.col("_metadata.file_path") if places else F.lit(None).cast("string"))
+        return rows.where(F.col("kind") == kind) if kind else rows.where(F.col("kind") != "failed")
+
+    def rejected(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """Chunks that the embedder refused, with the reason."""
+        return self._read("chunks", self._now(snapshot).chunks).where("kind = 'failed'").select("file_path", "id", "name", "line_start", "line_end", "reason")
+
+    def meta(self, snapshot: Snapshot | None = None) -> DataFrame:
+        return self._read("meta", self._now(snapshot).meta).drop("run", "bucket")
 
     def rows_in(self, files: Sequence[str]) -> DataFrame:
         """All chunk rows of some Parquet files, as `stored_in` names them."""
         reader = self.spark.read.schema(_TABLES["chunks"]).option("basePath", f"{self.base}/chunks")
         return reader.parquet(*sorted({unquote(file) for file in files}))
 
-    def live(self, table: str, path: str, manifest: Manifest | None = None) -> DataFrame:
-        """Rows whose file no later version changed or deleted."""
-        manifest = manifest or self.manifest()
-        if manifest is None:
-            raise NoIndex(self.base)
-        versions = list(manifest.versions)
-        rows = self._read(table, versions)
-        if manifest.replaced_rows == 0:
-            return rows
-        replaced = replaced_paths(self._read("changes", versions))
-        if manifest.replaced_bytes <= BROADCAST_BYTES:
-            replaced = F.broadcast(replaced)
-        return live_rows(rows, replaced, path)
-
-    def chunks(self, kind: str | None = None, manifest: Manifest | None = None) -> DataFrame:
-        """Live chunks with a vector; `kind` is code or docs and prunes partitions.
+    # -- writing ----------------------------------------------------------------------------------
 
-        `stored_in` names the Parquet file of a row, so that `rows_in` can go back to a few of them.
+    def stage(self, changes: DataFrame, run: int) -> DataFrame:
+        """Keep what a run found, so that its later steps all see one listing; read back."""
+        changes.select(*CHANGES.names).write.mode("errorifexists").parquet(f"{self.base}/changes/run={run}")
+        return self.spark.read.schema(CHANGES).parquet(f"{self.base}/changes/run={run}")
+
+    def discard(self, run: int) -> None:
+        """Remove what a run wrote that will not be committed."""
+        for table in ("changes", *_TABLES):
+            folder, files = self._hadoop(f"{self.base}/{table}/run={run}")
+            files.delete(folder, True)
+
+    def commit(self, parent: Snapshot | None, run: int, changed: DataFrame, fresh: DataFrame, dimensions: int, size: int = 0) -> Written:
+        """Replace the files of `changed` (relative_path) by the chunks of `fresh`, and publish.
+
+        A deleted file has no fresh chunks. Rows are counted while they are written.
         """
-        rows = self.live("chunks", "file_path", manifest)
-        return rows.where(F.col("kind") == kind) if kind else rows.where(F.col("kind") != "failed")
+        old = parent or Snapshot(buckets=buckets_for(size))
+
+        def bucket(path: str) -> Column:
+            return F.pmod(F.xxhash64(path), F.lit(old.buckets)).cast("int").alias("bucket")
+
+        paths = changed.select("relative_path").distinct()
+        touched = {row.bucket for row in paths.select(bucket("relative_path")).distinct().collect()}
+        counted = Observation()
+        marked = stored_form(fresh).select(*schema.STORED_CHUNKS.names, "kind", F.lit(True).alias("new"))
+        carried = self._read("chunks", {b: r for b, r in old.chunks.items() if b in touched})
+        carried = carried.join(paths, F.col("file_path") == F.col("relative_path"), "left_anti")
+        rows = carried.select(*schema.STORED_CHUNKS.names, "kind", F.lit(False).alias("new")).unionByName(marked)
+        # Counted behind the exchange, where a task that runs again is not counted again.
+        rows = rows.withColumn("bucket", bucket("file_path")).hint("rebalance", "bucket").observe(
+            counted, F.count_if("new").alias("made"), F.count_if(F.col("new") & (F.col("kind") != "failed")).alias("kept"), F.count_if(~F.col("new")).alias("carried"))
+        writer = rows.drop("new").write.mode("errorifexists").partitionBy("bucket", "kind")
+        # Lets a lookup of a few ids skip nearly every row group.
+        writer.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.base}/chunks/run={run}")
+        chunks = dict.fromkeys(self._numbers(f"{self.base}/chunks/run={run}", "bucket"), run)
+
+        state = self._read("meta", {b: r for b, r in old.meta.items() if b in touched}).join(paths, "relative_path", "left_anti").drop("run", "bucket")
+        written = self._read("chunks", chunks).where("kind <> 'failed'").join(paths, F.col("file_path") == F.col("relative_path"), "left_semi")
+        state = state.unionByName(meta_rows(written)).withColumn("bucket", bucket("relative_path"))
+        state.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.base}/meta/run={run}")
+        meta = dict.fromkeys(self._numbers(f"{self.base}/meta/run={run}", "bucket"), run)
+
+        left = lambda places: {b: r for b, r in places.items() if b not in touched}
+        self._publish(Snapshot(old.number + 1, old.buckets, dimensions or old.dimensions, left(old.chunks) | chunks, left(old.meta) | meta))
+        return Written(**counted.get)
 
-    def meta(self, manifest: Manifest | None = None) -> DataFrame:
-        return self.live("meta", "relative_path", manifest).drop("v")
-
-    def compact_if_due(self) -> bool:
-        now = self.manifest()
-        due = now is not None and (now.replaced_bytes > BROADCAST_BYTES or len(now.versions) > MAX_VERSIONS)
-        if due:
-            self.compact()
-            self.remove_dead()
-        return due
-
-    def compact(self) -> Manifest:
-        """Copy the live rows into one version, so that readers need no anti join any more."""
-        parent = self.manifest()
-        if parent is None:
-            raise NoIndex(self.base)
-        version = self.next_version(parent)
-        chunks = self.chunks(manifest=parent).drop("v", "stored_in")
-        # Close paths end up in the same row groups; the sort key spreads a crowded file too.
-        chunks = chunks.repartitionByRange("kind", "file_path", "line_start").sortWithinPartitions("kind", "file_path", "line_start")
-        self.write("chunks", chunks, version, "kind")
-        self.write("meta", self.meta(parent), version)
-        self.write("changes", self.spark.createDataFrame([], CHANGES), version)
-        return self.commit(parent, replace(parent, versions=(version,), replaced_rows=0, replaced_bytes=0))
+    def remove_dead(self, older_than_s: float = DEAD_AFTER_S) -> int:
+        """Remove buckets that the newest snapshot does not read, once they are older than any reader or run may be.
+
+        Deleted and replaced texts leave the disk this way. Returns how many folders went.
+        """
+        now, removed = self._now(None), 0
+        limit = time.time_ns() // 1000 - int(older_than_s * 1e6)
+        for table, places in (("chunks", now.chunks), ("meta", now.meta), ("changes", {})):
+            for run in self._numbers(f"{self.base}/{table}", "run"):
+                buckets = [f"/bucket={b}" for b in self._numbers(f"{self.base}/{table}/run={run}", "bucket") if places.get(b) != run] or ([""] if not places else [])
+                for dead in buckets if run < limit else ():
+                    folder, files = self._hadoop(f"{self.base}/{table}/run={run}{dead}")
+                    removed += bool(files.delete(folder, True))
+        return removed
+
+
+def stored_form(embedded: DataFrame) -> DataFrame:
+    """Add the storage partition: code, docs, or failed for a chunk without a vector."""
+    kind = (
+        F.when(F.col("vector").isNull(), "failed")
+        .when(F.col("chunk_type") == "doc_section", "docs")
+        .otherwise("code")
+    )
+    return embedded.withColumn("kind", kind)
