@@ -293,6 +293,12 @@ every AS (
   UNION ALL SELECT 'module', 1, n + {_GO_FIXED} FROM parts WHERE n + {_GO_FIXED} <= 50)
 SELECT chunk_type, line_start, line_end, count(*) AS chunks FROM every GROUP BY ALL"""
 
+_SQL["chunk_registered"] = f"""WITH {_LONG},
+raw AS (SELECT file_path, unnest(string_split(content, {NL})) AS line, generate_subscripts(string_split(content, {NL}), 1) AS n FROM files)
+SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY n) - 1 AS INT) AS ordinal, 'L' || n AS name,
+  CAST(n AS INT) AS line_start, CAST(n AS INT) AS line_end, md5(line) AS body_md5
+FROM raw WHERE trim(line, ' ') <> ''"""
+
 # -- stored tables ----------------------------------------------------------------------------------
 
 _STATE = f"""{_CHANGED}, files AS (
@@ -311,5 +317,21 @@ SELECT (SELECT count(*) FROM changed WHERE change IN ('added', 'modified')) AS f
   (SELECT count(*) FROM changed WHERE change = 'deleted') AS files_deleted, (SELECT count(*) FROM windows) AS chunks_created"""
 
 
+_TREE = """files AS (SELECT doc_id, 'src/' || source || '/' || doc_id || '.sql' AS file_path,
+  text || CASE WHEN {changed} THEN chr(10) || 'more' ELSE '' END AS content FROM documents WHERE {where})"""
+_SECOND = _TREE.format(changed="doc_id % 3 = 0", where="doc_id % 10 <> 7")
+_SQL["index_state"] = f"""WITH {_windows(_SECOND, _BASE)}
+SELECT file_path AS relative_path, hash, md5(string_agg({_ID}, '|' ORDER BY line_start)) AS ids_md5, count(*) AS stored, count(*) AS embedded
+FROM windows GROUP BY file_path, hash"""
+_SQL["index_totals"] = f"""
+SELECT 1 AS run, (SELECT count(*) FROM documents) AS files_processed,
+  (WITH {_windows(_TREE.format(changed='false', where='true'), _BASE)} SELECT count(*) FROM windows) AS chunks_created, 0 AS files_deleted,
+  (WITH {_windows(_TREE.format(changed='false', where='true'), _BASE)} SELECT count(*) FROM windows) AS chunks_embedded
+UNION ALL SELECT 2, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 10 <> 7),
+  (WITH {_windows(_TREE.format(changed='true', where='doc_id % 3 = 0 AND doc_id % 10 <> 7'), _BASE)} SELECT count(*) FROM windows),
+  (SELECT count(*) FROM documents WHERE doc_id % 10 = 7),
+  (WITH {_windows(_TREE.format(changed='true', where='doc_id % 3 = 0 AND doc_id % 10 <> 7'), _BASE)} SELECT count(*) FROM windows)"""
+
+
 def statements() -> dict[str, str]:
     return dict(_SQL)

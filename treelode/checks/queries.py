@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,11 @@ from treelode.operators import outline as O
 from treelode.operators import search as S
 from treelode.operators import tree as T
 from treelode.functions.vectors import squared_l2
+from treelode.operators.chunkers import Chunkers
 from treelode.operators.embedding import HashingEmbedder, embed_chunks
 from treelode.operators.knn_join import COSINE, nearest_join
-from treelode.plans.tools import with_content
+from treelode.plans.reindex import Totals
+from treelode.plans.tools import reindex, with_content
 from treelode.session import settle, shared_folder, ship_package, spread
 from treelode.sources import project as P
 from treelode.sources.store import CHANGES, ChunkStore, Written
@@ -234,6 +236,22 @@ def chunk_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.groupBy("chunk_type", "line_start", "line_end").agg(F.count("*").alias("chunks"))
 
 
+def _line_chunks(path: str, text: str) -> Iterator[tuple]:
+    """Every line that is not blank."""
+    for n, line in enumerate(text.split("\n"), 1):
+        if line.strip(" "):
+            yield "function", f"L{n}", line, n, n
+
+
+def chunk_registered(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents cut by a registered function, called from SQL."""
+    own = Chunkers()
+    own.register(".sql", _line_chunks)
+    own.install(spark)
+    found = spark.sql("SELECT f.file_path, c.* FROM {files} f, LATERAL own_chunks(f.file_path, f.content) c", files=V.long_files(spark, folder))
+    return found.select("file_path", "ordinal", "name", "line_start", "line_end", F.md5("body").alias("body_md5"))
+
+
 def warning_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = O.warnings_of(F.col("content"), F.col("extension"))
     return V.marked_files(spark, folder).select("file_path", F.explode(found).alias("warning"))
@@ -319,6 +337,32 @@ def delete_by_path(spark: SparkSession, folder: str) -> DataFrame:
     return store.chunks().select("file_path", "name", "line_start", "line_end")
 
 
+def _indexed(spark: SparkSession, folder: str) -> tuple[ChunkStore, list[Totals]]:
+    """Documents as a tree of files, indexed by the tool; then every third file changed and every tenth removed, and indexed again."""
+    root, embedder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}", HashingEmbedder(16)
+    files = V.table(spark, folder, "documents").select("doc_id", F.expr("concat('src/', source, '/', doc_id, '.sql')").alias("relative_path"), F.col("text").alias("content"))
+    V.write_tree(files, root)
+    totals = [reindex(spark, root, embedder).totals]
+    changed = F.when(F.col("doc_id") % 10 != 7, F.concat("content", F.lit("\nmore")))
+    V.write_tree(files.where("doc_id % 3 = 0 OR doc_id % 10 = 7").withColumn("content", changed), root)
+    return ChunkStore(spark, root), [*totals, reindex(spark, root, embedder).totals]
+
+
+def index_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State rows after both runs, with the chunks that the store holds for each file."""
+    store, _ = _indexed(spark, folder)
+    held = store.chunks().groupBy(F.col("file_path").alias("relative_path")).agg(F.count("*").alias("stored"), F.count("vector").alias("embedded"))
+    return store.meta().join(held, "relative_path", "full_outer").select(
+        "relative_path", "hash", F.md5(joined(F.col("chunk_ids"))).alias("ids_md5"), "stored", "embedded")
+
+
+def index_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the tool reports for both runs."""
+    _, totals = _indexed(spark, folder)
+    rows = [(n, t.files_processed, t.chunks_created, t.files_deleted, t.chunks_embedded) for n, t in enumerate(totals, 1)]
+    return spark.createDataFrame(rows, "run int, files_processed long, chunks_created long, files_deleted long, chunks_embedded long")
+
+
 def meta_rollup(spark: SparkSession, folder: str) -> DataFrame:
     # Dealt by path before they are cut: cutting keeps that, so the grouping needs no shuffle of its own.
     by_path = lambda scan: scan.repartition("file_path")
@@ -338,8 +382,8 @@ QUERIES: dict[str, Query] = {
         knn_search_code, knn_search_docs, knn_ext_postfilter, knn_batch, knn_cosine, preview, embed_documents, search_text,
         scan_filter, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
         change_detect, change_summary, deleted_paths, chunk_small, chunk_fixed, chunk_headings, chunk_symbols,
-        chunk_dispatch, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,
-        chunk_header, search_store, store_state, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals)
+        chunk_dispatch, chunk_registered, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,
+        chunk_header, search_store, store_state, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals, index_state, index_totals)
 }
 QUERIES["knn_ext_exact"] = partial(knn_ext_postfilter, exact=True)
 QUERIES.update({f"symbols_{language}": partial(symbols, language) for language in V.SAMPLES})

@@ -4,14 +4,16 @@ One table row becomes one file, so no view groups rows and none depends on how k
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions import text as X
 from treelode.session import spread
+from treelode.sources import project as P
 from treelode.sources.tree import category_of
 
 
@@ -112,6 +114,24 @@ def query_vectors(spark: SparkSession, folder: str, *ids: int) -> list[tuple[int
     return sorted((r["vec_id"], list(r["vector"])) for r in rows)
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write files (relative_path, content) below a root, or remove them where content is null; tasks do it. How many."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = P.open_root(root)
+        for batch in batches:
+            for path, text in zip(batch.column("relative_path").to_pylist(), batch.column("content").to_pylist()):
+                if text is None:
+                    filesystem.delete_file(f"{base}/{path}")
+                    continue
+                filesystem.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with filesystem.open_output_stream(f"{base}/{path}") as stream:
+                    stream.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return files.select("relative_path", "content").mapInArrow(rows, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def old_state(spark: SparkSession, folder: str) -> DataFrame:
     """What was indexed: before German documents were added, and with two sources in another wording."""
     files = doc_files(spark, folder).where("lang <> 'de'")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treelode.functions import text as X
 from treelode.functions.statements import LANGUAGE_OF
+from treelode.operators.chunkers import Chunkers
 from treelode.operators.outline import with_structure
 
 def _part(kind, name: Column, body: Column, first: Column, last: Column) -> Column:
@@ -77,7 +78,11 @@ def _explode(files: DataFrame, parts: Column, header: Column) -> DataFrame:
     The header joins its chunks after the explode: a file with many names has a long one, and the row
     of the file should not hold it once per chunk.
     """
-    spread = files.select("file_path", "hash", header.alias("header"), F.posexplode(parts).alias("ordinal", "part"))
+    return _identified(files.select("file_path", "hash", header.alias("header"), F.posexplode(parts).alias("ordinal", "part")))
+
+
+def _identified(spread: DataFrame) -> DataFrame:
+    """Chunk rows of (file_path, hash, header, ordinal, part)."""
     identity = F.concat_ws("\x00", "file_path", "hash", F.col("ordinal").cast("string"),
                            X.line_label(F.col("part.line_start"), F.col("part.line_end")))
     section = F.when(F.col("part.chunk_type") == "doc_section", F.concat(F.lit("\n// Section: "), F.col("part.name")))
@@ -116,11 +121,20 @@ def chunk_symbols(files: DataFrame) -> DataFrame:
     return _explode(found, parts, _code_header())
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """Dispatch on category and extension in a single pass over `files`.
+def chunk_own(files: DataFrame, own: Chunkers) -> DataFrame:
+    """Files that a registered chunker cuts."""
+    part = F.struct("chunk_type", "name", "body", "line_start", "line_end")
+    return _identified(own.cut(_prepared(files)).select("file_path", "hash", _file_header().alias("header"), "ordinal", part.alias("part")))
+
+
+def chunk_files(files: DataFrame, own: Chunkers | None = None) -> DataFrame:
+    """Dispatch on category and extension in a single pass over `files`; registered chunkers come before the built-in rules.
 
     Input columns: file_path, extension, category, content and optionally hash.
     """
+    if own and own.extensions:
+        mine = F.col("extension").isin(own.extensions)
+        return chunk_own(files.where(mine), own).unionByName(chunk_files(files.where(~mine)))
     docs = F.col("category") == "docs"
     code = F.col("extension").isin(*LANGUAGE_OF) & F.col("symbols").isNotNull()
     found = with_structure(_prepared(files)).withColumn("starts", F.when(docs, heading_starts(F.col("lines"))))

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from treelode.operators.changes import change_counts, detect_changes
+from treelode.operators.chunkers import Chunkers
 from treelode.operators.chunking import chunk_files
 from treelode.operators.embedding import Embedder, embed_chunks
 from treelode.sources import project as P
@@ -24,15 +25,15 @@ class Totals:
     chunks_embedded: int = 0
 
 
-def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
-    """Index what was added, modified or deleted since the last commit.
+def reindex(spark: SparkSession, root: str, embedder: Embedder, own: Chunkers | None = None) -> Totals:
+    """Index what was added, modified or deleted since the last commit. Files that chunkers of `own` cut count as code.
 
     Nothing shows before the one commit at the end, so a run that fails can simply be started again.
     """
     store = ChunkStore(spark, root)
     parent = store.snapshot()
     run = store.next_run(parent)
-    files = scan_files(spark, root, P.load_config(root))
+    files = scan_files(spark, root, P.load_config(root), own.extensions if own else ())
 
     # Later steps read this table back instead of listing and hashing the tree again.
     if parent is None:
@@ -53,7 +54,7 @@ def reindex(spark: SparkSession, root: str, embedder: Embedder) -> Totals:
             raise ValueError(f"the index holds vectors of {parent.dimensions} numbers, not {embedder.dimensions}")
     tasks = read_tasks(spark, processed, counts["read_bytes"])
     texts = with_contents(changes.where("change in ('added', 'modified')"), root, tasks)
-    chunks = embed_chunks(chunk_files(texts.withColumnRenamed("relative_path", "file_path")), embedder)
+    chunks = embed_chunks(chunk_files(texts.withColumnRenamed("relative_path", "file_path"), own), embedder)
     written = store.commit(parent, run, changes, chunks, embedder.dimensions if processed else 0, counts["read_bytes"])
     store.remove_dead()
     return Totals(processed, written.made, counts["deleted"], written.kept)

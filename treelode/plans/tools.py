@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from treelode.operators import search as S
 from treelode.operators import tree as T
+from treelode.operators.chunkers import Chunkers
 from treelode.operators.embedding import Embedder, checked
 from treelode.operators.outline import file_outline, symbol_source
 from treelode.plans.reindex import Totals
@@ -122,12 +123,12 @@ class ReindexResult:
     message: str
 
 
-def reindex(spark: SparkSession, root: str, embedder: Embedder, enable_auto_index: bool | None = None) -> ReindexResult:
-    """Index changed files. An explicit flag is saved first; the first success without one turns it on."""
+def reindex(spark: SparkSession, root: str, embedder: Embedder, enable_auto_index: bool | None = None, own: Chunkers | None = None) -> ReindexResult:
+    """Index changed files, those of registered chunkers among them. An explicit flag is saved first; the first success without one turns it on."""
     ship_package(spark)
     if enable_auto_index is not None:
         P.save_rc(root, P.Rc(enable_auto_index))
-    totals = run_reindex(spark, root, embedder)
+    totals = run_reindex(spark, root, embedder, own)
     rc = P.load_rc(root)
     if totals.files_processed > 0 and enable_auto_index is None and not rc.auto_index:
         rc = P.Rc(True)

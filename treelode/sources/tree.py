@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -109,30 +109,30 @@ def list_tree(spark: SparkSession, root: str, config: P.Config) -> DataFrame:
             return files
 
 
-def category_of(extension: Column) -> Column:
+def category_of(extension: Column, more_code: Sequence[str] = ()) -> Column:
     """code, docs, or null for an extension that is not supported. Case matters."""
-    return F.when(extension.isin(*P.CODE_EXTENSIONS), "code").when(extension.isin(*P.DOC_EXTENSIONS), "docs")
+    return F.when(extension.isin(*P.CODE_EXTENSIONS, *more_code), "code").when(extension.isin(*P.DOC_EXTENSIONS), "docs")
 
 
-def select_files(paths: DataFrame, config: P.Config, rules: list[tuple[str, bool]]) -> DataFrame:
+def select_files(paths: DataFrame, config: P.Config, rules: list[tuple[str, bool]], more_code: Sequence[str] = ()) -> DataFrame:
     """Include and exclude globs, ignore rules, extension and category over `relative_path`."""
     path = X.normal_path(F.col("relative_path"))
     return (
         paths.withColumn("relative_path", path)
         .withColumn("extension", X.extension_of(F.col("relative_path")))
-        .withColumn("category", category_of(F.col("extension")))
+        .withColumn("category", category_of(F.col("extension"), more_code))
         .where(F.col("category").isNotNull())
         .where(globs.included(F.col("relative_path"), config.include, config.exclude))
         .where(~globs.ignored(F.col("relative_path"), rules))
     )
 
 
-def scan_files(spark: SparkSession, root: str, config: P.Config | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, config: P.Config | None = None, more_code: Sequence[str] = ()) -> DataFrame:
     """absolute_path, relative_path, extension, category, size of the files of a project."""
     config = config or P.load_config(root)
     rules = globs.ignore_rules(P.ignore_lines(root))
     _, base = P.open_root(root)
-    found = select_files(list_tree(spark, root, config), config, rules)
+    found = select_files(list_tree(spark, root, config), config, rules, more_code)
     return found.select(F.concat(F.lit(f"{base}/"), F.col("relative_path")).alias("absolute_path"),
                         "relative_path", "extension", "category", "size")
 
