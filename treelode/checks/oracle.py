@@ -293,6 +293,11 @@ every AS (
   UNION ALL SELECT 'module', 1, n + {_GO_FIXED} FROM parts WHERE n + {_GO_FIXED} <= 50)
 SELECT chunk_type, line_start, line_end, count(*) AS chunks FROM every GROUP BY ALL"""
 
+_SQL["tree_source"] = """
+SELECT 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS relative_path, '.md' AS extension, octet_length(encode(text)) AS size,
+  sha256(text) AS hash, md5(text) AS content_md5
+FROM documents WHERE lang IN ('de', 'en')"""
+
 _SQL["chunk_registered"] = f"""WITH {_LONG},
 raw AS (SELECT file_path, unnest(string_split(content, {NL})) AS line, generate_subscripts(string_split(content, {NL}), 1) AS n FROM files)
 SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY n) - 1 AS INT) AS ordinal, 'L' || n AS name,

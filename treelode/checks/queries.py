@@ -23,6 +23,7 @@ from treelode.operators.knn_join import COSINE, nearest_join
 from treelode.plans.reindex import Totals
 from treelode.plans.tools import reindex, with_content
 from treelode.session import settle, shared_folder, ship_package, spread
+from treelode.sources import datasource
 from treelode.sources import project as P
 from treelode.sources.store import CHANGES, ChunkStore, Written
 from treelode.sources.tree import category_of, select_files
@@ -153,6 +154,15 @@ def scan_filter(spark: SparkSession, folder: str) -> DataFrame:
     return select_files(V.shaped_paths(spark, folder), P.Config(), rules).select("relative_path", "extension", "category")
 
 
+def tree_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files, read back through the data source."""
+    root = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    V.write_tree(V.doc_files(spark, folder), root)
+    datasource.install(spark)
+    files = spark.read.format(datasource.NAME).option("root", root).option("include", "docs/*/de/*.md\ndocs/*/en/**").option("contents", "true").load()
+    return files.select("relative_path", "extension", "size", "hash", F.md5("content").alias("content_md5"))
+
+
 def categorise(spark: SparkSession, folder: str) -> DataFrame:
     extension = X.extension_of(F.col("relative_path"))
     typed = V.shaped_paths(spark, folder).select(extension.alias("extension"), category_of(extension).alias("category"))
@@ -380,7 +390,7 @@ def reindex_totals(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         knn_search_code, knn_search_docs, knn_ext_postfilter, knn_batch, knn_cosine, preview, embed_documents, search_text,
-        scan_filter, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
+        scan_filter, tree_source, categorise, file_tree, tree_stats, directory_counts, category_counts, content_hash, line_counts,
         change_detect, change_summary, deleted_paths, chunk_small, chunk_fixed, chunk_headings, chunk_symbols,
         chunk_dispatch, chunk_registered, warning_lines, html_outline, file_imports, file_outline, symbol_source, symbol_context,
         chunk_header, search_store, store_state, upsert_snapshot, delete_by_path, meta_rollup, reindex_totals, index_state, index_totals)
