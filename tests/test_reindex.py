@@ -347,6 +347,16 @@ def test_structure_messages(spark, tree):
         A.answer(spark, root, DIM, "drop_everything")
 
 
+def test_tree_message_is_written_by_tasks_file_by_file(spark, tree):
+    names = ["src/a.py", "src/b b.ts", 'src/q"uote.py', "src/ü/日本.md", "src/ü/[x].md", "docs/in/deep/g.md"]
+    root = tree({name: "x" for name in names})
+    parts = list(A._say_tree(*A.get_file_tree(spark, root), root))
+    assert len(parts) == len(names) + 2
+    assert json.loads("".join(parts))["tree"] == {
+        "docs/in/deep": ["g.md"], "src": sorted(["a.py", "b b.ts", 'q"uote.py']), "src/ü": sorted(["[x].md", "日本.md"])}
+    assert json.loads("".join(A._say_tree(*A.get_file_tree(spark, root + "/none"), root)))["tree"] == {}
+
+
 def test_auto_index(spark, tree):
     root = tree({"src/a.py": "x"})
     assert A.auto_index(spark, root, DIM) is None

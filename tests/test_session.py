@@ -1,7 +1,7 @@
 """Session helpers."""
 from pyspark.sql import functions as F
 
-from treelode.session import settle, ship_package, spread
+from treelode.session import settle, shared_folder, ship_package, spread
 
 
 def test_spread_adds_tasks_only_where_they_are_missing(spark, tmp_path):
@@ -23,3 +23,22 @@ def test_package_is_shipped_once(spark):
     before = set(spark.sparkContext.listFiles)
     ship_package(spark)
     assert set(spark.sparkContext.listFiles) == before and any(f.endswith("treelode.zip") for f in before)
+
+
+def test_a_cluster_must_name_the_shared_folder(spark):
+    assert shared_folder(spark) == shared_folder(spark)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    import pytest
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared/x/"}
+    assert shared_folder(Session()) == "/shared/x"

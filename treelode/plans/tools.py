@@ -3,11 +3,11 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelode.operators import search as S
@@ -200,13 +200,18 @@ def _say_reindex(done: ReindexResult) -> dict:
             "message": done.message}
 
 
-def _say_tree(tree: DataFrame, stats: DataFrame, root: str) -> dict:
-    """One JSON text by its nature: the rows come to the driver one partition at a time."""
-    counts = _rows(stats)[0]
-    folders: dict[str, list[str]] = {}
-    for row in tree.toLocalIterator():
-        folders.setdefault(row["dir"], []).append(row["file"])
-    return {"project": root, **counts, "tree": folders}
+def _say_tree(tree: DataFrame, stats: DataFrame, root: str) -> Iterator[str]:
+    """Parts of the JSON text, a file each: tasks write them, in order, and the driver holds one at a time."""
+    yield json.dumps({"project": root, **_rows(stats)[0]}, ensure_ascii=False)[:-1] + ', "tree": {'
+    inside = Window.partitionBy("dir").orderBy("file")
+    quoted = lambda name: F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]$", 1)
+    opens, closes = F.row_number().over(inside) == 1, F.lead("file").over(inside).isNull()
+    part = F.concat(F.when(opens, F.concat(quoted("dir"), F.lit(": ["))).otherwise(""), quoted("file"), F.when(closes, "]").otherwise(", "))
+    between = ""
+    for row in tree.select("dir", "file", opens.alias("opens"), part.alias("part")).orderBy("dir", "file").toLocalIterator():
+        yield (between if row.opens else "") + row.part
+        between = ", "
+    yield "}}"
 
 
 def _say_outline(outline: DataFrame) -> dict:
@@ -234,7 +239,7 @@ class Operation:
     name: str
     about: str
     parameters: dict[str, tuple[str, bool]]
-    run: Callable[..., dict]
+    run: Callable[..., dict | Iterator[str]]
 
 
 OPERATIONS = {op.name: op for op in (
@@ -265,7 +270,8 @@ def answer(spark: SparkSession, root: str | None, embedder: Embedder, name: str,
     try:
         root = root or P.find_project_root(".")
         said = OPERATIONS[name].run(spark, root, embedder, arguments or {})
-        return {"text": json.dumps(said, indent=2, ensure_ascii=False), "is_error": False}
+        text = json.dumps(said, indent=2, ensure_ascii=False) if isinstance(said, dict) else "".join(said)
+        return {"text": text, "is_error": False}
     except ToolError as error:
         text = error.payload if isinstance(error.payload, str) else json.dumps(error.payload, indent=2)
         return {"text": text, "is_error": True}
