@@ -43,7 +43,7 @@ def test_no_cross_join_and_no_repeated_python(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     python = len(re.findall("ArrowEvalPython|MapInArrow", plan))
-    assert python <= {"file_imports": 7, "search_text": 2}.get(name, 1)
+    assert python <= {"file_imports": 7, "search_text": 2, "knn_batch": 2, "knn_cosine": 2}.get(name, 1)
 
 
 @pytest.mark.parametrize("name", ["chunk_fixed", "chunk_headings", "warning_lines", "content_hash", "html_outline", "scan_filter"])
