@@ -184,8 +184,8 @@ def slow_shingles(text):
     return {tuple(words[n:n + 5]) for n in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("bucket_rows", [3, 64])
-def test_near_copies_against_brute_force(spark, documents, bucket_rows):
+@pytest.mark.parametrize("few", [3, 64])
+def test_near_copies_against_brute_force(spark, documents, few):
     """Edited copies of given documents, a crowded group, and texts that only share a part: as all pairs would link them."""
     seeded = random.Random(8)
     given = [(i, text) for i, text in pairs(documents)]
@@ -214,11 +214,31 @@ def test_near_copies_against_brute_force(spark, documents, bucket_rows):
         members[group].append(given[n][0])
     expected = sorted(min(ids, key=lambda i: math.inf if i is None else i) for ids in members.values())
     frame = spark.createDataFrame(given, "doc_id long, text string").withColumn("bucket", F.lit("x"))
-    kept = near_copies.one_of_each(frame, bucket_rows)
+    kept = near_copies.one_of_each(frame, few)
     assert kept.columns == frame.columns and sorted(row.doc_id for row in kept.collect()) == expected
     assert len(expected) < len(given) - 60
 
 
+def test_near_copies_of_odd_rows(spark, odd, empty):
+    kept = near_copies.one_of_each(odd)
+    assert kept.columns == odd.columns
+    # null, empty and blank texts are one; the repeated text is one
+    assert sorted((row.doc_id for row in kept.collect()), key=repr) == [1, 10, 11, 4, 5, 6, 7, 9, None]
+    assert near_copies.one_of_each(empty).collect() == []
+
+
+@pytest.mark.parametrize("shared, own, linked", [(200, 100, False), (200, 200, False), (240, 60, False), (285, 15, True)])
+def test_near_copies_of_shared_passages_end_soon(spark, shared, own, linked):
+    """Texts that share most of their words, all in each other's bands: few rounds, whether they are near copies or not."""
+    seeded = random.Random(shared)
+    base = " ".join(f"b{n}" for n in range(shared))
+    texts = [(n, base + " " + " ".join(f"o{seeded.getrandbits(40)}" for _ in range(own))) for n in range(1500)]
+    found, rounds = near_copies.links(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert rounds < 4 and (found.count() > 0) == linked
+    if linked:
+        assert simhash.components(found).count() == 1500
+
+
 # -- tokens -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,6 @@
 """What the operators share: the folder that all machines see, reliable cuts of lineage, and batches of bounded size."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -11,20 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelode.session import shared_folder
+
 SLICE_BYTES = 2 << 20
 """Text that a Python worker holds as objects at a time; a larger document makes a slice of its own."""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of this machine."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        folder = getattr(context, "_treelode_shared", None) or tempfile.mkdtemp(prefix="treelode-shared-")
-        context._treelode_shared = folder
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
