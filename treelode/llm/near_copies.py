@@ -125,8 +125,12 @@ def compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                      for n in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similar"])
 
+    # Spark knows the size of a stored table: where the pairs are few it broadcasts them, and only the sets they name are shuffled.
+    pairs = stored(pairs.distinct(), "near-pairs")
+    named = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest")))
+    sets = stored(sets.select("digest", "shingles").join(named, "digest", "left_semi"), "near-named")
     side = lambda key, name: sets.select(F.col("digest").alias(key), F.col("shingles").alias(name))
-    both = pairs.distinct().join(side("a", "left"), "a").join(side("b", "right"), "b")
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
     return stored(both.select("a", "b", "left", "right").mapInArrow(rows, LINK), "near-compared")
 
 
