@@ -6,14 +6,16 @@ left out of the counts that the estimates for it are made of (c(vw) - 1, c(v) -
 bucket and by the ratios of their estimates to the uniform one, in steps of 1 / STEPS of a power of two, with the mean of each step; the rounds
 run on that table, whose size does not depend on the input. Copies of a text count as they do in the estimates.
 
-Tokens and pairs of tokens are 64-bit hashes. Texts are dealt into blocks by a hash, and a block is one row group of the job:
+Tokens and pairs of tokens are 64-bit hashes. Texts travel in compressed slices of about two megabytes, dealt to blocks in turn, so that
+equal rows do not meet in one block. Blocks are as many as BLOCK_BYTES of text ask for, the session's shuffle partitions at
+least, and a block is one group of the job:
   1. each block sends every range of hashes one message: the sorted distinct hashes it has there, with its training counts;
   2. each range adds up the counts by hash and answers each block with the totals, in the order of its message;
   3. each block gives every text with the totals of its tokens and pairs, which are kept in the shared folder. From them
      the weights are learned and then the texts scored.
 Messages are arrays, so a hash costs about six bytes in the shuffle; texts are shuffled once and read by steps 1 and 3. A
-frequent token or pair is one entry per block and range. Ranges are as many as the session's shuffle partitions and blocks
-twice as many, so that setting bounds what a task holds: a block of texts, or a range of hashes.
+frequent token or pair is one entry per block and range. Ranges are as many as blocks, so a task holds a block of texts or a range of
+hashes, neither of which grows with the input; messages grow with the square of the blocks, a few million at 30 GB.
 
 Defined results: null and empty texts have only the end token; repeated rows each count and each have a row; rows without doc_id
 are training texts; without any training text N and V are 0 and all probability is uniform; an empty table gives an empty
@@ -21,21 +23,26 @@ table; other columns than doc_id and text are not looked at.
 """
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from treelode.llm.common import slices, stored, texts_of, whole_text
 
 FOLDS, HELD_OUT = 7, 2
 ROUNDS, STEPS, CODES, UNIT = 40, 8, 2048, 1 << 20
 BUCKETS = 40
+BLOCK_BYTES = 12 << 20
 WORDS_KEPT = 300_000
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b"\n", b"\t"))  # no word is white space
 MESSAGE = "range int, block int, keys binary, counts binary"
@@ -129,11 +136,27 @@ def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
+def dealt(texts: DataFrame, blocks: int) -> DataFrame:
+    """(block, rows): slices of (doc_id, text) as compressed Arrow streams, dealt in turn by every task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() * 7919  # tasks begin at different blocks
+        for batch in slices(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([number % blocks], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+            number += 1
+
+    return texts.select("doc_id", "text").mapInArrow(rows, "block int, rows binary")
+
+
 class Block:
     """Tokens of a block of texts, and its sorted distinct token and pair hashes with their training counts."""
 
     def __init__(self, table: pa.Table):
-        parts = [(tokens_of(texts_of(batch)), batch.column("doc_id").to_pylist()) for batch in slices(table.to_batches())]
+        batches = [batch for content in table["rows"].to_pylist() for batch in pa.ipc.open_stream(content)]
+        parts = [(tokens_of(texts_of(batch)), batch.column("doc_id").to_pylist()) for batch in batches]
         self.doc_ids = [doc_id for _, ids in parts for doc_id in ids]
         self.sizes = np.concatenate([sizes for (_, sizes), _ in parts])
         self.tokens = np.concatenate([tokens for (tokens, _), _ in parts])
@@ -252,20 +275,20 @@ def learned(texts: DataFrame, total: float, distinct: float, documents: float) -
     return weights_of(np.stack((*ratios, np.ones(len(cells))), axis=1), cells // CODES // CODES, tokens)
 
 
-def tallies(texts: DataFrame, ranges: int) -> tuple[float, float, float]:
-    """Training tokens N, distinct training tokens V, training texts."""
+def tallies(texts: DataFrame, ranges: int) -> tuple[float, float, float, float]:
+    """Training tokens N, distinct training tokens V, training texts, and the bytes of all texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, facts = [], np.zeros(2)
+        distinct, facts = [], np.zeros(3)
         for batch in slices(batches):
             tokens, sizes = tokens_of(texts_of(batch))
             training = np.array([is_training(doc_id) for doc_id in batch.column("doc_id").to_pylist()], bool)
             every = np.repeat(training, sizes)
             distinct.append(distinct_of(tokens[every]))
-            facts += (every.sum(), training.sum())
+            facts += (every.sum(), training.sum(), pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
         found = distinct_of(np.concatenate((np.empty(0, np.uint64), *distinct)))
         cuts = range_cuts(found, ranges)
-        out = [(n, sorted_packed(found[a:b]), facts.tolist() if not n else [0.0] * 2) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        out = [(n, sorted_packed(found[a:b]), facts.tolist() if not n else [0.0] * 3) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
         yield pa.RecordBatch.from_pydict(dict(zip(("range", "keys", "facts"), map(list, zip(*out)))), pa.schema(
             {"range": pa.int32(), "keys": pa.binary(), "facts": pa.list_(pa.float64())}))
 
@@ -275,13 +298,13 @@ def tallies(texts: DataFrame, ranges: int) -> tuple[float, float, float]:
 
     partial = texts.select("doc_id", "text").mapInArrow(rows, "range int, keys binary, facts array<double>")
     found = partial.groupBy("range").applyInArrow(added, "facts array<double>").collect()
-    total, documents, distinct = np.sum([row.facts for row in found], axis=0).tolist() if found else (0.0, 0.0, 0.0)
-    return total, distinct, documents
+    total, documents, size, distinct = np.sum([row.facts for row in found], axis=0).tolist() if found else (0.0, 0.0, 0.0, 0.0)
+    return total, distinct, documents, size
 
 
 def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.ndarray]:
     """Training tokens N, distinct training tokens V, training texts, and the learned weights."""
-    total, distinct, documents = tallies(texts, ranges)
+    total, distinct, documents, _ = tallies(texts, ranges)
     return total, distinct, documents, learned(counted(texts, ranges, total), total, distinct, documents)
 
 
@@ -290,8 +313,9 @@ def first_pass(texts: DataFrame, ranges: int) -> tuple[float, float, float, np.n
 
 def counted(texts: DataFrame, ranges: int, total: float) -> DataFrame:
     """doc_id, held_out, and the training totals of all pairs and tokens of every row, in the shared folder."""
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * ranges)).cast("int"))
+    blocks = dealt(texts, ranges)
     kind = np.uint32 if total < 1 << 32 else np.uint64
+    id_type = to_arrow_type(texts.schema["doc_id"].dataType)
 
     def rows(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table)
@@ -300,7 +324,7 @@ def counted(texts: DataFrame, ranges: int, total: float) -> DataFrame:
         ends = np.cumsum(block.sizes)[:-1]
         pair, token = (pa.array([packed(part) for part in np.split(block.totals_of(keys, totals).astype(kind), ends)], pa.binary())
                        for keys in (block.pairs, block.tokens))
-        return pa.table([pa.array(block.doc_ids, table["doc_id"].type), pa.array(~block.training), pa.array(block.sizes), pair, token],
+        return pa.table([pa.array(block.doc_ids, id_type), pa.array(~block.training), pa.array(block.sizes), pair, token],
                         names=schema.names)
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
@@ -326,8 +350,8 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. Learning runs jobs at once."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", whole_text().alias("text"))
-    total, distinct, documents = tallies(texts, parts)
-    known = counted(texts, parts, total)
+    total, distinct, documents, size = tallies(texts, parts)
+    known = counted(texts, max(parts, math.ceil(size / BLOCK_BYTES)), total)
     weights = learned(known, total, distinct, documents)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
