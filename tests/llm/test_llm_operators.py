@@ -239,6 +239,42 @@ def test_near_copies_of_shared_passages_end_soon(spark, shared, own, linked):
         assert simhash.components(found).count() == 1500
 
 
+def test_near_copies_are_not_compared_where_none_can_be_similar(spark, monkeypatch):
+    """A crowd of which most differ too much from each other: links as all pairs give them, by few comparisons."""
+    seeded = random.Random(5)
+    base = [f"w{n}" for n in range(150)]
+    texts = []
+    for n in range(340):
+        at = seeded.sample(range(150), 1 if n % 10 == 0 else 5)
+        texts.append(" ".join(f"e{n}x{k}" if k in at else word for k, word in enumerate(base)))
+    sets = [slow_shingles(text) for text in texts]
+    root = list(range(len(texts)))
+    close = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(9):
+        for a, b in close:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root] if root[a] != root[b] else root
+    made, plain_compared = [], near_copies.compared
+    monkeypatch.setattr(near_copies, "compared", lambda sets, pairs: made.append(pairs.count()) or plain_compared(sets, pairs))
+    kept = near_copies.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16)
+    assert sorted(row.doc_id for row in kept.collect()) == sorted(set(root)) and 1 < len(set(root)) < 340
+    assert sum(made) < 60 * len(texts), made
+
+
+@pytest.mark.parametrize("roots", [1, 2, 9, 60])
+def test_undecided_texts_are_those_of_pairs_that_fit(spark, roots):
+    seeded = random.Random(roots)
+    rows = []
+    for digest in range(160):
+        n, root = seeded.choice([5, 40, 47, 50, 60]), digest % roots
+        for key in seeded.sample(range(4), 2):
+            place = seeded.randrange(n - math.ceil(0.8 * n) + 1)
+            rows.append((key, digest, n, place, place <= n - math.ceil(n * 8 / 9 - 1e-9), root))
+    frame = spark.createDataFrame(rows, "key long, digest long, n long, place long, short boolean, root long")
+    pair = near_copies.fits("x", "y") & (F.col("x.root") != F.col("y.root"))
+    expected = frame.alias("x").join(frame.alias("y"), "key").where(pair).select("key", F.col("x.digest").alias("digest")).distinct()
+    assert plain(near_copies.undecided(frame), "key", "digest") == plain(expected, "key", "digest")
+
+
 # -- tokens -----------------------------------------------------------------------------------------------------------
 
 

@@ -12,8 +12,8 @@ Three things propose pairs of distinct texts, and every link is checked on the s
 A shingle with at most FEW texts gives its pairs of fitting sizes and places that nothing else connects. In a more frequent one, texts are compared with centres, once as
 many centres in every round as before times four. Texts within the distance 0.2 of a centre are done, connected by it. By the triangle inequality only texts within 0.4 of
 the centre can still be similar to one that is done. Those that links do not connect with the centre yet are compared with TRIES of
-them first, as one link is enough, and, where none is found, with all of them. Rounds end where a key's texts are all connected, or
-when no text is left whose short prefix has the shingle, after the logarithm of their number at most.
+them first, as one link is enough, and, where none is found, with all of them. Before every round go the texts that fit no other one under the key which links do not
+connect with them, so rounds end where no such pair is left, after the logarithm of the texts' number at most.
 
 Shingle sets are made once for each distinct text, kept in the shared folder and joined by digest. Links of all rounds are appended to one
 folder.
@@ -161,6 +161,25 @@ def fits(x: str, y: str) -> Column:
     return (F.col(f"{x}.short") | F.col(f"{y}.short")) & sized & (most >= (n + m) * F.lit(SIMILAR / (1 + SIMILAR)) - 1e-9)
 
 
+def undecided(rest: DataFrame) -> DataFrame:
+    """Texts under a key that fit another one there which links do not connect with them; no pair is made for that.
+
+    Two texts fit only where neither has more shingles than the other allows. So a text asks, of those in order of size up to what it allows itself, whether one
+    of another root allows its own size. Roots are numbered within a key; two of them differ in some bit, so a running maximum for each value of each bit tells.
+    """
+    allows = (F.col("n") - F.col("place")) * F.lit((1 + SIMILAR) / SIMILAR) - F.col("n") + F.lit(1e-6)
+    rows = stored(rest.withColumns({"allows": allows, "nth": F.dense_rank().over(Window.partitionBy("key").orderBy("root")) - 1}), "near-roots")
+    bits = (rows.agg(F.max("nth")).first()[0] or 0).bit_length()
+    if not bits:
+        return rest.where("false")
+    bit = lambda b: F.shiftright("nth", b).bitwiseAND(1)
+    seen = rows.select("*", F.col("n").cast("double").alias("at"), F.lit(False).alias("asks")).union(rows.select("*", F.col("allows").alias("at"), F.lit(True).alias("asks")))
+    before = Window.partitionBy("key").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    most = {f"most{b}_{v}": F.max(F.when(~F.col("asks") & (bit(b) == v), F.col("allows"))).over(before) for b in range(bits) for v in (0, 1)}
+    fitting = [F.when(bit(b) == 0, F.col(f"most{b}_1")).otherwise(F.col(f"most{b}_0")) >= F.col("n") for b in range(bits)]
+    return seen.withColumns(most).where(F.col("asks") & reduce(Column.__or__, [F.coalesce(found, F.lit(False)) for found in fitting])).select(*rest.columns)
+
+
 def pair_of(x: str, y: str) -> list[Column]:
     x, y = F.col(f"{x}.digest"), F.col(f"{y}.digest")
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -174,10 +193,7 @@ def prefix_links(sets: DataFrame, rest: DataFrame, folder: str, few: int, tries:
     centres_of_round, rounds, spark = 1, 0, sets.sparkSession
     rest, small = rest.withColumn("root", F.col("digest")), []
     while True:
-        # A key whose texts are all connected has nothing left to tell.
-        apart = F.min("root") != F.max("root")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("left"), F.max("short").alias("some"), apart.alias("apart")).where("some and apart")
-        rest = stored(rest.join(sizes.select("key", "left"), "key"), "near-rest")
+        rest = stored(undecided(rest).withColumn("left", F.count("*").over(Window.partitionBy("key"))), "near-rest")
         small.append(rest.where(F.col("left") <= few).drop("left", "root"))
         large = rest.where(F.col("left") > few).drop("left")
         if large.isEmpty():

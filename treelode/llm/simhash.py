@@ -29,6 +29,7 @@ from treelode.llm.common import settled, slices, texts_of, whole_text
 
 BITS = 64
 BUCKET_ROWS = 4096
+LINKS_PER_TASK = 1 << 17
 NO_ID = (1 << 63) - 1
 
 
@@ -187,12 +188,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = _summary(edges)
     while True:
+        # Tasks by the number of links: few links in many partitions would cost more files than rows.
+        tasks = max(1, -(-before[0] // LINKS_PER_TASK))
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
-        large = both.join(low, "a").where("b > a and low <> b").select(F.col("low").alias("a"), "b").distinct()
+        large = both.join(low, "a").where("b > a and low <> b").select(F.col("low").alias("a"), "b").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(least, "b").select(F.explode(F.array("a", "b")).alias("b"), F.col("low").alias("a"))
-        edges = settled(small.where("a <> b").select("a", "b").distinct())
+        edges = settled(small.where("a <> b").select("a", "b").coalesce(tasks).distinct().coalesce(tasks))
         after = _summary(edges)
         if after == before:
             break
