@@ -6,15 +6,12 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelode.functions.batches import slices  # noqa: F401
 from treelode.session import shared_folder
 
-SLICE_BYTES = 2 << 20
-"""Text that a Python worker holds as objects at a time; a larger document makes a slice of its own."""
-
 
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -57,20 +54,6 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts take about SLICE_BYTES at most."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        start = held = 0
-        for row, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
-                yield batch.slice(start, row - start)
-                start, held = row, 0
-            held += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     return ["" if text is None else text for text in batch.column(column).to_pylist()]
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treelode.functions.batches import slices
+
 # Fixed values of the workload.
 DIMENSIONS = 1536
 BATCH = 20
@@ -94,7 +96,8 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = BATCH) -> D
     """Add `vector` to every chunk, or null and the `reason` where embedding failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in batches:
+        # A vector is held in 64 and in 32 bits for a moment.
+        for record in slices(batches, "content", 12 * embedder.dimensions):
             texts = record.column("content").to_pylist()
             found = [pair for n in range(0, len(texts), batch) for pair in embed_or_reason(embedder, texts[n:n + batch])]
             vectors = vector_column([vector for vector, _ in found], embedder.dimensions)

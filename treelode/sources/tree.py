@@ -19,7 +19,7 @@ from treelode.functions import text as X
 from treelode.session import settle, ship_package
 from treelode.sources import project as P
 
-READ_BYTES = 32 << 20
+READ_BYTES = 2 << 20
 TASK_BYTES = 64 << 20
 LIST_ROWS = 10_000
 # Directories no scan can enter, because ignore rules that come last name them.
