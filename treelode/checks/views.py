@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelode.functions import text as X
+from treelode.functions.batches import slices
 from treelode.session import spread
 from treelode.sources import project as P
 from treelode.sources.tree import category_of
@@ -119,7 +120,7 @@ def write_tree(files: DataFrame, root: str) -> int:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = P.open_root(root)
-        for batch in batches:
+        for batch in slices(batches, "content"):
             for path, text in zip(batch.column("relative_path").to_pylist(), batch.column("content").to_pylist()):
                 if text is None:
                     filesystem.delete_file(f"{base}/{path}")
